@@ -33,7 +33,9 @@ def heavy_digests(digests: DataFrame, max_heavy: int = MAX_HEAVY, tracked: int =
         .agg(F.expr(f"approx_top_k_accumulate(item, {tracked})").alias("sketch"))
     )
     proposed = (
-        sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+        # Grouped, not global: a global aggregate also makes a state for partitions without rows, which can't be combined.
+        sketches.groupBy(F.lit(0).alias("all"))
+        .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
         .select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {max_heavy})")).alias("top"))
         .where(F.col("top.count") >= min_copies)
         .select(F.col("top.item").alias("item"))
