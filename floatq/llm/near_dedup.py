@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import Scratch
-from .similar import band_keys, link_components, mix, permutations
+from .similar import band_keys, link_components, mix, permutations, pick
 from .token_counts import slices
 
 BANDS, ROWS, SKETCH_BITS, SEED = 48, 7, 1024, 20
 #: Similarity of a link, in percent.
 THRESHOLD = 80
-#: Words whose hashes are kept, shingles hashed at a time, and most ids broadcast to pick texts.
-WORD_MEMO, CHUNK, MAX_BROADCAST_IDS = 500_000, 1024, 300_000
+#: Words whose hashes are kept, and shingles hashed at a time.
+WORD_MEMO, CHUNK = 500_000, 1024
 
 
 def sketch_bits(similarity: float, samples: int, bits: int) -> int:
@@ -125,12 +125,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
 
 
-def pick(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in the written table ``wanted``; broadcast if that is small, else shuffled."""
-    small = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(wanted) if small else wanted, key)
-
-
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) with text_a and text_b."""
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))

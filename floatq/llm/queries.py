@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .quality import quality_rules
 from .token_counts import token_counts
@@ -24,6 +25,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), width=2).drop("row")
 
@@ -49,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,

@@ -6,6 +6,7 @@ executor and the driver can reach, so a lost executor costs only the tasks it wa
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,11 @@ class Scratch:
         out._floatq_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             self._fs.delete(self._path(table._floatq_path), True)

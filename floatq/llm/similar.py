@@ -1,6 +1,7 @@
 """Pairs of similar items from banded signatures, without listing the pairs of a group.
 
-An item is (id long, size int, bands array<long>, sketch binary); ``bands`` holds one key per band.
+An item is (id long, size int, bands array<long>, sketch binary); ``bands`` holds one key per band,
+``sketch`` a parity bitmap of its samples.
 Items that share a key are candidates of one another. The search goes in this order:
 
 * Members: rows (key, id) of keys that two ids share. Frequent keys are found by a sketch and pass
@@ -33,6 +34,14 @@ from .shared import Scratch
 MAX_HOT, TRACKED, MIN_HOT, SKETCH_GROUPS = 1000, 8192, 512, 64
 #: Members per block of the rest.
 BLOCK = 1024
+#: Most ids that are broadcast to pick rows.
+MAX_BROADCAST_IDS = 300_000
+
+
+def pick(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in the written table ``wanted``; broadcast if that is small, else shuffled."""
+    small = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return rows.join(F.broadcast(wanted) if small else wanted, key)
 
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +134,10 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], np.ndarray
     return taken, np.array([find(v) for v in range(n)], np.int64)
 
 
-def rest_pairs(members: DataFrame, hubs: DataFrame, comps: DataFrame, items: DataFrame, least_ratio: float, most_bits: int | None, sure_bits: int | None, spanning: bool) -> DataFrame:
+def rest_pairs(members: DataFrame, hubs: DataFrame, comps: DataFrame, items: DataFrame, least_ratio: float, most_bits: int, sure_bits: int | None, spanning: bool) -> DataFrame:
     """Pairs (a, b, sure) of open buckets that lie in different components and may be links.
 
-    ``most_bits`` is the largest number of differing sketch bits of a possible link (None: there are
-    no sketches). Pairs within ``sure_bits`` are almost certainly links: with ``spanning`` a block
+    ``most_bits`` is the largest number of differing sketch bits of a possible link. Pairs within ``sure_bits`` are almost certainly links: with ``spanning`` a block
     passes on only those that span their components, marked sure, and leaves out pairs within these.
     """
     left = members.join(hubs.where("n > 2").select("key", "hub"), "key").where("id <> hub").select("key", "id")
@@ -156,10 +164,9 @@ def rest_pairs(members: DataFrame, hubs: DataFrame, comps: DataFrame, items: Dat
         if not len(x) or not len(y):
             return
         near = (comp[x][:, None] != comp[y][None, :]) & (np.minimum(size[x][:, None], size[y][None, :]) >= least_ratio * np.maximum(size[x][:, None], size[y][None, :]))
-        if most_bits is not None:
-            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(ids), -1)
-            bits = _popcounts(sketch[x], sketch[y])
-            near &= bits <= most_bits
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(ids), -1)
+        bits = _popcounts(sketch[x], sketch[y])
+        near &= bits <= most_bits
         i, j = np.nonzero(near)
         sure = bits[i, j] <= sure_bits if spanning and sure_bits is not None else np.zeros(len(i), bool)
         names, at = np.unique(ids, return_inverse=True)
@@ -203,13 +210,11 @@ def rest_pairs(members: DataFrame, hubs: DataFrame, comps: DataFrame, items: Dat
     return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
-def near_pairs(pairs: DataFrame, items: DataFrame, least_ratio: float, most_bits: int | None) -> DataFrame:
+def near_pairs(pairs: DataFrame, items: DataFrame, least_ratio: float, most_bits: int) -> DataFrame:
     """``pairs`` whose sizes and sketches allow a link."""
     side = lambda c: items.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("size_a", "size_b") >= least_ratio * F.greatest("size_a", "size_b"))
-    if most_bits is None:
-        return both.select("a", "b")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,12 +226,16 @@ def near_pairs(pairs: DataFrame, items: DataFrame, least_ratio: float, most_bits
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(close, "a long, b long")
 
 
-def link_components(items: DataFrame, verify: Callable[[DataFrame, Scratch], DataFrame], scratch: Scratch, least_ratio: float, most_bits: int | None = None, sure_bits: int | None = None) -> DataFrame:
+def link_components(items: DataFrame, verify: Callable[[DataFrame, Scratch], DataFrame], scratch: Scratch, least_ratio: float, most_bits: int, sure_bits: int | None) -> DataFrame:
     """(id, component) of items that are linked to another one.
 
-    ``items`` has one row per id. ``verify`` gets written pairs (a, b) and returns those that are links.
+    Rows of one id in ``items`` are alike; some may lack bands. ``verify`` gets written pairs (a, b) and returns those that are links.
     """
     members = key_rows(items, scratch)
+    scratch.release()
+    ids = scratch.save(members.select("id").distinct(), "ids")
+    items = pick(items.select("id", "size", "sketch").where(F.col("sketch").isNotNull()), ids, "id")
+    items = scratch.save(items.groupBy("id").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")), "sketches")
     hubs, pairs = hub_pairs(members, scratch)
     links = scratch.save(verify(scratch.save(near_pairs(pairs, items, least_ratio, most_bits), "hub-pairs"), scratch).select("a", "b"), "hub-links")
     comps = connected_components(links, scratch)
