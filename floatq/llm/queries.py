@@ -10,6 +10,7 @@ from .bpe_codec import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
+from .packing import pack, token_pieces
 from .quality import quality_rules
 from .token_counts import token_counts
 
@@ -48,6 +49,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), MAX_TOKENS)
+    return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), MAX_TOKENS)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules(docs, keep_text=False).drop("lang")
@@ -59,6 +65,7 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 

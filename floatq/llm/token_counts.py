@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,41 @@ class PairTable:
         return rank, merged
 
 
+class Numbered(dict):
+    """Numbers keys as they are first looked up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Ragged:
+    """Growing rows of ids: row i is ids[start[i] : start[i] + size[i]]."""
+
+    def __init__(self) -> None:
+        self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.start = self.size
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        self.start = np.cumsum(self.size) - self.size
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows, one row after another, and the rows' sizes."""
+        size = self.size[rows]
+        jump = self.start[rows] - (np.cumsum(size) - size)
+        return self.ids[np.repeat(jump, size) + np.arange(size.sum())], size
+
+
+def sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of the given sizes."""
+    total = np.append(0, np.cumsum(values))
+    ends = np.cumsum(size)
+    return total[ends] - total[ends - size]
+
+
 class WordBpe:
-    """Counts of a byte-level BPE with a word-end suffix, read from a tokenizer.json file."""
+    """Ids and counts of a byte-level BPE with a word-end suffix, read from a tokenizer.json file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -78,70 +112,108 @@ class WordBpe:
         self.pairs = PairTable(left << 17 | right, np.arange(len(left)), both)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
-        special = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, special)))
-        self.pieces: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces, self.words = Numbered(), Numbered()
+        self.piece_ids, self.word_ids = Ragged(), Ragged()
 
-    def merged_lengths(self, words: list[bytes]) -> np.ndarray:
-        """Symbols that remain of each non-empty pre-token."""
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Surviving symbols of non-empty pre-tokens, one pre-token after another, and their numbers."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         ids, seq = self.inner[raw], np.repeat(np.arange(len(words)), size)
         ends = np.cumsum(size) - 1
         ids[ends] = self.last[raw[ends]]
-        out = np.ones(len(words), np.int64)
-        while len(ids) > 1:
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
             rank, merged = self.pairs.find(ids[:-1] << 17 | ids[1:])
             rank[seq[:-1] != seq[1:]] = _NO_RANK
             rank, merged = np.append(rank, _NO_RANK), np.append(merged, -1)
             starts = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
             best = np.minimum.reduceat(rank, starts)
             length = np.diff(np.append(starts, len(seq)))
-            out[seq[starts]] = length
             going = np.repeat(best < _NO_RANK, length)
+            done.append((seq[~going], ids[~going]))
             at = np.flatnonzero(going & (rank == np.repeat(best, length)))
-            if not len(at):
-                break
-            # In a run of overlapping occurrences (aaa) every other one merges, from the left.
-            fresh = np.append(True, np.diff(at) > 1)
-            at = at[(at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
-            ids[at] = merged[at]
-            going[at + 1] = False
+            if len(at):
+                # In a run of overlapping occurrences (aaa) every other one merges, from the left.
+                fresh = np.append(True, np.diff(at) > 1)
+                at = at[(at - at[fresh][np.cumsum(fresh) - 1]) % 2 == 0]
+                ids[at] = merged[at]
+                going[at + 1] = False
             ids, seq = ids[going], seq[going]
-        return out
+        seq, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        return ids[np.argsort(seq, kind="stable")].astype(np.uint32), np.bincount(seq, minlength=len(words))
 
     def split(self, text: str) -> list[str]:
-        return _WHITE_RUN.split(text) if _SPLIT_ONLY.search(text) else text.split()
-
-    def pre_tokens(self, piece: str) -> tuple[list[str], int]:
-        """Pre-tokens of a piece and the number of special tokens in it."""
-        parts = self.special.split(piece) if "<|" in piece else [piece]
-        out: list[str] = []
-        for part in parts:
-            # Rust lower-cases character by character, Python's capital sigma looks around itself.
-            out += self.pattern.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-        return out, len(parts) - 1
-
-    def learn(self, pieces: set[str]) -> None:
-        """Count the pieces that are not in the memo."""
-        cut = {p: self.pre_tokens(p) for p in pieces}
-        unknown = list({w for words, _ in cut.values() for w in words if w not in self.words})
-        if unknown:
-            self.words.update(zip(unknown, self.merged_lengths([w.encode() for w in unknown]).tolist(), strict=True))
-        self.pieces.update({p: n + sum(map(self.words.__getitem__, words)) for p, (words, n) in cut.items()})
-
-    def counts(self, texts: list[str | None]) -> list[int]:
-        out: list[int] = []
-        for lo, hi in slices(texts):
-            if len(self.pieces) > MEMO or len(self.words) > MEMO:
-                self.pieces.clear()
-                self.words.clear()
-            cut = [self.split(t) if t else [] for t in texts[lo:hi]]
-            self.learn({p for pieces in cut for p in pieces if p not in self.pieces})
-            out += [sum(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+        return [p for p in _WHITE_RUN.split(text) if p] if _SPLIT_ONLY.search(text) else text.split()
+
+    def pre_tokens(self, pieces: list[str]) -> list[list[str]]:
+        """Pre-tokens of each piece; special strings are pre-tokens that keep their case."""
+        # Rust lower-cases character by character, Python's capital sigma looks around itself.
+        joined = unicodedata.normalize("NFC", "\n".join(pieces)).replace("Σ", "σ").lower()
+        find = self.pattern.findall
+        out = [[p] if p.isascii() and p.isalpha() else find(p) for p in joined.split("\n")]
+        if "<|" in joined:
+            for i, p in enumerate(pieces):
+                parts = self.special_pattern.split(p)
+                if len(parts) > 1:
+                    out[i] = [w for k, part in enumerate(parts) if part for w in ([part] if k % 2 else self.pre_tokens([part])[0])]
         return out
 
+    def learn(self) -> None:
+        """Get the ids of pieces that were numbered since the last call."""
+        fresh = list(islice(reversed(self.pieces), len(self.pieces) - len(self.piece_ids.size)))[::-1]
+        if not fresh:
+            return
+        cut = self.pre_tokens(fresh)
+        number = self.words.__getitem__
+        words = np.fromiter((number(w) for ws in cut for w in ws), np.int64)
+        new = list(islice(reversed(self.words), len(self.words) - len(self.word_ids.size)))[::-1]
+        if new:
+            ids, size = self.merge([w.encode() for w in new])
+            if any(w in self.special for w in new):
+                rows = np.split(ids, np.cumsum(size)[:-1])
+                rows = [np.array([self.special[w]], np.uint32) if w in self.special else r for w, r in zip(new, rows, strict=True)]
+                ids, size = np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+            self.word_ids.add(ids, size)
+        ids, size = self.word_ids.take(words)
+        self.piece_ids.add(ids, sums(size, np.fromiter(map(len, cut), np.int64, len(cut))))
+
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of the texts, one text after another, and how many each text has."""
+        if len(self.pieces) > MEMO or len(self.words) > MEMO:
+            self.forget()
+        number = self.pieces.__getitem__
+        size = np.zeros(len(texts), np.int64)
+        rows = []
+        for i, t in enumerate(texts):
+            if t:
+                rows.append(np.fromiter(map(number, self.split(t)), np.int64))
+                size[i] = len(rows[-1])
+        self.learn()
+        return np.concatenate(rows) if rows else np.zeros(0, np.int64), size
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        out = [np.zeros(0, np.int64)]
+        for lo, hi in slices(texts):
+            rows, size = self.numbered(texts[lo:hi])
+            out.append(sums(self.piece_ids.size[rows], size))
+        return np.concatenate(out)
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        for lo, hi in slices(texts):
+            rows, size = self.numbered(texts[lo:hi])
+            ids, per = self.piece_ids.take(rows)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            ends = 4 * np.cumsum(sums(per, size))
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                yield bytes(raw[a:b])
+
 
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of about ``chars`` characters, of one text at least."""
@@ -171,7 +243,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
             _LOADED[vocabulary] = WordBpe(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            tokens = np.array(_LOADED[vocabulary].counts(texts), np.int64)
+            tokens = _LOADED[vocabulary].counts(texts)
             size = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(tokens), pa.array(tokens > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
