@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .licenses import license_scan
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import pack, token_pieces
 from .quality import quality_rules
 from .token_counts import token_counts
+from .url_filter import url_filter
 
 #: Longest sequence of the model that the corpus is for.
 MAX_TOKENS = 2048
@@ -54,6 +56,22 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), MAX_TOKENS)
 
 
+# The rules of the URL query, and words of hosts that the labels of its training take as bad.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+BAD_HOST_WORDS = ["ads", "bets", "casino", "pills", "porn", "spam", "track", "viagra", "xxx"]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table labels URLs, so a host's words do: bad if one is listed, unlabelled if there is no host."""
+    bad = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, BAD_HOST_WORDS)))
+    label = F.when(F.col("host") != "", bad.cast("int"))
+    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, label)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules(docs, keep_text=False).drop("lang")
@@ -66,6 +84,8 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_url_filter": op8_url_filter,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
