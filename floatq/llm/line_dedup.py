@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .near_dedup import odd_sketches, row_key, sketch_bounds, with_texts
-from .shared import Scratch
-from .similar import band_keys, link_components, mix, permutations, pick
+from .shared import Scratch, pick
+from .similar import band_keys, link_components, mix, permutations
 from .token_counts import slices
 
 BANDS, ROWS, SKETCH_BITS, SEED = 16, 5, 256, 7

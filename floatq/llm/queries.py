@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import bpe_round_trip
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
@@ -56,6 +57,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), MAX_TOKENS)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 # The rules of the URL query, and words of hosts that the labels of its training take as bad.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 BAD_HOST_WORDS = ["ads", "bets", "casino", "pills", "porn", "spam", "track", "viagra", "xxx"]
@@ -84,6 +89,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op6_html_extraction": op6_html_extraction,
     "op8_url_filter": op8_url_filter,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,

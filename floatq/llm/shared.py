@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Most ids that are broadcast to pick rows.
+MAX_BROADCAST_IDS = 300_000
 #: Only used on a local master when the session names no folder.
 LOCAL_DIR = "/tmp/checkpoints/floatq-local"
 
@@ -61,6 +63,12 @@ class Scratch:
             self._fs.delete(self._path(table._floatq_path), True)
 
 
+def pick(rows: DataFrame, wanted: DataFrame, key: str, how: str = "inner", most: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """``rows`` joined with the written table ``wanted``, which is broadcast up to ``most`` rows, else shuffled."""
+    small = wanted.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(wanted) if small else wanted, key, how)
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Lower-case A-Z and nothing else.
 
