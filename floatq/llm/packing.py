@@ -26,7 +26,7 @@ from .token_counts import WordBpe, slices
 #: Rounds of pricing, strength of an update, share of the tokens after which pricing stops.
 ROUNDS, EPSILON, ENOUGH = 500, 0.2, 0.8
 #: Rows of a length that are numbered in one bucket, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 Configurations = list[tuple[dict[int, int], int]]
 
 

@@ -27,6 +27,7 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0                
 #: Characters at which str.split() parts text though they are not White_Space.
 _SPLIT_ONLY = regex.compile("[\x1c-\x1f]")
 _WHITE_RUN = regex.compile(f"[{WHITE}]+")
+_MARKS = frozenset(".,;:!?")
 _NO_RANK = np.int64(1) << 40
 
 
@@ -156,7 +157,8 @@ class WordBpe:
         # Rust lower-cases character by character, Python's capital sigma looks around itself.
         joined = unicodedata.normalize("NFC", "\n".join(pieces)).replace("Σ", "σ").lower()
         find = self.pattern.findall
-        out = [[p] if p.isascii() and p.isalpha() else find(p) for p in joined.split("\n")]
+        # Letters alone, or before one mark, need no pattern: isalpha() is \p{L} of all characters.
+        out = [[p] if p.isalpha() else [p[:-1], p[-1]] if p[-1:] in _MARKS and p[:-1].isalpha() else find(p) for p in joined.split("\n")]
         if "<|" in joined:
             for i, p in enumerate(pieces):
                 parts = self.special_pattern.split(p)
