@@ -41,7 +41,7 @@ def knapsack(price: np.ndarray, capacity: int) -> dict[int, int]:
         best[c] = best[c - 1]
         if ends[c]:
             gain = values[: ends[c]] + best[c - lengths[: ends[c]]]
-            k = int(gain.argmax())
+            k = len(gain) - 1 - int(gain[::-1].argmax())  # of equal gains the longest piece
             if gain[k] > best[c]:
                 best[c], took[c] = gain[k], lengths[k]
     out: dict[int, int] = {}
@@ -58,15 +58,15 @@ def knapsack(price: np.ndarray, capacity: int) -> dict[int, int]:
 def solve(hist: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Configurations:
     """Fractional covering by multiplicative weights, as (configuration, rounded count).
 
-    Prices begin at the lengths themselves, which are the optimal dual where sequences can be filled
-    to the end. A round adds half of what the scarcest length of the configuration still needs and
+    Prices begin near the lengths themselves, which are the optimal dual where sequences can be filled
+    to the end, with a little more for long pieces, as these are the hard ones. A round adds half of what the scarcest length of the configuration still needs and
     lowers the prices of its lengths by what it covered. A configuration that asks for more pieces of a length than are
     left, or leaves room, is not taken; its lengths get cheaper. ``1 - ENOUGH`` of the tokens is
     left for best fit, which needs pieces of many lengths to fill the last sequences.
     """
     need = hist.astype(float)
     lengths = np.arange(len(hist))
-    weight = np.ones(len(hist))
+    weight = 1 + lengths / (10 * capacity)
     left = need.copy()
     total = float(need @ lengths)
     amounts: dict[tuple, float] = {}

@@ -101,9 +101,11 @@ def references(table: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 def js_distance(p: str, q: str) -> Column:
     """Jensen-Shannon distance of two count arrays of one length; null if either is null or all zero."""
-    share = lambda a: f"transform({a}, x -> x / nullif(aggregate({a}, 0D, (s, y) -> s + y), 0D))"
+    total = lambda a: f"aggregate({a}, 0D, (s, y) -> s + y)"
+    share = lambda a: f"transform({a}, x -> x / {total(a)})"
     term = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / (a + b)) ELSE 0D END"
-    return F.expr(f"sqrt(greatest(0D, aggregate(zip_with({share(p)}, {share(q)}, (a, b) -> ({term.format('a')} + {term.format('b')}) / 2), 0D, (s, x) -> s + x)))")
+    parts = f"zip_with({share(p)}, {share(q)}, (a, b) -> ({term.format('a')} + {term.format('b')}) / 2)"
+    return F.expr(f"CASE WHEN {total(p)} > 0 AND {total(q)} > 0 THEN sqrt(greatest(0D, aggregate({parts}, 0D, (s, x) -> s + x))) END")
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep_text: bool = True, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
