@@ -10,10 +10,11 @@ from floatq.functions import fp
 
 def describe(df: DataFrame) -> DataFrame:
     """count, min, max, mean, population deviation, and the share of values that are not unique."""
+    df = df.withColumn("_bits", fp.bits(F.col("value")))
     v = F.col("value")
     n = F.count(F.lit(1))
     deviation = F.when(n <= 1, F.lit(0.0)).otherwise(F.stddev_pop(v))
-    repeated = F.when(n == 0, F.lit(0.0)).otherwise((n - F.count_distinct(fp.bits(v))) / F.greatest(n, F.lit(1)))
+    repeated = F.when(n == 0, F.lit(0.0)).otherwise((n - F.count_distinct("_bits")) / F.greatest(n, F.lit(1)))
     return df.agg(
         n.alias("n"), F.coalesce(F.min(v), F.lit(0.0)).alias("min"), F.coalesce(F.max(v), F.lit(0.0)).alias("max"),
         F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.coalesce(deviation, F.lit(0.0)).alias("std"), repeated.alias("non_unique_ratio"),

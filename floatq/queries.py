@@ -13,6 +13,8 @@ from floatq.operators.column import ColumnFrame, mask_and, mask_minus, mask_of,
 from floatq.plans import predicate as P
 from floatq.plans.aggregation import Aggregation, compute
 from floatq.plans.expr import Col, Lit
+from floatq.sources import container, text
+from floatq.sources.codecs import CODECS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -230,7 +232,6 @@ SUBTRACT = "(CASE WHEN max(delta) = 0 THEN 0 ELSE floor(log2(max(delta))) + 1 EN
 add("buff_encode", lambda s, d: stats.byte_sliced(customers(s, d), 2).select("row_id", "chunk_id", "base", "delta"), f"{FIXED} SELECT row_id, chunk_id, base, delta FROM e")
 add("buff_decode", lambda s, d: stats.byte_sliced_decode(stats.byte_sliced(customers(s, d), 2), 2), f"{FIXED} SELECT row_id, chunk_id, (base + delta) / 256.0::DOUBLE AS value FROM e")
 add("buff_size", lambda s, d: stats.byte_sliced_size(stats.byte_sliced(customers(s, d), 2)), f"{FIXED} SELECT chunk_id, (20 + ceil({SUBTRACT} * count(*) / 8))::BIGINT AS bytes FROM e GROUP BY 1")
-W = f"{FIXED}, w AS (SELECT chunk_id, {SUBTRACT}::INT AS l FROM e GROUP BY 1), r AS (SELECT e.*, CASE WHEN l < 8 THEN 0 WHEN l - 8 - 8 * greatest(0, ceil((l - 8 - 3) / 8.0))::INT > 3 THEN 0 ELSE 0 END AS x, l FROM e JOIN w USING (chunk_id))"
 add("buff_precision_1", lambda s, d: stats.byte_sliced_decode(stats.byte_sliced(customers(s, d), 2), 2, 1).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("value")), 0).alias("largest")))
 DELTA = f"WITH q AS (SELECT row_id, chunk_id, round(value * 100)::BIGINT AS q FROM {EV}), d AS (SELECT *, coalesce(q - lag(q) OVER (PARTITION BY chunk_id ORDER BY row_id), 0) AS dl FROM q), z AS (SELECT *, CASE WHEN dl >= 0 THEN 2 * dl ELSE -2 * dl - 1 END AS z FROM d)"
 add("sprintz_encode", lambda s, d: stats.delta_coded(events(s, d).df, 100).select("row_id", "chunk_id", "q", "z"), f"{DELTA} SELECT row_id, chunk_id, q, z FROM z")
@@ -293,3 +294,35 @@ def friedman(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("friedman_test", friedman)
+
+
+# Codecs by chunk ---------------------------------------------------------------------------------
+
+for codec, options in (("uncompressed", {}), ("rle", {}), ("gorilla", {}), ("chimp", {}), ("chimp128", {}), ("elf", {}), ("elf_on_chimp", {}), ("zstd", {}), ("gzip", {}), ("snappy", {}), ("alp", {})):
+    add(f"roundtrip_{codec}", lambda s, d, c=codec, o=options: container.round_trip(events(s, d).df, c, **o), f"SELECT row_id, chunk_id, value FROM {EV}")
+add("roundtrip_buff", lambda s, d: container.round_trip(customers(s, d), "buff", digits=2), f"SELECT row_id, chunk_id, trunc(value * 256) / 256 AS value FROM {CUST}")
+add("roundtrip_sprintz", lambda s, d: container.round_trip(events(s, d).df, "sprintz", scale=100), f"SELECT row_id, chunk_id, round(value * 100) / 100 AS value FROM {EV}")
+
+
+def ratios(spark: SparkSession, d: str) -> DataFrame:
+    """Compressed over uncompressed size of each codec; lower is better."""
+    df = events(spark, d).df
+    sizes = [container.encoded_sizes(df, c).agg(F.lit(c).alias("codec"), F.round(F.sum("bytes") / (8 * F.sum("rows")), 6).alias("ratio")) for c in sorted(CODECS)]
+    out = sizes[0]
+    for x in sizes[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+add("compression_ratio_by_codec", ratios)
+
+# Sources -----------------------------------------------------------------------------------------
+
+
+def lines(spark: SparkSession, rows: list[str]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rows)), "line long, value string")
+
+
+add("csv_parse", lambda s, d: text.csv_values(lines(s, ["1.2, 2.0,3.31", "", "4.0,,5e-1"])).select("line", F.col("pos").cast("long").alias("pos"), "value"), "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1.2::DOUBLE), (0, 1, 2.0), (0, 2, 3.31), (2, 0, 4.0), (2, 2, 0.5)) t(line, pos, value)")
+add("ucr_parse", lambda s, d: text.labelled_series(lines(s, ["head\tx", "2\t1.25\tNaN\t3", "1\t0.5"]), scale=10).select("line", F.col("label").cast("long").alias("label"), F.posexplode("pixels").alias("pos", "value")).select("line", "label", F.col("pos").cast("long").alias("pos"), "value"), "SELECT * FROM (VALUES (1::BIGINT, 2::BIGINT, 0::BIGINT, 1.3::DOUBLE), (1, 2, 1, 0.0), (1, 2, 2, 3.0), (2, 1, 0, 0.5)) t(line, label, pos, value)")
+add("numeric_columns", lambda s, d: text.numeric_columns(table(s, d, "lineitem").drop("l_shipdate")).agg(*[F.round(F.sum(c), 2).alias(c) for c in ("l_discount", "l_quantity", "l_tax")]), "SELECT round(sum(l_discount), 2) AS l_discount, round(sum(l_quantity), 2) AS l_quantity, round(sum(l_tax), 2) AS l_tax FROM lineitem")
