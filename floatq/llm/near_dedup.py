@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import Scratch, pick
-from .similar import band_keys, link_components, mix, permutations
+from .similar import BlockTest, band_keys, link_components, mix, permutations
 from .token_counts import slices
 
 BANDS, ROWS, SKETCH_BITS, SEED = 48, 7, 1024, 20
@@ -32,6 +34,8 @@ BANDS, ROWS, SKETCH_BITS, SEED = 48, 7, 1024, 20
 THRESHOLD = 80
 #: Words whose hashes are kept, and shingles hashed at a time.
 WORD_MEMO, CHUNK = 500_000, 1024
+#: Standard deviations of the samples that a link may lie below the threshold by its sketches.
+DEVIATIONS = 6
 
 
 def sketch_bits(similarity: float, samples: int, bits: int) -> int:
@@ -39,11 +43,9 @@ def sketch_bits(similarity: float, samples: int, bits: int) -> int:
     return round(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity))))
 
 
-def sketch_bounds(threshold: float, samples: int, bits: int) -> tuple[int, int | None]:
-    """Most differing bits of a possible link, and of an almost certain one."""
-    sd = math.sqrt(threshold * (1 - threshold) / samples)
-    sure = threshold + 3.5 * sd
-    return sketch_bits(threshold - 6 * sd, samples, bits), sketch_bits(sure, samples, bits) if sure < 1 else None
+def sketch_bound(threshold: float, samples: int, bits: int, deviations: float) -> int:
+    """Most differing bits of a possible link, so many standard deviations of the samples below the threshold."""
+    return sketch_bits(threshold - deviations * math.sqrt(threshold * (1 - threshold) / samples), samples, bits)
 
 
 def odd_sketches(minima: np.ndarray, bits: int) -> list[bytes]:
@@ -125,10 +127,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
     return docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
 
 
-def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with text_a and text_b."""
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+@dataclass(frozen=True)
+class WordShingles:
+    """Sets of word shingles, linked from ``threshold`` percent on."""
+
+    width: int
+    threshold: int
+
+    def of(self, text: str) -> np.ndarray:
+        return _shingler(self.width).shingles(text)
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        same = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * same >= self.threshold * (len(a) + len(b) - same)
+
+
+@cache
+def _shingler(width: int) -> Shingler:
+    return Shingler(width)
 
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,32 +167,13 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_c
     )
     docs = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
 
-    def verify(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = scratch.save(items.select("id", "row").join(ids, "id"), "wanted")
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = scratch.save(items.select("id", "row").join(ids, "id"), "rows")
         # A row may be there more than once.
-        texts = scratch.save(pick(docs, wanted, "row").select("id", "text").dropDuplicates(["id"]), "texts")
-
-        def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingler = Shingler(width)
-            kept: dict[int, np.ndarray] = {}
-            for batch in batches:
-                linked = []
-                for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    if len(kept) > 64:
-                        kept.clear()
-                    for i, t in ((a, x), (b, y)):
-                        if i not in kept:
-                            kept[i] = shingler.shingles(t)
-                    same = len(np.intersect1d(kept[a], kept[b], assume_unique=True))
-                    linked.append(100 * same >= threshold * (len(kept[a]) + len(kept[b]) - same))
-                keep = pa.array(linked, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-        return with_texts(pairs, texts).mapInArrow(confirm, "a long, b long")
-
-    most, sure = sketch_bounds(threshold / 100, BANDS * ROWS, SKETCH_BITS)
-    comps = link_components(items, verify, scratch, threshold / 100, most, sure)
+        return pick(docs, wanted, "row").select("id", "text").dropDuplicates(["id"])
+
+    test = BlockTest(threshold / 100, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS))
+    comps = link_components(items, fetch, WordShingles(width, threshold), scratch, test)
     tagged = scratch.save(signed.join(comps, "id", "left").select("row", "doc", "n_shingles", F.coalesce("component", "id").alias("g")), "tagged")
     names = tagged.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc").alias("component_id"))
     component = F.when(F.col("g").isNull(), F.col("doc")).otherwise(F.col("component_id"))

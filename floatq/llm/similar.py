@@ -21,6 +21,8 @@ the sketches miss, for which the operators state the odds.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch
+from .shared import Scratch, pick
 
 #: Frequent keys that pass map-side, items that their sketch tracks, least rows of such a key.
 MAX_HOT, TRACKED, MIN_HOT, SKETCH_GROUPS = 1000, 8192, 512, 64
 #: Members per block of the rest.
-BLOCK = 1024
-#: Most ids that are broadcast to pick rows.
-MAX_BROADCAST_IDS = 300_000
-
-
-def pick(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is in the written table ``wanted``; broadcast if that is small, else shuffled."""
-    small = wanted.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-    return rows.join(F.broadcast(wanted) if small else wanted, key)
+BLOCK = 256
 
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,17 +90,6 @@ def key_rows(items: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(passed.unionByName(cold.select("key", "id")), "members")
 
 
-def hub_pairs(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Hubs (key, hub, n) of all buckets, and the pairs (a, b) of each member with the hubs of its buckets."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    scores = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("score"))
-    scored = scratch.save(members.join(scores, "id"), "scored")
-    hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("id").alias("id"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    hubs = scratch.save(hubs.select("key", F.bitwise_not("top.id").alias("hub"), "n"), "hubs")
-    pairs = members.join(hubs.drop("n"), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    return hubs, pairs
-
-
 def _popcounts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bits in which each row of x differs from each row of y (both n x words of 64 bits)."""
     out = np.zeros((len(x), len(y)), np.int32)
@@ -115,30 +98,89 @@ def _popcounts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], np.ndarray]:
-    """Which of the edges a-b span their components, and the component of each of n vertices."""
-    root = np.arange(n)
+class Shape(Protocol):
+    """How texts become sets, and the link of two sets."""
+
+    def of(self, text: str) -> Any: ...
+
+    def linked(self, a: Any, b: Any) -> bool: ...
+
+
+@dataclass(frozen=True)
+class BlockTest:
+    """Compares the members of a block outside the largest component (side 0) with all members (side 1).
+
+    ``most_bits``: differing sketch bits of a possible link.
+    """
+
+    least_ratio: float
+    most_bits: int
+
+    def near(self, rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places x, y in the block of pairs in different components that may be links, and their bits."""
+        side, comp, size = (np.array(rows[c], np.int64) for c in ("side", "comp", "size"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(x) or not len(y):
+            return x[:0], y[:0], x[:0]
+        p, q = size[x][:, None], size[y][None, :]
+        near = (comp[x][:, None] != comp[y][None, :]) & (np.minimum(p, q) >= self.least_ratio * np.maximum(p, q))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(side), -1)
+        bits = _popcounts(sketch[x], sketch[y])
+        i, j = np.nonzero(near & (bits <= self.most_bits))
+        return x[i], y[j], bits[i, j]
+
+    def links(self, rows: dict, shape: Shape) -> Iterator[tuple[int, int]]:
+        """Confirmed links that join the block's components, looked for from the nearest pair on.
+
+        A pair is looked at in the first bucket that it shares only, and not if links of this block already join it.
+        """
+        x, y, bits = self.near(rows)
+        if not len(x):
+            return
+        bands = np.array(rows["bands"], np.int64)
+        keep = np.zeros(len(x), bool)
+        for lo in range(0, len(x), 10_000):
+            mine = bands[x[lo : lo + 10_000]]
+            first = (mine == bands[y[lo : lo + 10_000]]).argmax(1)
+            keep[lo : lo + 10_000] = mine[np.arange(len(mine)), first] == rows["key"][0]
+        order = np.flatnonzero(keep)[np.argsort(bits[keep], kind="stable")]
+        up: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while up.get(v, v) != v:
+                up[v] = v = up.get(up[v], up[v])
+            return v
+
+        sets: dict[int, Any] = {}
+        ids, comp, texts = rows["id"], rows["comp"], rows["text"]
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            p, q = root(comp[i]), root(comp[j])
+            if p == q:
+                continue
+            for at in (i, j):
+                if ids[at] not in sets:
+                    sets[ids[at]] = shape.of(texts[at])
+            if shape.linked(sets[ids[i]], sets[ids[j]]):
+                up[p] = q
+                yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
 
-    taken = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            taken.append(i)
-    return taken, np.array([find(v) for v in range(n)], np.int64)
+def hub_pairs(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Hubs (key, hub, n) of all buckets, and the pairs (a, b) of each member with the hubs of its buckets."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    scores = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("score"))
+    scored = scratch.save(members.join(scores, "id"), "scored")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("id").alias("id"))).alias("top"), F.count(F.lit(1)).alias("n"))
+    hubs = scratch.save(hubs.select("key", F.bitwise_not("top.id").alias("hub"), "n"), "hubs")
+    pairs = members.join(hubs.drop("n"), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    return hubs, pairs
 
 
-def rest_pairs(members: DataFrame, hubs: DataFrame, comps: DataFrame, items: DataFrame, least_ratio: float, most_bits: int, sure_bits: int | None, spanning: bool) -> DataFrame:
-    """Pairs (a, b, sure) of open buckets that lie in different components and may be links.
+def open_buckets(members: DataFrame, hubs: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, id, comp) of buckets without their hub, and buckets that hold several components.
 
-    ``most_bits`` is the largest number of differing sketch bits of a possible link. Pairs within ``sure_bits`` are almost certainly links: with ``spanning`` a block
-    passes on only those that span their components, marked sure, and leaves out pairs within these.
+    An open bucket has its largest component (most), and how many members it has (n_all) and has outside
+    that component (n_out).
     """
     left = members.join(hubs.where("n > 2").select("key", "hub"), "key").where("id <> hub").select("key", "id")
     left = left.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
@@ -147,48 +189,38 @@ def rest_pairs(members: DataFrame, hubs: DataFrame, comps: DataFrame, items: Dat
         parts.groupBy("key")
         .agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_comps"))
         .where("n_comps > 1")
-        .select("key", F.col("top.comp").alias("most"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("n_all") - F.col("top.n")) / BLOCK).cast("int").alias("n_out"))
+        .select("key", F.col("top.comp").alias("most"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_out"))
     )
-    sized = left.join(open_keys, "key").join(items.select("id", "size", "sketch"), "id")
+    return left, open_keys
+
+
+def rest_links(left: DataFrame, open_keys: DataFrame, items: DataFrame, test: BlockTest, shape: Shape, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components of open buckets, confirmed by the ``texts`` (id, text) that members bring to their blocks."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    open_keys = open_keys.select("key", "most", blocks("n_all").alias("n_all"), blocks("n_out").alias("n_out"))
+    more = items.select("id", "size", "sketch", "bands").join(texts, "id")
+    sized = left.join(open_keys, "key").join(more, "id")
+    row = ["id", "comp", "size", "sketch", "bands", "text"]
     out = sized.where("comp <> most").select(
-        "key", F.pmod(F.xxhash64("id"), "n_out").cast("int").alias("ob"), F.explode(F.expr("sequence(0, n_all - 1)")).alias("ab"), F.lit(0).alias("side"), "id", "comp", "size", "sketch"
+        "key", F.pmod(F.xxhash64("id"), "n_out").cast("int").alias("ob"), F.explode(F.expr("sequence(0, n_all - 1)")).alias("ab"), F.lit(0).alias("side"), *row
     )
     every = sized.select(
-        "key", F.explode(F.expr("sequence(0, n_out - 1)")).alias("ob"), F.pmod(F.xxhash64("id"), "n_all").cast("int").alias("ab"), F.lit(1).alias("side"), "id", "comp", "size", "sketch"
+        "key", F.explode(F.expr("sequence(0, n_out - 1)")).alias("ob"), F.pmod(F.xxhash64("id"), "n_all").cast("int").alias("ab"), F.lit(1).alias("side"), *row
     )
     blocks = out.unionByName(every).repartition("key", "ob", "ab").sortWithinPartitions("key", "ob", "ab", "side")
 
-    def block_pairs(rows: dict) -> Iterator[tuple[int, int, bool]]:
-        side, ids, comp, size = (np.array(rows[c], np.int64) for c in ("side", "id", "comp", "size"))
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(x) or not len(y):
-            return
-        near = (comp[x][:, None] != comp[y][None, :]) & (np.minimum(size[x][:, None], size[y][None, :]) >= least_ratio * np.maximum(size[x][:, None], size[y][None, :]))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(ids), -1)
-        bits = _popcounts(sketch[x], sketch[y])
-        near &= bits <= most_bits
-        i, j = np.nonzero(near)
-        sure = bits[i, j] <= sure_bits if spanning and sure_bits is not None else np.zeros(len(i), bool)
-        names, at = np.unique(ids, return_inverse=True)
-        p, q = at[x[i]], at[y[j]]
-        taken, root = _forest(p[sure], q[sure], len(names))
-        for k in np.flatnonzero(sure)[taken].tolist():
-            yield int(names[p[k]]), int(names[q[k]]), True
-        for k in np.flatnonzero(~sure & (root[p] != root[q])).tolist():
-            yield int(names[p[k]]), int(names[q[k]]), False
-
-    names = ["key", "ob", "ab", "side", "id", "comp", "size", "sketch"]
+    names = ["key", "ob", "ab", "side", *row]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block may go on in the next batch; it is held until another begins."""
         held: dict = {c: [] for c in names}
         block = None
-        found: list[tuple[int, int, bool]] = []
+        found: list[tuple[int, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if found:
-                a, b, sure = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.int64()), pa.array(map(max, a, b), pa.int64()), pa.array(sure)], names=["a", "b", "sure"])
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.int64()), pa.array(map(max, a, b), pa.int64())], names=["a", "b"])
                 found.clear()
 
         for batch in batches:
@@ -197,17 +229,16 @@ def rest_pairs(members: DataFrame, hubs: DataFrame, comps: DataFrame, items: Dat
             starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
             for lo, hi in zip(starts, [*starts[1:], len(ids)], strict=True):
                 if ids[lo] != block:
-                    found.extend(block_pairs(held))
+                    found.extend(test.links(held, shape))
                     held, block = {c: [] for c in names}, ids[lo]
                 for c in names:
                     held[c] += columns[c][lo:hi]
                 if len(found) > 50_000:
                     yield from flush()
-        found.extend(block_pairs(held))
+        found.extend(test.links(held, shape))
         yield from flush()
 
-    pairs = blocks.mapInArrow(search, "a long, b long, sure boolean")
-    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return blocks.mapInArrow(search, "a long, b long").distinct()
 
 
 def near_pairs(pairs: DataFrame, items: DataFrame, least_ratio: float, most_bits: int) -> DataFrame:
@@ -226,27 +257,49 @@ def near_pairs(pairs: DataFrame, items: DataFrame, least_ratio: float, most_bits
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(close, "a long, b long")
 
 
-def link_components(items: DataFrame, verify: Callable[[DataFrame, Scratch], DataFrame], scratch: Scratch, least_ratio: float, most_bits: int, sure_bits: int | None) -> DataFrame:
-    """(id, component) of items that are linked to another one.
+def confirmed(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
+    """Pairs (a, b) that are links by their texts (id, text)."""
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
-    Rows of one id in ``items`` are alike; some may lack bands. ``verify`` gets written pairs (a, b) and returns those that are links.
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, Any] = {}
+        for batch in batches:
+            linked = []
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if len(sets) > 64:
+                    sets.clear()
+                for i, t in ((a, x), (b, y)):
+                    if i not in sets:
+                        sets[i] = shape.of(t)
+                linked.append(shape.linked(sets[a], sets[b]))
+            keep = pa.array(linked, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+
+
+def link_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch, test: BlockTest) -> DataFrame:
+    """(id, component) of linked items, but for the one that names its component.
+
+    Rows of one id in ``items`` are alike; some may lack bands. ``fetch`` returns (id, text) for a written table of ids.
     """
     members = key_rows(items, scratch)
     scratch.release()
     ids = scratch.save(members.select("id").distinct(), "ids")
-    items = pick(items.select("id", "size", "sketch").where(F.col("sketch").isNotNull()), ids, "id")
-    items = scratch.save(items.groupBy("id").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")), "sketches")
+    items = pick(items.where(F.col("sketch").isNotNull()), ids, "id")
+    items = scratch.save(items.groupBy("id").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "candidates")
+
+    texts = scratch.save(fetch(ids), "texts")
     hubs, pairs = hub_pairs(members, scratch)
-    links = scratch.save(verify(scratch.save(near_pairs(pairs, items, least_ratio, most_bits), "hub-pairs"), scratch).select("a", "b"), "hub-links")
+    pairs = scratch.save(near_pairs(pairs, items, test.least_ratio, test.most_bits), "hub-pairs")
+    links = scratch.save(confirmed(pairs, texts, shape), "hub-links")
     comps = connected_components(links, scratch)
-    for spanning in (True, False):
-        more = scratch.save(rest_pairs(members, hubs, comps, items, least_ratio, most_bits, sure_bits, spanning), "rest-pairs")
-        if more.isEmpty():
-            break
-        found = scratch.save(verify(more.select("a", "b"), scratch).select("a", "b"), "rest-links")
-        refuted = more.where("sure").join(found, ["a", "b"], "left_anti").limit(1).count() > 0
-        links = links.unionByName(found)
-        comps = connected_components(links, scratch)
-        if not refuted:
-            break  # the pairs left out lie in one component
+    left, open_keys = open_buckets(members, hubs, comps)
+    open_keys = scratch.save(open_keys, "open")
+    if not open_keys.isEmpty():
+        found = scratch.save(rest_links(left, open_keys, items, test, shape, texts), "rest-links")
+        if not found.isEmpty():
+            # The components so far are edges too, fewer than the links they came from.
+            comps = connected_components(comps.toDF("a", "b").unionByName(found), scratch)
     return comps

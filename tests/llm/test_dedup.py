@@ -101,7 +101,7 @@ def test_odd_sketches_estimate_high_similarities():
         bits = int(np.bitwise_count(p ^ q).sum())
         true = n / (2000 - n)
         assert abs(bits - N.sketch_bits(true, N.BANDS * N.ROWS, N.SKETCH_BITS)) < 50
-        assert bits <= N.sketch_bounds(0.8, N.BANDS * N.ROWS, N.SKETCH_BITS)[0]
+        assert bits <= N.sketch_bound(0.8, N.BANDS * N.ROWS, N.SKETCH_BITS, N.DEVIATIONS)
 
 
 def brute_lines(rows):
