@@ -159,8 +159,10 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD,
     tagged = scratch.save(tagged, "tagged")
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "pos")
     stays = tagged.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end")
+    # Written first, so that a common line's rows can be split if they are shuffled.
+    stays = scratch.save(stays.select("g", "first"), "stays")
     return (
-        tagged.join(stays.select("g", "first"), "g")
+        pick(tagged, stays, "g")
         .where(~F.col("first").eqNullSafe(place))
         .groupBy("row")
         .agg(F.array_sort(F.collect_set("pos")).alias("drop"))

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Most ids that are broadcast to pick rows.
-MAX_BROADCAST_IDS = 300_000
+#: Most ids that are broadcast to pick rows: about 24 MB as a hashed relation of 64-bit keys.
+MAX_BROADCAST_IDS = 1_000_000
 #: Only used on a local master when the session names no folder.
 LOCAL_DIR = "/tmp/checkpoints/floatq-local"
 
