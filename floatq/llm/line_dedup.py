@@ -6,8 +6,8 @@ verified by the exact Jaccard similarity of their shingle sets, and distributed
 the linked lines. Of each component one line stays: the first of the smallest document id. Shorter
 lines always stay, as short sentences meet by chance.
 
-Recall: with 12 bands of 4 samples a pair of lines at similarity 0.8 shares no key with odds of
-0.0018, at 0.85 of 1e-4, at 0.9 of 2e-6. Lines are told apart by 64-bit hashes.
+Recall: with 10 bands of 4 samples a pair of lines at similarity 0.8 shares no key with odds of
+0.005, at 0.85 of 6e-4, at 0.9 of 2e-5. Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,15 +24,16 @@ from pyspark.sql import types as T
 
 from .near_dedup import odd_sketches, row_key, sketch_bound
 from .shared import Scratch, pick
-from .similar import BlockTest, band_keys, link_components, mix, permutations
+from .similar import BlockTest, band_keys, link_components, permutations
 from .token_counts import slices
 
-BANDS, ROWS, SKETCH_BITS, SEED = 12, 4, 256, 7
+BANDS, ROWS, SKETCH_BITS, SEED = 10, 4, 256, 7
 THRESHOLD, MIN_CHARS, SHINGLE = 80, 16, 10
+LANES = 8
 #: Shingles that are hashed at a time, and most line numbers that are broadcast to texts.
-CHUNK, MAX_BROADCAST_LINES = 1 << 15, 2_000_000
-#: Standard deviations of the samples that a link may lie below the threshold by its sketches: lost odds of 3e-5.
-DEVIATIONS = 4
+CHUNK, MAX_BROADCAST_LINES = 1 << 16, 2_000_000
+#: Standard deviations of the samples that a link may lie below the threshold by its sketches: lost odds of 2e-4.
+DEVIATIONS = 3.5
 #: Characters of the texts that are handled at a time.
 SLICE_CHARS = 500_000
 #: Seed of Spark's xxhash64, so that both sides name a line alike.
@@ -46,37 +47,64 @@ def line_id(line: bytes) -> int:
 
 
 def windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the character shingles of lines (each of SHINGLE characters at least), and where each line's begin."""
+    """32-bit hashes of the character shingles of lines (each of SHINGLE characters at least), and where each line's begin.
+
+    A polynomial over the characters, put together from those over 2, 4 and 8; its high bits are kept.
+    """
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = len(codes) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        h = h * np.uint64(0x100000001B3) + codes[i : i + n]
+    two = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n, width, out = len(two), 1, None
+    base = 0x9E3779B97F4A7C15
+    at = 0  # characters that ``out`` covers
+    while True:
+        if SHINGLE & width:
+            power = np.uint64(pow(base, width, 1 << 64))
+            out = two if out is None else out[: len(two) - at] * power + two[at:][: len(out)]
+            at += width
+        if 2 * width > SHINGLE:
+            break
+        two = two[:-width] * np.uint64(pow(base, width, 1 << 64)) + two[width:]
+        width *= 2
     begins = np.cumsum(size) - size
-    inside = np.ones(len(codes), bool)
+    inside = np.ones(n, bool)
     for i in range(1, SHINGLE):
         inside[begins + size - i] = False
     counts = size - SHINGLE + 1
-    return mix(h[inside[:n]]), np.cumsum(counts) - counts
+    out = out[inside[: len(out)]] * np.uint64(0xD6E8FEB86659FD93)
+    return ((out ^ (out >> np.uint64(29))) >> np.uint64(16)).astype(np.uint32), np.cumsum(counts) - counts
+
 
+def multipliers(n: int, seed: int) -> np.ndarray:
+    """Odd multipliers: each permutes the 32-bit integers."""
+    return permutations(n, seed)[0][:, 0]
 
-def line_minima(lines: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """MinHash samples (lines x samples), a stretch of about CHUNK shingles at a time."""
-    out = np.empty((len(lines), len(a)), np.uint32)
+
+def line_minima(lines: list[str], odd: np.ndarray) -> np.ndarray:
+    """MinHash samples (lines x samples), a stretch of about CHUNK shingles at a time.
+
+    The shingles of a line are dealt to LANES rows of a matrix, whose minima are whole-array steps;
+    only their result, a LANES-th of the length, is reduced line by line. A line's last shingle fills its gaps.
+    """
+    out = np.empty((len(lines), len(odd)), np.uint32)
     lo = 0
     while lo < len(lines):
         hi, total = lo, 0
         while hi < len(lines) and (hi == lo or total + len(lines[hi]) <= CHUNK):
             total += len(lines[hi])
             hi += 1
-        h, begins = windows(lines[lo:hi])
-        x = (h >> np.uint64(32)).astype(np.uint32)
-        y = np.empty_like(x)
-        for k in range(len(a)):
-            np.multiply(x, a[k, 0], out=y)
-            y += b[k, 0]
-            out[lo:hi, k] = np.minimum.reduceat(y, begins)
+        x, begins = windows(lines[lo:hi])
+        counts = np.diff(np.append(begins, len(x)))
+        groups = -(-counts // LANES)
+        starts = np.cumsum(groups) - groups
+        line = np.repeat(np.arange(hi - lo), groups)
+        place = np.arange(len(line)) - starts[line]
+        steps = np.arange(LANES)[:, None] * groups[line][None, :] + place[None, :]
+        block = x[np.minimum(steps, counts[line][None, :] - 1) + begins[line][None, :]]
+        y, least = np.empty_like(block), np.empty(block.shape[1], np.uint32)
+        for k, m in enumerate(odd):
+            np.multiply(block, m, out=y)
+            np.minimum.reduce(y, axis=0, out=least)
+            out[lo:hi, k] = np.minimum.reduceat(least, starts)
         lo = hi
     return out
 
@@ -86,42 +114,34 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Within a batch only the first of equal lines has bands.
     """
-    a, b = permutations(BANDS * ROWS, SEED)
+    odd = multipliers(BANDS * ROWS, SEED)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for lo, hi in slices(texts, SLICE_CHARS):
-                at, pos, lines = [], [], []
+                at, pos, place = [], [], []
+                distinct: dict[str, int] = {}
                 for i in range(lo, hi):
                     for p, line in enumerate((texts[i] or "").split("\n")):
                         if len(line) >= MIN_CHARS:
                             at.append(i)
                             pos.append(p)
-                            lines.append(line)
-                if not lines:
+                            place.append(distinct.setdefault(line, len(distinct)))
+                if not place:
                     continue
-                firsts: dict[str, int] = {}
-                for i, line in enumerate(lines):
-                    firsts.setdefault(line, i)
-                low = line_minima(list(firsts), a, b)
-                first = np.zeros(len(lines), bool)
-                first[list(firsts.values())] = True
+                low = line_minima(list(distinct), odd)
+                which = np.array(place)
+                first = np.zeros(len(which), bool)
+                first[np.unique(which, return_index=True)[1]] = True  # in the order of the distinct lines
                 offsets = pa.array(np.append(0, np.cumsum(first * BANDS)), pa.int32())
                 bands = pa.ListArray.from_arrays(offsets, pa.array(band_keys(low, ROWS).ravel()), mask=pa.array(~first))
-                sketches = iter(odd_sketches(low, SKETCH_BITS))
-                names = {line: line_id(line.encode()) for line in firsts}
+                sketches = pa.array(odd_sketches(low, SKETCH_BITS), pa.binary()).take(pa.array(which, mask=~first))
+                ids = np.fromiter((line_id(x.encode()) for x in distinct), np.int64, len(distinct))
+                size = np.fromiter(map(len, distinct), np.int32, len(distinct)) - SHINGLE + 1
                 rows = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(rows),
-                        batch.column(1).take(rows),
-                        pa.array(pos, pa.int32()),
-                        pa.array(map(names.__getitem__, lines), pa.int64()),
-                        pa.array([len(x) - SHINGLE + 1 for x in lines], pa.int32()),
-                        bands,
-                        pa.array([next(sketches) if f else None for f in first.tolist()], pa.binary()),
-                    ],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos, pa.int32()), pa.array(ids[which]), pa.array(size[which].astype(np.int32)), bands, sketches],
                     names=["row", "doc", "pos", "id", "size", "bands", "sketch"],
                 )
 
@@ -139,6 +159,8 @@ class LineShingles:
         return frozenset(text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1))
 
     def linked(self, a: frozenset[str], b: frozenset[str]) -> bool:
+        if 100 * min(len(a), len(b)) < self.threshold * max(len(a), len(b)):
+            return False
         same = len(a & b)
         return 100 * same >= self.threshold * (len(a) + len(b) - same)
 
@@ -155,18 +177,14 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD,
 
     test = BlockTest(0.0, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS))
     comps = link_components(items, fetch, LineShingles(threshold), scratch, test)
-    tagged = signed.select("row", "doc", "pos", "id").join(comps, "id", "left").select("row", "doc", "pos", F.coalesce("component", "id").alias("g"))
+    tagged = pick(signed.select("row", "doc", "pos", "id"), comps, "id", "left").select("row", "doc", "pos", F.coalesce("component", "id").alias("g"))
     tagged = scratch.save(tagged, "tagged")
+    many = scratch.save(tagged.groupBy("g").count().where("count > 1").select("g"), "many")
+    repeated = scratch.save(pick(tagged, many, "g"), "repeated")
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "pos")
-    stays = tagged.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end")
     # Written first, so that a common line's rows can be split if they are shuffled.
-    stays = scratch.save(stays.select("g", "first"), "stays")
-    return (
-        pick(tagged, stays, "g")
-        .where(~F.col("first").eqNullSafe(place))
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_set("pos")).alias("drop"))
-    )
+    stays = scratch.save(repeated.groupBy("g").agg(F.min(place).alias("first")), "stays")
+    return pick(repeated, stays, "g").where(~F.col("first").eqNullSafe(place)).groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -174,7 +174,7 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_c
 
     test = BlockTest(threshold / 100, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS))
     comps = link_components(items, fetch, WordShingles(width, threshold), scratch, test)
-    tagged = scratch.save(signed.join(comps, "id", "left").select("row", "doc", "n_shingles", F.coalesce("component", "id").alias("g")), "tagged")
+    tagged = scratch.save(pick(signed, comps, "id", "left").select("row", "doc", "n_shingles", F.coalesce("component", "id").alias("g")), "tagged")
     # A document alone in its group names itself, so only groups of several need a row.
     names = tagged.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc"))
