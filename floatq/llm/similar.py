@@ -36,6 +36,8 @@ from .shared import Scratch, pick
 MAX_HOT, TRACKED, MIN_HOT, SKETCH_GROUPS = 1000, 8192, 512, 64
 #: Members per block of the rest.
 BLOCK = 256
+#: Elements of sets that are kept while pairs are confirmed, as hubs come again.
+KEPT_ELEMENTS = 200_000
 
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,14 +265,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, Any] = {}
+        held = 0
         for batch in batches:
             linked = []
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if len(sets) > 64:
+                if held > KEPT_ELEMENTS:
                     sets.clear()
+                    held = 0
                 for i, t in ((a, x), (b, y)):
                     if i not in sets:
                         sets[i] = shape.of(t)
+                        held += len(sets[i])
                 linked.append(shape.linked(sets[a], sets[b]))
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
