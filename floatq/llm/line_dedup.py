@@ -6,8 +6,8 @@ verified by the exact Jaccard similarity of their shingle sets, and distributed
 the linked lines. Of each component one line stays: the first of the smallest document id. Shorter
 lines always stay, as short sentences meet by chance.
 
-Recall: with 10 bands of 4 samples a pair of lines at similarity 0.8 shares no key with odds of
-0.005, at 0.85 of 6e-4, at 0.9 of 2e-5. Lines are told apart by 64-bit hashes.
+Recall: with 12 bands of 4 samples a pair of lines at similarity 0.8 shares no key with odds of
+0.0018, at 0.85 of 1.4e-4, at 0.9 of 3e-6. Lines are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from .shared import Scratch, pick
 from .similar import BlockTest, band_keys, link_components, permutations
 from .token_counts import slices
 
-BANDS, ROWS, SKETCH_BITS, SEED = 10, 4, 256, 7
-THRESHOLD, MIN_CHARS, SHINGLE = 80, 16, 10
+BANDS, ROWS, SKETCH_BITS, SEED = 12, 4, 256, 7
+THRESHOLD, MIN_CHARS, SHINGLE = 80, 16, 8
 LANES = 8
 #: Shingles that are hashed at a time, and most line numbers that are broadcast to texts.
 CHUNK, MAX_BROADCAST_LINES = 1 << 16, 2_000_000
-#: Standard deviations of the samples that a link may lie below the threshold by its sketches: lost odds of 2e-4.
-DEVIATIONS = 3.5
+#: Standard deviations of the samples that a link may lie below the threshold by its sketches: lost odds of 3e-5.
+DEVIATIONS = 4
 #: Characters of the texts that are handled at a time.
 SLICE_CHARS = 500_000
 #: Seed of Spark's xxhash64, so that both sides name a line alike.

@@ -145,6 +145,17 @@ def test_line_dedup_matches_brute_force(spark):
     assert L.line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_lines_of_80_characters_are_linked_across_one_character(spark):
+    """One changed character breaks 8 of 73 shingles: 65 of 81 are shared, which is over 0.8."""
+    rng = random.Random(9)
+    lines = ["".join(rng.choices("abcdefghij ", k=78)) for _ in range(200)]
+    rows = [(i, f"x{t}y") for i, t in enumerate(lines)] + [(1000 + i, f"x{t[:39]}#{t[40:]}y") for i, t in enumerate(lines)]
+    df = spark.createDataFrame([(i, t, "r", "k") for i, t in rows], SCHEMA).repartition(4)
+    got = {r.doc_id: r.n_dropped for r in L.line_dedup(df).collect()}
+    assert all(got[i] == 0 for i in range(200)) and sum(got[1000 + i] for i in range(200)) >= 198
+    assert L.BANDS >= 12 and L.DEVIATIONS >= 4
+
+
 def test_line_dedup_of_odd_rows(spark):
     text = "this line is long enough to count\nand this one too, as it is long"
     df = spark.createDataFrame([(None, text, None, None), (5, text, None, None), (5, text, None, None)], SCHEMA)
