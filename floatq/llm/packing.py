@@ -27,6 +27,8 @@ from .token_counts import WordBpe, slices
 ROUNDS, EPSILON, ENOUGH = 500, 0.2, 0.8
 #: Rows of a length that are numbered in one bucket, about.
 BUCKET_ROWS = 2_000
+#: Rounds and strength of the covering program, and the gap to the lower bound from which a packing is taken.
+COVER_ROUNDS, COVER_EPSILON, GAP = 600, 0.1, 0.001
 Configurations = list[tuple[dict[int, int], int]]
 
 
@@ -116,9 +118,67 @@ def best_fit(hist: np.ndarray, capacity: int, bins: Configurations) -> Configura
     return [x for group in by_room.values() for x in group if x[1]]
 
 
+def cover(hist: np.ndarray, capacity: int, rounds: int = COVER_ROUNDS) -> tuple[Configurations, float]:
+    """The covering program over all pieces, with configurations of any fill, and a lower bound of its value.
+
+    Each round takes the configuration of the largest price, as often as its scarcest length is
+    needed, and lowers the prices of what it covers. Prices over the largest configuration's price
+    are a feasible dual, whose value bounds every packing from below. The sum of the rounds is scaled to cover all
+    lengths and rounded down; a configuration goes on without the lengths that have run out.
+    """
+    need = hist.astype(float)
+    have = np.flatnonzero(hist)
+    price = np.zeros(capacity + 1)
+    price[have] = have
+    amounts: dict[tuple, float] = {}
+    covered = np.zeros(capacity + 1)
+    bound = 0.0
+    for _ in range(rounds if len(have) else 0):
+        chosen = knapsack(price, capacity)
+        at = np.fromiter(chosen, np.int64)
+        times = np.fromiter(chosen.values(), np.int64)
+        bound = max(bound, float(need @ price) / float(price[at] @ times))
+        step = float((need[at] / times).min())
+        key = tuple(zip(at.tolist(), times.tolist(), strict=True))
+        amounts[key] = amounts.get(key, 0.0) + step
+        covered[at] += step * times
+        price[at] *= np.exp(-COVER_EPSILON * step * times / need[at])
+        least = float((covered[have] / need[have]).min())
+        if least > 0 and sum(amounts.values()) / least <= (1 + GAP) * bound:
+            break
+    # Lengths that no round covered are left to best fit.
+    seen = covered > 0
+    scale = float((covered[seen] / need[seen]).min()) if seen.any() else 1.0
+    left = hist.copy()
+    out: Configurations = []
+    for key, amount in sorted(amounts.items(), key=lambda x: -x[1]):
+        n, lengths = int(amount / scale + 1e-9), dict(key)
+        while n and lengths:
+            take = min(n, min(int(left[k]) // m for k, m in lengths.items()))
+            if take:
+                out.append((dict(lengths), take))
+                for k, m in lengths.items():
+                    left[k] -= m * take
+                n -= take
+            lengths = {k: min(m, int(left[k])) for k, m in lengths.items() if left[k]}
+    return out, bound
+
+
 def configurations(hist: np.ndarray, capacity: int) -> Configurations:
-    """Configurations with counts that hold exactly the pieces of ``hist`` (index: length)."""
-    chosen = solve(hist, capacity)
+    """Configurations with counts that hold exactly the pieces of ``hist`` (index: length), the best of three ways.
+
+    Filled configurations come first. If their packing isn't within GAP of the lower bound, the covering
+    program and plain best fit are packed too, and the fewest sequences win.
+    """
+    count = lambda found: sum(n for _, n in found)
+    best = packed(hist, capacity, solve(hist, capacity))
+    if count(best) <= (1 + GAP) * -(-int(hist @ np.arange(len(hist))) // capacity):
+        return best
+    return min(best, packed(hist, capacity, cover(hist, capacity)[0]), packed(hist, capacity, []), key=count)
+
+
+def packed(hist: np.ndarray, capacity: int, chosen: Configurations) -> Configurations:
+    """``chosen`` and what it leaves of ``hist``, by best fit."""
     left = hist.copy()
     for lengths, n in chosen:
         for k, m in lengths.items():

@@ -11,7 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from floatq.llm.bpe_codec import ByteBpe, bpe_round_trip
-from floatq.llm.packing import best_fit, configurations, knapsack, pack, solve, token_pieces
+from floatq.llm.packing import best_fit, configurations, cover, knapsack, pack, solve, token_pieces
 from floatq.llm.token_counts import WordBpe, token_counts
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -97,6 +97,21 @@ def test_configurations_hold_the_histogram():
     assert sum(c for _, c in solve(np.bincount([32] * 1000, minlength=65), 64)) > 0
 
 
+def test_configurations_without_exact_fills():
+    """No multiset of these lengths sums to 2048; the program's optimum is 9000 sequences, best fit makes 11000."""
+    hist = np.zeros(2049, np.int64)
+    hist[[1030, 523, 517, 500]] = [6000, 6000, 6000, 12000]
+    chosen = configurations(hist, 2048)
+    used = np.zeros(2049, np.int64)
+    for lengths, count in chosen:
+        assert sum(k * v for k, v in lengths.items()) <= 2048
+        for k, v in lengths.items():
+            used[k] += v * count
+    assert (used == hist).all()
+    assert sum(c for _, c in chosen) <= 9100
+    assert 8800 <= cover(hist, 2048)[1] <= 9000 + 1e-6
+
+
 def test_knapsack_is_best():
     price = np.zeros(21)
     price[[3, 7, 11]] = [3.1, 8, 11.5]
