@@ -149,3 +149,13 @@ def test_extraction_learns_templates(spark):
     assert (text_of[20], text_of[21], text_of[22], text_of[None]) == ("", "alone", "", "kept")
     assert all(r.n_chars == len(r.text) for r in got) and len(text_of[23]) == 199_999
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_extraction_keeps_copies_of_a_page(spark):
+    """Copies under several addresses are one page, and no page loses all its text to a template."""
+    page = "<div>Head</div><div><p>The story that was copied</p></div>"
+    rows = [(i, f"http://c.example/{i}", page) for i in range(6)]
+    rows += [(10 + i, f"http://d.example/{i}", f"<div>Head</div><p>Copied story</p>{'<nav>' + str(i) + '</nav>'}") for i in range(6)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(6)} == {"Head\nThe story that was copied"}
+    assert {got[i] for i in range(10, 16)} == {"Head\nCopied story"}
