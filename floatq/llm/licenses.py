@@ -3,7 +3,7 @@
 Words of a text give rolling hashes of two-word grams, which are joined to the grams of the license
 templates. A hit at text position p and template position t votes for the diagonal p - t. On an
 exact copy all grams of a template vote for one diagonal; inserted or lost words move the votes to
-neighbouring diagonals, which are merged. A span is verified by the share of the template's grams that it holds and by
+neighbouring diagonals, which are merged; chains of copies are cut into windows. A span is verified by the share of the template's grams that it holds and by
 its extent. The template grams are a fixed set, which bounds the broadcast.
 """
 
@@ -37,6 +37,8 @@ NOTICES = {
 }
 #: Diagonals this near are one span; least share of a notice's grams in it, and its largest extent in lengths of the notice.
 NEAR, LEAST_SHARE, MOST_EXTENT = 3, 0.8, 1.5
+#: Steps of an extent in which places are told apart, over two for each word of the longest.
+SCALE = 1024
 
 
 def template_grams(spark) -> DataFrame:
@@ -70,16 +72,33 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     votes = scratch.save(votes, "votes")
     exact = votes.where(F.col("base") & (F.size("ts") == F.col("n"))).select("row", "label", "base", F.lit(1.0).alias("share"), F.col("diagonal").cast("long").alias("at"))
     line = Window.partitionBy("row", "template").orderBy("diagonal")
-    spans = (
+    chained = (
         votes.where(~F.col("base"))
         .withColumn("fresh", (F.col("diagonal") - F.lag("diagonal", 1, -1_000_000).over(line) > NEAR).cast("int"))
         .withColumn("span", F.sum("fresh").over(line))
-        .groupBy("row", "template", "label", "base", "n", "span")
+    )
+    spans = (
+        chained.groupBy("row", "template", "label", "base", "n", "span")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
         .withColumn("share", F.col("votes") / F.col("n"))
-        .withColumn("fits", (F.col("share") >= LEAST_SHARE) & (F.col("last") - F.col("first") + 1 <= MOST_EXTENT * F.col("n")))
+        .withColumn("enough", F.col("share") >= LEAST_SHARE)
+        .withColumn("long", F.col("enough") & (F.col("last") - F.col("first") + 1 > MOST_EXTENT * F.col("n")))
+    )
+    spans = scratch.save(spans, "spans")
+    # Chains that are too long are cut into windows of the largest extent, of which the best counts; places are in fractions of it.
+    extent = F.floor(MOST_EXTENT * F.col("n"))
+    window = Window.partitionBy("row", "template", "span").orderBy("place").rangeBetween(0, SCALE - 1)
+    cut_spans = (
+        chained.join(spans.where("long").select("row", "template", "span"), ["row", "template", "span"])
+        .select("row", "template", "span", "label", "base", "n", "diagonal", F.explode("ts").alias("t"))
+        .withColumn("place", F.floor((F.col("diagonal") + F.col("t")) * SCALE / extent))
+        .select("row", "template", "span", "label", "base", "n", F.size(F.collect_set("t").over(window)).alias("votes"))
+        .groupBy("row", "template", "span", "label", "base", "n")
+        .agg((F.max("votes") / F.col("n")).alias("share"))
+        .select("row", "label", "base", "share", (F.col("share") >= LEAST_SHARE).alias("fits"))
     )
-    noted = spans.select("row", F.when(F.col("fits"), F.col("label")).alias("label"), "base", "share", F.lit(None).cast("long").alias("at"))
+    verified = spans.where("NOT long").select("row", "label", "base", "share", F.col("enough").alias("fits")).unionByName(cut_spans)
+    noted = verified.select("row", F.when(F.col("fits"), F.col("label")).alias("label"), "base", "share", F.lit(None).cast("long").alias("at"))
     per_row = exact.unionByName(noted).groupBy("row").agg(
         F.count("at").alias("n_base"),
         F.min("at").alias("first_word"),

@@ -85,6 +85,13 @@ def test_license_base_matches_brute_force(spark):
     assert licenses.license_scan(docs.limit(0)).collect() == []
 
 
+def test_license_copies_side_by_side(spark):
+    rows = [(1, "All rights reserved. All rights reserved."), (2, "All rights reserved. Some rights reserved"), (3, "eclipse public license " * 500), (4, "all x y z rights x y z reserved")]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4)] == ["all-rights-reserved", "all-rights-reserved", "epl", ""]
+    assert got[3].score == 1
+
+
 def brute_url(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]
