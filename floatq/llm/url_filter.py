@@ -12,10 +12,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, ascii_lower
+from .shared import Scratch, ascii_lower, pick
 
-#: Most labelled URLs that the trees are fitted on, and most host suffixes kept of them.
-SAMPLE_ROWS = 20_000
+#: Most labelled URLs that the trees are fitted on, and most host suffixes that are broadcast; more are joined by shuffle.
+SAMPLE_ROWS, MAX_SUFFIXES = 20_000, 200_000
 TREES, DEPTH, STEP, SEED = 20, 3, 0.2, 11
 #: Weight of the overall rate in the rate of a host suffix.
 PRIOR = 20
@@ -63,7 +63,7 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
 
 def with_suffixes(df: DataFrame, suffixes: DataFrame, base_rate: float) -> DataFrame:
     """Adds the share of blocked URLs and the log of the rows of a host suffix among the labelled."""
-    joined = df.join(F.broadcast(suffixes), "suffix", "left")
+    joined = pick(df, suffixes, "suffix", "left", MAX_SUFFIXES)
     rate = (F.coalesce("blocked", F.lit(0)) + F.lit(PRIOR * base_rate)) / (F.coalesce("rows", F.lit(0)) + PRIOR)
     return joined.withColumn("suffix_rate", rate).withColumn("suffix_rows", F.log1p(F.coalesce("rows", F.lit(0))))
 
@@ -80,16 +80,22 @@ class UrlModel:
     """Trees as a column, and what the suffix features need. ``margin`` over 0 means block."""
 
     def __init__(self, labelled: DataFrame, url: str, scratch: Scratch, sample_rows: int = SAMPLE_ROWS) -> None:
-        """``labelled`` has ``host``, ``path``, the URL and ``label`` (1: block). The fit takes the ``sample_rows`` of least hash."""
-        sample = labelled.where(F.col("label").isNotNull()).orderBy(F.xxhash64(url), url).limit(sample_rows)
-        sample = scratch.save(lexical(sample, url), "sample")
-        rows, blocked = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+        """``labelled`` has ``host``, ``path``, the URL and ``label`` (1: block). The fit takes ``sample_rows`` of least hash, by class; suffixes are counted over all."""
+        labelled = labelled.where(F.col("label").isNotNull())
+        counted = labelled.groupBy(F.substring_index("host", ".", -2).alias("suffix"))
+        self.suffixes = scratch.save(counted.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("blocked")), "suffixes")
+        rows, blocked = self.suffixes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
         self.base_rate = blocked / rows if rows else 0.0
-        self.suffixes = scratch.save(sample.groupBy("suffix").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("blocked")), "suffixes")
+        # Half of the sample for each class, and what one leaves for the other; weights restore their shares.
+        there = {0: rows - blocked, 1: blocked}
+        take = {c: min(there[c], max(sample_rows // 2, sample_rows - there[1 - c])) for c in there}
+        weight = {c: there[c] / take[c] if take[c] else 1.0 for c in there}
+        least = lambda c: labelled.where(F.col("label") == c).orderBy(F.xxhash64(url), url).limit(take[c]).withColumn("weight", F.lit(float(weight[c])))
+        sample = scratch.save(lexical(least(0).unionByName(least(1)), url), "sample")
         if 0 < blocked < rows:
-            ready = with_suffixes(sample, self.suffixes, self.base_rate).select(*[F.col(c).cast("double") for c in FEATURES], F.col("label").cast("double"))
-            ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("features", "label").coalesce(1)
-            model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED).fit(ready)
+            ready = with_suffixes(sample, self.suffixes, self.base_rate).select(*[F.col(c).cast("double") for c in FEATURES], F.col("label").cast("double"), "weight")
+            ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("features", "label", "weight").coalesce(1)
+            model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, weightCol="weight").fit(ready)
             trees = [f"{w!r}D * ({tree_sql(t._call_java('rootNode'))})" for w, t in zip(model.treeWeights, model.trees, strict=True)]
             self.margin = F.expr(" + ".join(trees))
         else:  # one class only: nothing to tell apart

@@ -126,6 +126,16 @@ def test_url_rules_and_trees(spark):
     assert url_filter.url_filter(pages.limit(0), URL_RULES, label).collect() == []
 
 
+def test_url_suffixes_count_all_rows_and_rare_blocks_are_fitted(spark):
+    rows = [(i, f"http://h{i}.site{i % 50}.com/") for i in range(3000)] + [(5000 + i, f"http://casino{i}.bad.net/") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns(dict(zip(("host", "path"), url_filter.parts("url"), strict=True)))
+    label = F.col("host").endswith("bad.net").cast("int")
+    model = url_filter.UrlModel(df.select("url", "host", "path", label.alias("label")), "url", url_filter.Scratch(spark, "test"), 40)
+    assert {r.suffix: (r.rows, r.blocked) for r in model.suffixes.collect()} == {f"site{k}.com": (60, 0) for k in range(50)} | {"bad.net": (5, 5)}
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(df.select("page_id", "url"), [], label, sample_rows=40).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {5000 + i for i in range(5)}
+
+
 def text(source):
     return "\n".join(t for n, t in parse(source)[1] if n.keep)
 
