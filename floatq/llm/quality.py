@@ -5,7 +5,9 @@ compares a document's histogram of character classes, and of the common words of
 reference histograms of that language by the Jensen-Shannon distance (base 2, 0 to 1).
 
 References are sums over all documents of a language that pass the base rules, so they
-follow the corpus; only languages with a word list below have one, which bounds the broadcast.
+follow the corpus; languages with a word list below have one each. Documents of all other or no language are compared by
+character classes with the sum over these (over all documents if there is none of them), as a source of junk could be most of
+its own language or move a sum that it is in.
 """
 
 from __future__ import annotations
@@ -89,14 +91,20 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return df.select(*docs.columns, *FEATURES, "_classes", "_common")
 
 
-def references(table: DataFrame, lang_col: str = "lang") -> DataFrame:
-    """Summed histograms per language with a word list: at most one row for each entry of COMMON_WORDS."""
+def listed(lang_col: str) -> Column:
+    """The language if it has a word list, else null."""
+    return F.when(F.col(lang_col).isin(list(COMMON_WORDS)), F.col(lang_col))
+
+
+def references(table: DataFrame, scratch: Scratch, lang_col: str = "lang") -> DataFrame:
+    """Summed histograms per language with a word list, and of null that of the classes over these, or over all if there is none."""
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]).cast("double") for i in range(n)])
-    return (
-        table.where(~F.col("base_failed") & F.col(lang_col).isin(list(COMMON_WORDS)))
-        .groupBy(F.col(lang_col).alias("_ref_lang"))
-        .agg(sums("_classes", len(CLASSES) + 2).alias("_ref_classes"), sums("_common", 21).alias("_ref_common"))
-    )
+    groups = table.where(~F.col("base_failed")).groupBy(listed(lang_col).alias("_ref_lang"))
+    groups = scratch.save(groups.agg(sums("_classes", len(CLASSES) + 2).alias("_ref_classes"), sums("_common", 21).alias("_ref_common")), "groups")
+    sides = [groups.where(w).agg(sums("_ref_classes", len(CLASSES) + 2).alias("c")) for w in ("_ref_lang IS NOT NULL", "_ref_lang IS NULL")]
+    both = sides[0].crossJoin(sides[1].withColumnRenamed("c", "d")).select(F.when(F.col("c")[0].isNotNull(), F.col("c")).otherwise(F.col("d")).alias("_ref_classes"))
+    other = both.select(F.lit(None).cast("string").alias("_ref_lang"), "_ref_classes", F.lit(None).cast("array<double>").alias("_ref_common"))
+    return groups.where("_ref_lang IS NOT NULL").unionByName(other)
 
 
 def js_distance(p: str, q: str) -> Column:
@@ -112,7 +120,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_classes, js_common, kept.
 
     A null text counts as empty and fails for want of words. A document in a language without a word
-    list, or shorter than the guards, has null distances and is judged by the base rules alone. The
+    list, or in none, has no js_common and is compared with the classes of the listed languages. One shorter than the guards has null distances and is judged by the base rules alone. The
     columns this adds replace columns of the same name. Rows are judged one by one, so repeated rows and null or repeated ids
     are kept as they are. ``keep_text=False`` drops the text, which makes the written table small.
     """
@@ -121,8 +129,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     docs = docs.select([c for c in docs.columns if c not in added])
     table = features(docs, text_col, lang_col)
     table = scratch.save(table if keep_text else table.drop(text_col), "features")
-    refs = scratch.save(references(table, lang_col), "references")
-    df = table.join(F.broadcast(refs), F.col(lang_col) == F.col("_ref_lang"), "left")
+    refs = scratch.save(references(table, scratch, lang_col), "references")
+    df = table.join(F.broadcast(refs), listed(lang_col).eqNullSafe(F.col("_ref_lang")), "left")
     df = df.withColumn("js_classes", F.when(F.col("word_chars") >= MIN_CHARS_FOR_CLASSES, js_distance("_classes", "_ref_classes")))
     df = df.withColumn("js_common", F.when(F.col("n_words") >= MIN_WORDS_FOR_COMMON, js_distance("_common", "_ref_common")))
     far = (F.coalesce("js_classes", F.lit(0.0)) > max_class) | (F.coalesce("js_common", F.lit(0.0)) > max_word)

@@ -55,6 +55,16 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert kept == clean and out > 0.8 * junk
 
 
+def test_quality_judges_other_languages_by_classes(spark):
+    prose = lambda i: " ".join(f"word{'abcdefghij'[(i + k) % 10]}{'klmnopqrst'[k // 10]}" for k in range(90)) + "."
+    junk = lambda i: " ".join(f"{i * 1000 + k * 7919}#|{k}" for k in range(90))
+    rows = [(i, prose(i), "en") for i in range(40)] + [(100, prose(3), None), (101, prose(4), "EN")]
+    rows += [(200 + i, junk(i), lang) for i, lang in enumerate([None, "EN", "xx", None, None, None, None, None])]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept for i in (*range(40), 100, 101))
+    assert all(not got[200 + i].base_failed and not got[200 + i].kept and got[200 + i].js_common is None for i in range(8))
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([1.0, 1.0, 0.0], [1.0, 0.0, 1.0]), ([2.0, 2.0, 0.0], [5.0, 5.0, 0.0]), ([0.0, 0.0, 0.0], [1.0, 0.0, 0.0])], "p array<double>, q array<double>")
     got = [r.d for r in df.select(quality.js_distance("p", "q").alias("d")).collect()]
