@@ -186,3 +186,12 @@ def test_extraction_keeps_copies_of_a_page(spark):
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {got[i] for i in range(6)} == {"Head\nThe story that was copied"}
     assert {got[i] for i in range(10, 16)} == {"Head\nCopied story"}
+
+
+def test_extraction_judges_marked_articles_by_template(spark):
+    inside = lambda i: f"<main><div>By our staff</div><p>Long story with number {i}</p><div>Read also these</div></main>"
+    teaser = lambda i: f"<div><p>The main text of page {i} is in a plain element</p></div><aside><article>Teaser {i}</article></aside><article class='comment'>Nice {i}</article><article>More here</article>"
+    rows = [(i, f"http://m.example/{i}", inside(i)) for i in range(6)] + [(10 + i, f"http://t.example/{i}", teaser(i)) for i in range(6)]
+    rows += [(20, "http://one.example/", "<div>Menu of all things</div><article>Short</article>"), (21, "http://two.example/", "<div>Text</div><article class='comment'>Nice</article>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Long story with number {i}" for i in range(6)} | {10 + i: f"The main text of page {i} is in a plain element" for i in range(6)} | {20: "Short", 21: "Text"}
