@@ -45,8 +45,9 @@ def xor_zeros(df: DataFrame) -> DataFrame:
 
 
 def exponents(df: DataFrame) -> DataFrame:
-    e = fp.exponent(fp.bits(F.col("value")))
-    return df.agg(F.min(e).alias("min"), F.max(e).alias("max"), F.avg(e).alias("mean"), F.stddev_pop(e).alias("std"))
+    """min, max, mean and population deviation of the IEEE exponents of values that are set; 0 of none."""
+    e = df.where(F.col("value").isNotNull()).select(fp.exponent(fp.bits(F.col("value"))).alias("e"))
+    return e.agg(*[F.coalesce(of("e"), F.lit(0)).alias(name) for name, of in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))])
 
 
 def precision_counts(df: DataFrame, text: str) -> DataFrame:

@@ -211,6 +211,7 @@ add("dataset_stats", lambda s, d: rnd(stats.describe(events(s, d).df)), f"SELECT
 add("non_unique_ratio", lambda s, d: rnd(stats.describe(events(s, d).df).select("non_unique_ratio"), 6), f"SELECT round((count(*) - count(DISTINCT value)) / count(*), 6) AS non_unique_ratio FROM {EV}")
 add("xor_zero_stats", lambda s, d: rnd(stats.xor_zeros(events(s, d).df)))
 add("exponent_stats", lambda s, d: rnd(stats.exponents(events(s, d).df)), f"SELECT min(e) AS min, max(e) AS max, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS std FROM (SELECT floor(log2(value))::BIGINT AS e FROM {EV})")
+add("exponent_counts", lambda s, d: events(s, d).df.select(fp.exponent(fp.bits(F.col("value"))).alias("exponent")).groupBy("exponent").count(), f"SELECT CASE WHEN value = 0 THEN -1023 ELSE floor(log2(abs(value)))::BIGINT END AS exponent, count(*) AS count FROM {EV} GROUP BY 1")
 DIGITS = "CASE WHEN s LIKE '%.%' THEN length(s) - strpos(s, '.') ELSE 0 END"
 CENTS = "(SELECT regexp_replace(regexp_replace(printf('%d.%02d', round(value * 100)::BIGINT // 100, round(value * 100)::BIGINT % 100), '0+$', ''), '[.]$', '.0') AS s FROM events)"
 add("decimal_precision_strings", lambda s, d: stats.precision_counts(events(s, d).df.withColumn("s", F.col("value").cast("string")), "s").select(F.col("digits").cast("long").alias("digits"), "count"), f"SELECT ({DIGITS})::BIGINT AS digits, count(*) AS count FROM {CENTS} GROUP BY 1")

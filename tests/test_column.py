@@ -128,6 +128,12 @@ def test_statistics(spark):
     assert stats.detect_precision(texts, "s").first().digits == 2 and stats.detect_precision(texts, "s", exact=True).first().digits == 5
     empty = stats.describe(df.limit(0)).first()
     assert tuple(empty) == (0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    exact = [math.frexp(v)[1] - 1 if v else -1023 for v in values]
+    got = stats.exponents(df.union(df.limit(1).selectExpr("row_id", "chunk_id", "CAST(NULL AS double)"))).first()
+    mean = sum(exact) / len(exact)
+    assert (got["min"], got["max"]) == (min(exact), max(exact)) and math.isclose(got["mean"], mean)
+    assert math.isclose(got["std"], math.sqrt(sum((e - mean) ** 2 for e in exact) / len(exact)))
+    assert tuple(stats.exponents(df.limit(0)).first()) == (0, 0, 0.0, 0.0)
 
 
 def test_sql_codecs(spark):
