@@ -56,8 +56,9 @@ def div(a: Column, b: Column) -> Column:
 
 
 def round_scale(v: Column, scale: float) -> Column:
-    """round(v * scale) / scale, halves away from zero on the scaled double."""
-    return F.round(v * F.lit(float(scale)), 0) / F.lit(float(scale))
+    """round(v * scale) / scale, halves away from zero on the scaled double; what rounds to zero keeps its sign."""
+    x = F.round(v * F.lit(float(scale)), 0)
+    return F.when((x == 0) & negative(v), F.lit(-0.0)).otherwise(x / F.lit(float(scale)))
 
 
 def bits(v: Column) -> Column:

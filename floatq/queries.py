@@ -181,7 +181,7 @@ LINE = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 
 
 def expression(e: object) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: table(s, d, "lineitem").select(*LINE.split(", "), F.round(e.to_column(), 4).alias("value"))  # type: ignore[attr-defined]
+    return lambda s, d: table(s, d, "lineitem").select(*LINE.split(", "), fp.round_scale(e.to_column(), 10_000).alias("value"))  # type: ignore[attr-defined]
 
 
 qty, price, disc, tax = (Col(f"l_{c}") for c in ("quantity", "extendedprice", "discount", "tax"))
