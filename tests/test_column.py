@@ -164,6 +164,28 @@ def test_vectors(spark):
     assert vectors.reshape(flat, 2).orderBy("vec_id").collect() == df.collect()
 
 
+def test_classification_matches_brute_force(spark, monkeypatch):
+    """Copies, ties, several blocks, vectors of another length, and rows that are near to nothing."""
+    monkeypatch.setattr(vectors, "BLOCK", 70)
+    rng = random.Random(12)
+    known = [(i, [float(rng.randrange(-3, 4)) for _ in range(6 if i % 9 else 4)], i % 5) for i in range(300)]
+    known += [(1000 + i, [1e3 + rng.random() / 1e4 for _ in range(6)], 7) for i in range(40)]
+    asked = [(5000 + i, [float(rng.randrange(-3, 4)) + (0.25 if i % 2 else 0.0) for _ in range(6)], i % 5) for i in range(150)]
+    asked += [(6000 + i, v, 7) for i, v, _ in known[-20:]] + [(7000, None, 1), (7001, [math.nan] * 6, 1), (5000, asked[0][1], 0)]
+    odd = [(2000, None, 1), (2001, [math.nan] * 6, 2), (2002, [math.inf] * 6, 3)]
+    kind = "vec_id long, embedding array<double>, label int"
+    got = vectors.classify(spark.createDataFrame(known + odd, kind), spark.createDataFrame(asked, kind)).collect()
+
+    def predicted(v):
+        if v is None or not all(map(math.isfinite, v)):
+            return None
+        return min(known, key=lambda r: (sum((x - y) * (x - y) for x, y in zip(r[1], v, strict=False)), -r[0]))[2]
+
+    key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(((i, n, predicted(v)) for i, v, n in asked), key=key)
+    assert vectors.classify(spark.createDataFrame([], kind), spark.createDataFrame(asked[:2], kind)).select("predicted").collect() == [(None,)] * 2
+
+
 def test_reports(spark):
     df = spark.createDataFrame([("x", "a", 1.0), ("x", "b", 2.0), ("x", "c", 2.0), ("y", "a", 3.0), ("y", "b", 1.0), ("y", "c", 2.0)], "dataset string, method string, metric double")
     ranks = {r.method: r.mean_rank for r in report.mean_ranks(df, "dataset", "method", "metric").collect()}
