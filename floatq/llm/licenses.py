@@ -1,18 +1,18 @@
 """License scans by diagonal voting.
 
-Words of a text give rolling hashes of two-word grams, which are joined to the grams of the license
-templates. A hit at text position p and template position t votes for the diagonal p - t. On an
-exact copy all grams of a template vote for one diagonal; inserted or lost words move the votes to
-neighbouring diagonals, which are merged; chains of copies are cut into windows. A span is verified by the share of the template's grams that it holds and by
-its extent. The template grams are a fixed set, which bounds the broadcast.
+Words of a text give rolling hashes of two-word grams. Hashes that no template has are dropped inside the row; the others are
+joined to the grams of the license templates and compared with them word by word. A hit at text position p and template
+position t votes for the diagonal p - t. On an exact copy all grams of a template vote for one diagonal; inserted or lost
+words move the votes to neighbouring diagonals, which are merged; chains of copies are cut into windows. A span is verified
+by the share of the template's grams whose words stand in it and by its extent. The votes of a diagonal are a bit mask of the template's
+grams, so no list is built. The template grams are a fixed set, which bounds the broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .near_dedup import row_key
 from .shared import Scratch, ascii_lower
 
 # What separates words, and the base phrases with their labels.
@@ -41,14 +41,22 @@ NEAR, LEAST_SHARE, MOST_EXTENT = 3, 0.8, 1.5
 SCALE = 1024
 
 
-def template_grams(spark) -> DataFrame:
-    """(h, template, label, base, t, n): a row per two-word gram, at word t of a template with n grams."""
+def template_grams(spark: SparkSession) -> DataFrame:
+    """(gram, template, label, base, t, n): a row per two-word gram, at word t of a template with n grams (63 at most, as they are bits)."""
     rows = []
     for i, (text, label) in enumerate([*BASE.items(), *NOTICES.items()]):
         words = text.split(" ")
-        rows += [(words[t], words[t + 1], i, label, i < len(BASE), t, len(words) - 1) for t in range(len(words) - 1)]
-    grams = spark.createDataFrame(rows, "a string, b string, template int, label string, base boolean, t int, n int")
-    return grams.select(F.xxhash64("a", "b").alias("h"), "template", "label", "base", "t", "n")
+        n = len(words) - 1
+        rows += [f"('{words[t]} {words[t + 1]}', {i}, '{label}', {i < len(BASE)}, {t}, {n})" for t in range(n)]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS grams(gram, template, label, base, t, n)")
+
+
+def gram_hits() -> str:
+    """SQL of (p, gram) for each place of ``w`` where a template's gram may begin; reads ``w`` and its rolling hashes ``h``."""
+    grams = sorted({" ".join(pair) for text in (*BASE, *NOTICES) for pair in zip(text.split(" "), text.split(" ")[1:], strict=False)})
+    known = ", ".join("xxhash64('{}', '{}')".format(*gram.split(" ")) for gram in grams)
+    found = f"filter(sequence(0, size(h) - 1), i -> get(h, i) IN ({known}))"
+    return f"CASE WHEN size(h) > 0 THEN transform({found}, i -> struct(i AS p, concat(get(w, i), ' ', get(w, i + 1)) AS gram)) END"
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,20 +65,24 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_base counts the places of base phrases, first_word and last_word are their smallest and largest
     first word (null without one). base_labels and labels are distinct, sorted and comma-joined, and
     empty without one; labels holds the base labels and those of verified notices. score is the largest
-    share of a template's grams in one span. A null or empty text has no words. Rows that repeat id and
-    text get one verdict, a null id stays null, other columns are ignored, an empty table gives an empty result.
+    share of a template's grams in one span. A null or empty text has no words. Rows are judged one by one: repeated rows repeat,
+    a null id stays null, other columns are ignored, an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "license")
     words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), lambda w: w != "")
-    cut = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc"), words.alias("w"))
-    grams = F.expr("CASE WHEN size(w) > 1 THEN zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b)) END")
-    rolling = cut.select("row", F.posexplode(grams).alias("p", "h"))
-    hits = rolling.join(F.broadcast(template_grams(docs.sparkSession)), "h")
+    cut = docs.select(F.col(id_col).alias("doc"), words.alias("w"))
+    cut = cut.withColumn("h", F.expr("CASE WHEN size(w) > 1 THEN zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b)) END"))
+    # The number of a row is settled by writing it. Words go no further than this.
+    rows = cut.select(F.monotonically_increasing_id().alias("row"), "doc", F.size("w").cast("long").alias("n_words"), F.expr(gram_hits()).alias("hits"))
+    rows = scratch.save(rows, "rows")
+    rolling = rows.select("row", F.explode("hits").alias("hit")).select("row", F.col("hit.p").cast("long").alias("p"), F.col("hit.gram").alias("gram"))
+    hits = rolling.join(F.broadcast(template_grams(docs.sparkSession)), "gram")
     votes = hits.groupBy("row", "template", "label", "base", "n", (F.col("p") - F.col("t")).alias("diagonal")).agg(
-        F.collect_set("t").alias("ts"), F.min("p").alias("first"), F.max("p").alias("last")
+        F.bit_or(F.expr("shiftleft(1L, t)")).alias("votes"), F.min("p").alias("first"), F.max("p").alias("last")
     )
     votes = scratch.save(votes, "votes")
-    exact = votes.where(F.col("base") & (F.size("ts") == F.col("n"))).select("row", "label", "base", F.lit(1.0).alias("share"), F.col("diagonal").cast("long").alias("at"))
+    # A base phrase is a diagonal with all of its grams.
+    exact = votes.where(F.col("base") & (F.bit_count("votes") == F.col("n"))).select("row", "label", "base", F.lit(1.0).alias("share"), F.col("diagonal").alias("at"))
     line = Window.partitionBy("row", "template").orderBy("diagonal")
     chained = (
         votes.where(~F.col("base"))
@@ -79,8 +91,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     spans = (
         chained.groupBy("row", "template", "label", "base", "n", "span")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("share", F.col("votes") / F.col("n"))
+        .agg(F.bit_count(F.bit_or("votes")).alias("held"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .withColumn("share", F.col("held") / F.col("n"))
         .withColumn("enough", F.col("share") >= LEAST_SHARE)
         .withColumn("long", F.col("enough") & (F.col("last") - F.col("first") + 1 > MOST_EXTENT * F.col("n")))
     )
@@ -90,24 +102,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     window = Window.partitionBy("row", "template", "span").orderBy("place").rangeBetween(0, SCALE - 1)
     cut_spans = (
         chained.join(spans.where("long").select("row", "template", "span"), ["row", "template", "span"])
-        .select("row", "template", "span", "label", "base", "n", "diagonal", F.explode("ts").alias("t"))
+        .select("row", "template", "span", "label", "base", "n", "diagonal", F.explode(F.expr("filter(sequence(0, n - 1), i -> getbit(votes, i) = 1)")).alias("t"))
         .withColumn("place", F.floor((F.col("diagonal") + F.col("t")) * SCALE / extent))
-        .select("row", "template", "span", "label", "base", "n", F.size(F.collect_set("t").over(window)).alias("votes"))
+        .select("row", "template", "span", "label", "base", "n", F.bit_count(F.bit_or(F.expr("shiftleft(1L, t)")).over(window)).alias("held"))
         .groupBy("row", "template", "span", "label", "base", "n")
-        .agg((F.max("votes") / F.col("n")).alias("share"))
+        .agg((F.max("held") / F.col("n")).alias("share"))
         .select("row", "label", "base", "share", (F.col("share") >= LEAST_SHARE).alias("fits"))
     )
     verified = spans.where("NOT long").select("row", "label", "base", "share", F.col("enough").alias("fits")).unionByName(cut_spans)
     noted = verified.select("row", F.when(F.col("fits"), F.col("label")).alias("label"), "base", "share", F.lit(None).cast("long").alias("at"))
-    per_row = exact.unionByName(noted).groupBy("row").agg(
-        F.count("at").alias("n_base"),
-        F.min("at").alias("first_word"),
-        F.max("at").alias("last_word"),
+    # Labels are a handful, so their sets stay small.
+    per_row = exact.unionByName(noted).groupBy("row", "label", "base").agg(F.count("at").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"), F.max("share").alias("share"))
+    per_row = per_row.groupBy("row").agg(
+        F.sum("places").alias("n_base"),
+        F.min("first").alias("first_word"),
+        F.max("last").alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("share").alias("score"),
     )
-    return cut.select("row", "doc", F.size("w").cast("long").alias("n_words")).join(per_row, "row", "left").select(
+    return rows.select("row", "doc", "n_words").join(per_row, "row", "left").select(
         F.col("doc").alias(id_col),
         "n_words",
         F.coalesce("n_base", F.lit(0)).alias("n_base"),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -95,6 +96,56 @@ def test_license_base_matches_brute_force(spark):
     assert licenses.license_scan(docs.limit(0)).collect() == []
 
 
+def brute_labels(text):
+    """Labels and score by the stated rule, with plain loops."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels, score = set(), 0.0
+    for phrases, base in ((licenses.BASE, True), (licenses.NOTICES, False)):
+        for phrase, label in phrases.items():
+            w = phrase.split()
+            n = len(w) - 1
+            hits = [(p, t) for p in range(len(words) - 1) for t in range(n) if words[p : p + 2] == w[t : t + 2]]
+            if base:
+                if any({t for p, t in hits if p - t == d} == set(range(n)) for d in {p - t for p, t in hits}):
+                    labels.add(label)
+                    score = 1.0
+                continue
+            chains = []
+            for d in sorted({p - t for p, t in hits}):
+                if not chains or d - chains[-1][-1] > licenses.NEAR:
+                    chains.append([])
+                chains[-1].append(d)
+            for chain in chains:
+                own = [(p, t) for p, t in hits if p - t in chain]
+                share = len({t for _, t in own}) / n
+                first, last = min(own)[0], max(own)[0]
+                if share >= licenses.LEAST_SHARE and last - first + 1 > licenses.MOST_EXTENT * n:
+                    extent = int(licenses.MOST_EXTENT * n)
+                    share = max(len({t for p, t in own if at <= p < at + extent}) / n for at in range(first, last + 1))
+                score = max(score, share)
+                labels |= {label} if share >= licenses.LEAST_SHARE else set()
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_match_brute_force(spark):
+    """Notices with words inserted, lost and changed, copies side by side, and repeated rows."""
+    rng = random.Random(6)
+    phrases = [*licenses.BASE, *licenses.NOTICES]
+    rows = [(0, None), (1, ""), (2, "license"), (3, "all rights reserved " * 300)]
+    for i in range(4, 200):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            w = rng.choice(phrases).split()
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randrange(2)] = rng.choice([[], ["x"], ["the", "license"]])
+            words += w * rng.choice([1, 1, 2, 3]) + ["and"] * rng.randrange(5)
+        rows.append((i, " ".join(words).upper()))
+    rows += rows[-20:]
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.labels, round(r.score, 9)) for r in got) == sorted((i, labels, round(score, 9)) for i, t in rows for labels, score in [brute_labels(t)])
+
+
 def test_license_copies_side_by_side(spark):
     rows = [(1, "All rights reserved. All rights reserved."), (2, "All rights reserved. Some rights reserved"), (3, "eclipse public license " * 500), (4, "all x y z rights x y z reserved")]
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
