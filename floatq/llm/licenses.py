@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, ascii_lower
+from .shared import ascii_lower, quoted
 
 # What separates words, and the base phrases with their labels.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,66 +68,51 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share of a template's grams in one span. A null or empty text has no words. Rows are judged one by one: repeated rows repeat,
     a null id stays null, other columns are ignored, an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "license")
-    words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), lambda w: w != "")
-    cut = docs.select(F.col(id_col).alias("doc"), words.alias("w"))
+    words = F.filter(F.split(ascii_lower(F.coalesce(F.col(quoted(text_col)), F.lit(""))), SEPARATORS), lambda w: w != "")
+    cut = docs.select(F.col(quoted(id_col)).alias("doc"), words.alias("w"))
     cut = cut.withColumn("h", F.expr("CASE WHEN size(w) > 1 THEN zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b)) END"))
-    # The number of a row is settled by writing it. Words go no further than this.
     rows = cut.select(F.monotonically_increasing_id().alias("row"), "doc", F.size("w").cast("long").alias("n_words"), F.expr(gram_hits()).alias("hits"))
-    rows = scratch.save(rows, "rows")
-    rolling = rows.select("row", F.explode("hits").alias("hit")).select("row", F.col("hit.p").cast("long").alias("p"), F.col("hit.gram").alias("gram"))
-    hits = rolling.join(F.broadcast(template_grams(docs.sparkSession)), "gram")
-    votes = hits.groupBy("row", "template", "label", "base", "n", (F.col("p") - F.col("t")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, t)")).alias("votes"), F.min("p").alias("first"), F.max("p").alias("last")
+    # A row without a hit comes first, which carries the document itself.
+    itself = "array(CAST(NULL AS STRUCT<p: INT, gram: STRING>))"
+    rolling = rows.select("row", "doc", "n_words", F.posexplode(F.expr(f"concat({itself}, coalesce(hits, array()))")).alias("k", "hit"))
+    own = lambda c: F.when(F.col("k") == 0, F.col(c)).alias(c)
+    rolling = rolling.select("row", own("doc"), own("n_words"), F.col("hit.p").cast("long").alias("p"), F.col("hit.gram").alias("gram"))
+    hits = rolling.join(F.broadcast(template_grams(docs.sparkSession)), "gram", "left")
+    # Dealt by row once; a document's hits are no more than its words, and all further steps keep to this partitioning.
+    notice = ["template", "label", "base", "n"]
+    votes = hits.repartition("row").groupBy("row", *notice, (F.col("p") - F.col("t")).alias("diagonal")).agg(
+        F.bit_or(F.expr("shiftleft(1L, t)")).alias("votes"), F.first("doc", ignorenulls=True).alias("doc"), F.max("n_words").alias("n_words")
     )
-    votes = scratch.save(votes, "votes")
-    # A base phrase is a diagonal with all of its grams.
-    exact = votes.where(F.col("base") & (F.bit_count("votes") == F.col("n"))).select("row", "label", "base", F.lit(1.0).alias("share"), F.col("diagonal").alias("at"))
     line = Window.partitionBy("row", "template").orderBy("diagonal")
-    chained = (
-        votes.where(~F.col("base"))
-        .withColumn("fresh", (F.col("diagonal") - F.lag("diagonal", 1, -1_000_000).over(line) > NEAR).cast("int"))
-        .withColumn("span", F.sum("fresh").over(line))
-    )
-    spans = (
-        chained.groupBy("row", "template", "label", "base", "n", "span")
-        .agg(F.bit_count(F.bit_or("votes")).alias("held"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("share", F.col("held") / F.col("n"))
-        .withColumn("enough", F.col("share") >= LEAST_SHARE)
-        .withColumn("long", F.col("enough") & (F.col("last") - F.col("first") + 1 > MOST_EXTENT * F.col("n")))
-    )
-    spans = scratch.save(spans, "spans")
+    chained = votes.withColumn("fresh", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > NEAR).cast("int"), F.lit(1))).withColumn("span", F.sum("fresh").over(line))
     # Chains that are too long are cut into windows of the largest extent, of which the best counts; places are in fractions of it.
     extent = F.floor(MOST_EXTENT * F.col("n"))
     window = Window.partitionBy("row", "template", "span").orderBy("place").rangeBetween(0, SCALE - 1)
-    cut_spans = (
-        chained.join(spans.where("long").select("row", "template", "span"), ["row", "template", "span"])
-        .select("row", "template", "span", "label", "base", "n", "diagonal", F.explode(F.expr("filter(sequence(0, n - 1), i -> getbit(votes, i) = 1)")).alias("t"))
-        .withColumn("place", F.floor((F.col("diagonal") + F.col("t")) * SCALE / extent))
-        .select("row", "template", "span", "label", "base", "n", F.bit_count(F.bit_or(F.expr("shiftleft(1L, t)")).over(window)).alias("held"))
-        .groupBy("row", "template", "span", "label", "base", "n")
-        .agg((F.max("held") / F.col("n")).alias("share"))
-        .select("row", "label", "base", "share", (F.col("share") >= LEAST_SHARE).alias("fits"))
+    placed = (
+        chained.withColumn("t", F.explode_outer(F.expr("filter(sequence(0, n - 1), i -> getbit(votes, i) = 1)")))
+        .withColumn("p", F.col("diagonal") + F.col("t"))
+        .withColumn("place", F.floor(F.col("p") * SCALE / extent))
+        .withColumn("near", F.bit_count(F.bit_or(F.expr("shiftleft(1L, t)")).over(window)))
+        # A base phrase is a diagonal with all of its grams; it counts at the first.
+        .withColumn("at", F.when(F.col("base") & (F.bit_count("votes") == F.col("n")) & (F.col("t") == 0), F.col("diagonal")))
     )
-    verified = spans.where("NOT long").select("row", "label", "base", "share", F.col("enough").alias("fits")).unionByName(cut_spans)
-    noted = verified.select("row", F.when(F.col("fits"), F.col("label")).alias("label"), "base", "share", F.lit(None).cast("long").alias("at"))
+    spans = placed.groupBy("row", *notice, "span").agg(
+        F.bit_count(F.bit_or("votes")).alias("held"), F.max("near").alias("near"), (F.max("p") - F.min("p") + 1).alias("extent"),
+        F.count("at").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"), F.first("doc", ignorenulls=True).alias("doc"), F.max("n_words").alias("n_words"),
+    )
+    share = F.col("held") / F.col("n")
+    share = F.when((share >= LEAST_SHARE) & (F.col("extent") > MOST_EXTENT * F.col("n")), F.col("near") / F.col("n")).otherwise(share)
+    share = F.when(F.col("base"), F.when(F.col("places") > 0, F.lit(1.0))).otherwise(share)
+    spans = spans.withColumn("share", share).withColumn("found", F.when(F.col("share") >= LEAST_SHARE, F.col("label")))
     # Labels are a handful, so their sets stay small.
-    per_row = exact.unionByName(noted).groupBy("row", "label", "base").agg(F.count("at").alias("places"), F.min("at").alias("first"), F.max("at").alias("last"), F.max("share").alias("share"))
-    per_row = per_row.groupBy("row").agg(
-        F.sum("places").alias("n_base"),
+    per_row = spans.groupBy("row").agg(
+        F.first("doc", ignorenulls=True).alias(id_col),
+        F.max("n_words").alias("n_words"),
+        F.coalesce(F.sum("places"), F.lit(0)).alias("n_base"),
         F.min("first").alias("first_word"),
         F.max("last").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("share").alias("score"),
-    )
-    return rows.select("row", "doc", "n_words").join(per_row, "row", "left").select(
-        F.col("doc").alias(id_col),
-        "n_words",
-        F.coalesce("n_base", F.lit(0)).alias("n_base"),
-        "first_word",
-        "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"),
-        F.coalesce("labels", F.lit("")).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("found")))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.collect_set("found")), ",").alias("labels"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
+    return per_row.drop("row")
