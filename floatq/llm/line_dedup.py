@@ -1,13 +1,13 @@
 """Deduplication of fuzzy lines by MinHash.
 
-Lines (cut at \\n) of at least ``MIN_CHARS`` characters become sets of character shingles. Equal
-lines are one item; MinHash samples of the others give the keys of high-recall bands, candidates are
-verified by the exact Jaccard similarity of their shingle sets, and distributed union-find joins
-the linked lines. Of each component one line stays: the first of the smallest document id. Shorter
-lines always stay, as short sentences meet by chance.
+Lines (cut at \\n) become sets of character shingles; a line shorter than a shingle is one, so such lines are linked
+if they are equal. Equal lines are one item, told by a 128-bit hash; MinHash samples of the others give the keys of
+high-recall bands, candidates are verified by the exact Jaccard similarity of their shingle sets, and distributed
+union-find joins the linked lines. Of each component one line stays: the first of the smallest document id. Lines of nothing
+but white space part paragraphs: they are no items and always stay.
 
 Recall: with 12 bands of 4 samples a pair of lines at similarity 0.8 shares no key with odds of
-0.0018, at 0.85 of 1.4e-4, at 0.9 of 3e-6. Lines are told apart by 64-bit hashes.
+0.0018, at 0.85 of 1.4e-4, at 0.9 of 3e-6.
 """
 
 from __future__ import annotations
@@ -22,28 +22,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .near_dedup import odd_sketches, row_key, sketch_bound
-from .shared import Scratch, pick
-from .similar import BlockTest, band_keys, link_components, permutations
+from .near_dedup import odd_sketches, shared, sketch_bound
+from .shared import Scratch, pick, quoted, row_key, unused
+from .similar import GROUP, NAME, BlockTest, band_keys, group_columns, link_components, lists, permutations
 from .token_counts import slices
 
 BANDS, ROWS, SKETCH_BITS, SEED = 12, 4, 256, 7
-THRESHOLD, MIN_CHARS, SHINGLE = 80, 16, 8
-LANES = 8
+THRESHOLD, SHINGLE = 80, 8
+#: Rows of the matrix that a line's shingles are dealt to, and members per block of buckets that hubs don't settle.
+LANES, BLOCK = 8, 1024
 #: Shingles that are hashed at a time, and most line numbers that are broadcast to texts.
 CHUNK, MAX_BROADCAST_LINES = 1 << 16, 2_000_000
 #: Standard deviations of the samples that a link may lie below the threshold by its sketches: lost odds of 3e-5.
 DEVIATIONS = 4
 #: Characters of the texts that are handled at a time.
 SLICE_CHARS = 500_000
-#: Seed of Spark's xxhash64, so that both sides name a line alike.
-SPARK_SEED = 42
+#: Seeds of Spark's xxhash64 of a line, and of 1 and a line, so that both sides name a line alike.
+SPARK_SEEDS = 42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
 
 
-def line_id(line: bytes) -> int:
-    """What Spark's xxhash64 gives for the line."""
-    h = xxhash.xxh64_intdigest(line, SPARK_SEED)
-    return h - (1 << 64) if h >> 63 else h
+def line_names(lines: list[str]) -> np.ndarray:
+    """What Spark's ``xxhash64(line)`` and ``xxhash64(1, line)`` give for the lines (n x 2)."""
+    coded = [line.encode() for line in lines]
+    halves = [np.fromiter((xxhash.xxh64_intdigest(c, seed) for c in coded), np.uint64, len(coded)) for seed in SPARK_SEEDS]
+    return np.stack(halves, axis=1).view(np.int64)
 
 
 def windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +112,9 @@ def line_minima(lines: list[str], odd: np.ndarray) -> np.ndarray:
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, doc, pos, id, size, bands, sketch of every line that is long enough.
+    """row, doc, pos, h1, h2, size, bands, sketch of every line that isn't blank.
 
-    Within a batch only the first of equal lines has bands.
+    Within a batch only the first of equal lines has bands and sketch, and lines shorter than a shingle have none, as they are only linked with equal ones.
     """
     odd = multipliers(BANDS * ROWS, SEED)
 
@@ -124,67 +126,98 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 distinct: dict[str, int] = {}
                 for i in range(lo, hi):
                     for p, line in enumerate((texts[i] or "").split("\n")):
-                        if len(line) >= MIN_CHARS:
+                        if line and not line.isspace():
                             at.append(i)
                             pos.append(p)
                             place.append(distinct.setdefault(line, len(distinct)))
                 if not place:
                     continue
-                low = line_minima(list(distinct), odd)
+                lines_ = list(distinct)
+                size = np.fromiter(map(len, lines_), np.int64, len(lines_)) - SHINGLE + 1
+                low = line_minima([x for x, n in zip(lines_, size, strict=True) if n > 0], odd)
                 which = np.array(place)
                 first = np.zeros(len(which), bool)
                 first[np.unique(which, return_index=True)[1]] = True  # in the order of the distinct lines
-                offsets = pa.array(np.append(0, np.cumsum(first * BANDS)), pa.int32())
-                bands = pa.ListArray.from_arrays(offsets, pa.array(band_keys(low, ROWS).ravel()), mask=pa.array(~first))
-                sketches = pa.array(odd_sketches(low, SKETCH_BITS), pa.binary()).take(pa.array(which, mask=~first))
-                ids = np.fromiter((line_id(x.encode()) for x in distinct), np.int64, len(distinct))
-                size = np.fromiter(map(len, distinct), np.int32, len(distinct)) - SHINGLE + 1
+                first &= size[which] > 0
+                names = line_names(lines_)[which]
                 rows = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos, pa.int32()), pa.array(ids[which]), pa.array(size[which].astype(np.int32)), bands, sketches],
-                    names=["row", "doc", "pos", "id", "size", "bands", "sketch"],
+                    [
+                        batch.column(0).take(rows),
+                        batch.column(1).take(rows),
+                        pa.array(pos, pa.int32()),
+                        pa.array(names[:, 0]),
+                        pa.array(names[:, 1]),
+                        pa.array(np.maximum(size, 1)[which].astype(np.int32)),
+                        lists(band_keys(low, ROWS), first),
+                        lists(odd_sketches(low, SKETCH_BITS), first),
+                    ],
+                    names=["row", "doc", "pos", *NAME, "size", "bands", "sketch"],
                 )
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema[id_col].dataType), T.StructField("pos", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    return docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
+    df = docs.select(row_key(id_col, text_col).alias("row"), F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
+    longs = T.ArrayType(T.LongType())
+    fields = [df.schema["row"], df.schema["doc"], *(T.StructField(c, t) for c, t in (("pos", T.IntegerType()), ("h1", T.LongType()), ("h2", T.LongType()), ("size", T.IntegerType()), ("bands", longs), ("sketch", longs)))]
+    return df.mapInArrow(sign, T.StructType(fields))
 
 
 @dataclass(frozen=True)
 class LineShingles:
-    """Sets of character shingles, linked from ``threshold`` percent on."""
+    """Sets of character shingles, linked from ``threshold`` percent on.
+
+    Eight characters of one byte each are a 64-bit integer, so the sets of such lines are sorted arrays; those of lines with
+    other characters are made of strings. Both are exact.
+    """
 
     threshold: int
 
-    def of(self, text: str) -> frozenset[str]:
+    def of(self, text: str) -> tuple[np.ndarray | frozenset[str], str]:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.strings(text), text
+        found = np.sort(np.ndarray((len(raw) - SHINGLE + 1,), "<u8", raw, strides=(1,)))
+        return found[np.append(True, found[1:] != found[:-1])], text
+
+    @staticmethod
+    def strings(text: str) -> frozenset[str]:
         return frozenset(text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1))
 
-    def linked(self, a: frozenset[str], b: frozenset[str]) -> bool:
-        if 100 * min(len(a), len(b)) < self.threshold * max(len(a), len(b)):
+    def linked(self, a: tuple, b: tuple) -> bool:
+        (p, x), (q, y) = a, b
+        if 100 * min(len(p), len(q)) < self.threshold * max(len(p), len(q)):
             return False
-        same = len(a & b)
-        return 100 * same >= self.threshold * (len(a) + len(b) - same)
+        if isinstance(p, np.ndarray) and isinstance(q, np.ndarray):
+            same = shared(p, q)
+        else:
+            same = len(self.strings(x) & self.strings(y))
+        return 100 * same >= self.threshold * (len(p) + len(q) - same)
+
+    def length(self, a: tuple) -> int:
+        return len(a[0])
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, drop (sorted line numbers from 0) of rows that lose lines."""
     signed = scratch.save(line_rows(docs, id_col, text_col), "lines")
-    # Sizes count repeated shingles too, so they bound nothing; the exact sets decide.
-    items = signed.select("id", "size", "bands", "sketch")
+    items = signed.select(*NAME, "size", "bands", "sketch")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        lines = docs.select(F.explode(F.split(text_col, "\n")).alias("text")).select(F.xxhash64("text").alias("id"), "text")
-        return pick(lines, ids, "id").groupBy("id").agg(F.min("text").alias("text"))
+        text = F.col(quoted(text_col))
+        lines = docs.select(F.explode(F.split(text, "\n")).alias("text")).select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+        return pick(lines, ids, NAME).select("id", "text").dropDuplicates(["id"])
 
-    test = BlockTest(0.0, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS))
-    comps = link_components(items, fetch, LineShingles(threshold), scratch, test)
-    tagged = pick(signed.select("row", "doc", "pos", "id"), comps, "id", "left").select("row", "doc", "pos", F.coalesce("component", "id").alias("g"))
+    # Sizes count repeated shingles too, so they bound nothing; the exact sets decide.
+    test = BlockTest(0.0, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS), SKETCH_BITS // 64, BLOCK)
+    linked = link_components(items, fetch, LineShingles(threshold), scratch, test)
+    tagged = pick(signed.select("row", "doc", "pos", *NAME), linked, NAME, "left").select("row", "doc", "pos", *group_columns())
     tagged = scratch.save(tagged, "tagged")
-    many = scratch.save(tagged.groupBy("g").count().where("count > 1").select("g"), "many")
-    repeated = scratch.save(pick(tagged, many, "g"), "repeated")
+    many = scratch.save(tagged.groupBy(*GROUP).count().where("count > 1").select(*GROUP), "many")
+    repeated = scratch.save(pick(tagged, many, GROUP), "repeated")
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "pos")
     # Written first, so that a common line's rows can be split if they are shuffled.
-    stays = scratch.save(repeated.groupBy("g").agg(F.min(place).alias("first")), "stays")
-    return pick(repeated, stays, "g").where(~F.col("first").eqNullSafe(place)).groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
+    stays = scratch.save(repeated.groupBy(*GROUP).agg(F.min(place).alias("first")), "stays")
+    return pick(repeated, stays, GROUP).where(~F.col("first").eqNullSafe(place)).groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 
 def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,17 +226,25 @@ def line_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
     Lines are linked if 100 * intersection >= ``threshold`` * union of their distinct character
     shingles. Of a component the line at the smallest id (null last), then earliest in the text, stays. Remaining
     lines are joined by \\n as they were. A null text stays null and has no lines; rows that repeat id and text are one
-    document and keep the same lines. Columns of the names this adds are replaced, all others stay.
+    document and keep the same lines. Columns of the names this adds are replaced, all others stay. An empty table gives an empty result.
     """
     if not 80 <= threshold <= 100:
         raise ValueError("the bands are made for a threshold of 80 to 100 percent")
     scratch = Scratch(docs.sparkSession, "lines")
-    docs = docs.select([c for c in docs.columns if c not in ("n_lines", "n_dropped")])
+    docs = docs.select([quoted(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
     drop = scratch.save(dropped_lines(docs, scratch, threshold, id_col, text_col), "drop")
-    drop = drop.select(F.col("row").alias("_row"), F.col("drop").alias("_drop"))
-    size = drop.agg(F.coalesce(F.sum(F.size("_drop") + 4), F.lit(0))).first()[0]
-    out = docs.withColumn("_row", row_key(id_col, text_col)).join(F.broadcast(drop) if size <= MAX_BROADCAST_LINES else drop, "_row", "left")
-    kept = F.expr(f"array_join(filter(split({text_col}, '\\n'), (l, i) -> NOT array_contains(_drop, i)), '\\n')")
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(text_col, "\n"))).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns, "n_lines", "n_dropped")
+    row, lost, kept = unused(docs.columns, "row", "lost", "kept_lines")
+    drop = drop.select(F.col("row").alias(row), F.col("drop").alias(lost))
+    size = drop.agg(F.coalesce(F.sum(F.size(lost) + 4), F.lit(0))).first()[0]
+    out = docs.withColumn(row, row_key(id_col, text_col)).join(F.broadcast(drop) if size <= MAX_BROADCAST_LINES else drop, row, "left")
+    text = quoted(text_col)
+    # Both steps hash or index, so a text of very many lines takes time in proportion.
+    out = out.withColumn(kept, F.expr(f"CASE WHEN {lost} IS NOT NULL THEN array_except(sequence(0, size(split({text}, '\\n')) - 1), {lost}) END"))
+    out = out.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long"))
+    out = out.withColumn("n_dropped", F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long"))
+    (cut,) = unused([*out.columns], "cut")
+    out = out.withColumn(cut, F.expr(f"CASE WHEN {lost} IS NOT NULL THEN split({text}, '\\n') END"))
+    # Named twice, so that the optimizer keeps the column instead of splitting the text for each line.
+    rest = F.expr(f"CASE WHEN {cut} IS NOT NULL THEN array_join(transform({kept}, i -> get({cut}, i)), '\\n') END")
+    columns = [F.when(F.col(lost).isNull(), F.col(text)).otherwise(rest).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns]
+    return out.select(*columns, "n_lines", "n_dropped")

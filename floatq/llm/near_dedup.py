@@ -4,7 +4,7 @@ Each document becomes the set of its distinct word shingles (as 64-bit hashes).
 the keys of the bands, and are folded into an odd sketch: each (sample number, minimum) flips one
 bit of a bitmap, so the XOR of two bitmaps counts the samples in which two documents differ. Where
 documents are similar this estimate is sharp, and it dismisses candidates before any text moves.
-What it leaves is confirmed on the full sets. Documents of one set are one item.
+What it leaves is confirmed on the full sets. Documents of one set (by a 128-bit digest) are one item.
 
 Recall: with 48 bands of 7 samples a pair at similarity 0.8 shares no key with odds of 1.3e-5, and
 less above it; the sketch's bound lies six standard deviations below the threshold.
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, pick
-from .similar import BlockTest, band_keys, link_components, mix, permutations
+from .shared import Scratch, pick, quoted, row_key
+from .similar import GROUP, NAME, BlockTest, band_keys, group_columns, link_components, lists, mix, permutations
 from .token_counts import slices
 
 BANDS, ROWS, SKETCH_BITS, SEED = 48, 7, 1024, 20
@@ -34,6 +34,8 @@ BANDS, ROWS, SKETCH_BITS, SEED = 48, 7, 1024, 20
 THRESHOLD = 80
 #: Words whose hashes are kept, and shingles hashed at a time.
 WORD_MEMO, CHUNK = 500_000, 1024
+#: Members per block of buckets that hubs don't settle.
+BLOCK = 256
 #: Standard deviations of the samples that a link may lie below the threshold by its sketches.
 DEVIATIONS = 6
 
@@ -48,12 +50,15 @@ def sketch_bound(threshold: float, samples: int, bits: int, deviations: float) -
     return sketch_bits(threshold - deviations * math.sqrt(threshold * (1 - threshold) / samples), samples, bits)
 
 
-def odd_sketches(minima: np.ndarray, bits: int) -> list[bytes]:
-    """Parity bitmaps of minima (n x samples)."""
+def odd_sketches(minima: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmaps of minima (n x samples), as longs (n x bits / 64)."""
     n, samples = minima.shape
     at = mix(minima.astype(np.uint64) << np.uint64(16) | np.arange(samples, dtype=np.uint64)[None, :]) % np.uint64(bits)
-    flips = np.bincount((at.astype(np.int64) + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits)
-    return [row.tobytes() for row in np.packbits((flips & 1).reshape(n, bits).astype(np.uint8), axis=1)]
+    word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+    out, row = np.zeros((n, bits // 64), np.uint64), np.arange(n)
+    for k in range(samples):
+        out[row, word[:, k]] ^= bit[:, k]
+    return out.view(np.int64)
 
 
 class Shingler:
@@ -92,13 +97,8 @@ def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def row_key(id_col: str, text_col: str):
-    """Tells rows apart that differ in id or text, without assuming that ids are unique or set."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """row, doc, n_shingles, id (of the set; null if empty), bands, sketch."""
+    """row, doc, n_shingles, h1 and h2 (digest of the set; null if empty), bands, sketch."""
     a, b = permutations(BANDS * ROWS, SEED)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,23 +108,32 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             for lo, hi in slices(texts):
                 sets = [shingler.shingles(t) for t in texts[lo:hi]]
                 low = np.stack([minima((s >> np.uint64(32)).astype(np.uint32), a, b) for s in sets])
-                keys, sketches = band_keys(low, ROWS), odd_sketches(low, SKETCH_BITS)
-                ids = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
-                full = [len(s) > 0 for s in sets]
+                digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+                full = np.array([len(s) > 0 for s in sets])
+                names = [pa.array(digests[:, k], mask=~full) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
                         batch.column(1).slice(lo, hi - lo),
                         pa.array(map(len, sets), pa.int64()),
-                        pa.array(ids, pa.int64()),
-                        pa.array([k if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())),
-                        pa.array([k if f else None for k, f in zip(sketches, full, strict=True)], pa.binary()),
+                        *names,
+                        lists(band_keys(low, ROWS)[full], full),
+                        lists(odd_sketches(low, SKETCH_BITS)[full], full),
                     ],
-                    names=["row", "doc", "n_shingles", "id", "bands", "sketch"],
+                    names=["row", "doc", "n_shingles", "h1", "h2", "bands", "sketch"],
                 )
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("id", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    return docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(sign, schema)
+    key = row_key(id_col, text_col)
+    df = docs.select(key.alias("row"), F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
+    fields = [df.schema["row"], df.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "sketch"))]
+    return df.mapInArrow(sign, T.StructType(fields))
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements of two sorted sets that are in both."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # merges two sorted runs
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 @dataclass(frozen=True)
@@ -138,9 +147,12 @@ class WordShingles:
         return _shingler(self.width).shingles(text)
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
-        same = len(np.intersect1d(a, b, assume_unique=True))
+        same = shared(a, b)
         return 100 * same >= self.threshold * (len(a) + len(b) - same)
 
+    def length(self, a: np.ndarray) -> int:
+        return len(a)
+
 
 @cache
 def _shingler(width: int) -> Shingler:
@@ -162,23 +174,24 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_c
     scratch = Scratch(docs.sparkSession, "near")
     signed = scratch.save(signatures(docs, id_col, text_col, width), "signed")
     # The values of one set are equal, so any of its rows can stand for it.
-    items = scratch.save(
-        signed.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("row").alias("row"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "items"
-    )
-    docs = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
+    items = signed.where(F.col("h1").isNotNull()).dropDuplicates(NAME)
+    items = scratch.save(items.select(*NAME, "row", F.col("n_shingles").alias("size"), "bands", "sketch"), "items")
+    docs = docs.select(row_key(id_col, text_col).alias("row"), F.col(quoted(text_col)).alias("text"))
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        wanted = scratch.save(items.select("id", "row").join(ids, "id"), "rows")
+    def fetch(names: DataFrame) -> DataFrame:
+        wanted = scratch.save(items.select(*NAME, "row").join(names, NAME).select("id", "row"), "rows")
         # A row may be there more than once.
         return pick(docs, wanted, "row").select("id", "text").dropDuplicates(["id"])
 
-    test = BlockTest(threshold / 100, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS))
-    comps = link_components(items, fetch, WordShingles(width, threshold), scratch, test)
-    tagged = scratch.save(pick(signed, comps, "id", "left").select("row", "doc", "n_shingles", F.coalesce("component", "id").alias("g")), "tagged")
+    test = BlockTest(threshold / 100, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS), SKETCH_BITS // 64, BLOCK)
+    linked = link_components(items, fetch, WordShingles(width, threshold), scratch, test)
+    tagged = pick(signed.select("row", "doc", "n_shingles", *NAME), linked, NAME, "left")
+    # Documents of one set that is linked with no other one are a group too.
+    tagged = scratch.save(tagged.select("row", "doc", "n_shingles", *group_columns()), "tagged")
     # A document alone in its group names itself, so only groups of several need a row.
-    names = tagged.where(F.col("g").isNotNull()).groupBy("g").agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    names = tagged.where(F.col("ga").isNotNull()).groupBy(*GROUP).agg(F.min("doc").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("doc"))
     names = scratch.save(names.withColumn("named", F.lit(True)), "names")
-    return pick(tagged, names, "g", "left").select(
+    return pick(tagged, names, GROUP, "left").select(
         "row", F.col("doc").alias(id_col), "n_shingles", component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept")
     )

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Most ids that are broadcast to pick rows: about 24 MB as a hashed relation of 64-bit keys.
 MAX_BROADCAST_IDS = 1_000_000
+#: Rows of a key from which it is kept out of a shuffle.
+MIN_HOT = 4096
 #: Only used on a local master when the session names no folder.
 LOCAL_DIR = "/tmp/checkpoints/floatq-local"
 
@@ -63,12 +65,52 @@ class Scratch:
             self._fs.delete(self._path(table._floatq_path), True)
 
 
-def pick(rows: DataFrame, wanted: DataFrame, key: str, how: str = "inner", most: int = MAX_BROADCAST_IDS) -> DataFrame:
+def pick(rows: DataFrame, wanted: DataFrame, key: str | list[str], how: str = "inner", most: int = MAX_BROADCAST_IDS) -> DataFrame:
     """``rows`` joined with the written table ``wanted``, which is broadcast up to ``most`` rows, else shuffled."""
     small = wanted.limit(most + 1).count() <= most
     return rows.join(F.broadcast(wanted) if small else wanted, key, how)
 
 
+def pick_hot(rows: DataFrame, wanted: DataFrame, key: str, scratch: Scratch, most: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """Inner join with the written table ``wanted``, whose column ``n`` counts the rows of each key.
+
+    Up to ``most`` keys are broadcast. Beyond, only keys of MIN_HOT rows are, whose number is bounded by the rows over MIN_HOT,
+    if that bound holds too; the others are shuffled, so no key brings many rows to a task.
+    """
+    if wanted.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(wanted), key)
+    hot = wanted.where(F.col("n") >= MIN_HOT)
+    if hot.limit(most + 1).count() > most:
+        return rows.join(wanted, key)
+    hot = scratch.save(hot, "hot")
+    passed = rows.join(F.broadcast(hot), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(wanted.where(F.col("n") < MIN_HOT), key)
+    return passed.unionByName(cold)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until none is among the columns, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name in SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit name of a row's id and text, to tell rows apart without assuming that ids are unique or set."""
+    both = F.col(quoted(id_col)), F.col(quoted(text_col))
+    return F.struct(F.xxhash64(*both).alias("a"), F.xxhash64(F.lit(1), *both).alias("b"))
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Lower-case A-Z and nothing else.
 

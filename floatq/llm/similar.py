@@ -1,12 +1,13 @@
 """Pairs of similar items from banded signatures, without listing the pairs of a group.
 
-An item is (id long, size int, bands array<long>, sketch binary); ``bands`` holds one key per band,
-``sketch`` a parity bitmap of its samples.
-Items that share a key are candidates of one another. The search goes in this order:
-
-* Members: rows (key, id) of keys that two ids share. Frequent keys are found by a sketch and pass
-  map-side; only the others are shuffled by key, so no key brings a large share of the rows to a task.
-* Hubs: in each bucket the member that shares most keys with others. Hubs against
+An item is (h1, h2 long: its 128-bit name, size int, bands array<long>, sketch array<long>); ``bands`` holds one key per band,
+``sketch`` a parity bitmap of its samples. Items that share a key are candidates of one another. They get
+a number of 64 bits, settled by writing it, so that what follows compares single longs and yet mixes no two items up.
+The search goes in this order:
+
+* Members: items of keys that two items share. The keys are counted with map-side combining; the few that hold many rows
+  are passed map-side, so no key brings its rows to one task.
+* Hubs: in each bucket the member with most shared keys. Hubs against
   their bucket is a number of pairs linear in the members; in a group of near copies the hub is
   mostly the original, so these pairs join the group.
 * Rest: buckets that still hold several components, without their hub. Members outside the largest
@@ -26,18 +27,21 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, pick
+from .shared import Scratch, pick, pick_hot
 
-#: Frequent keys that pass map-side, items that their sketch tracks, least rows of such a key.
-MAX_HOT, TRACKED, MIN_HOT, SKETCH_GROUPS = 1000, 8192, 512, 64
-#: Members per block of the rest.
-BLOCK = 256
 #: Elements of sets that are kept while pairs are confirmed, as hubs come again.
-KEPT_ELEMENTS = 200_000
+KEPT_ELEMENTS = 400_000
+NAME, GROUP = ["h1", "h2"], ["linked", "ga", "gb"]
+
+
+def group_columns() -> list[Column]:
+    """The group of an item as three columns that are never null for a named item: its component ``g``, or itself without one."""
+    linked = F.col("g").isNotNull()
+    return [linked.alias("linked"), F.coalesce("g", "h1").alias("ga"), F.when(linked, F.lit(0)).otherwise(F.col("h2")).alias("gb")]
 
 
 def permutations(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,32 +68,28 @@ def band_keys(minima: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def key_rows(items: DataFrame, scratch: Scratch) -> DataFrame:
-    """Written rows (key, id), distinct, of keys that more than one id has."""
-    rows = items.select("id", F.explode("bands").alias("key"))
-    sketches = (
-        rows.select("key", F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g"))
-        .groupBy("g")
-        .agg(F.expr(f"approx_top_k_accumulate(key, {TRACKED})").alias("s"))
-    )
-    hot = (
-        sketches.groupBy(F.lit(0).alias("all"))
-        .agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
-        .select(F.explode(F.expr(f"approx_top_k_estimate(s, {MAX_HOT})")).alias("top"))
-        .where(F.col("top.count") >= MIN_HOT)
-        .select(F.col("top.item").alias("key"))
-    )
-    hot = scratch.save(hot, "hot")
-    passed = rows.join(F.broadcast(hot), "key", "left_semi").distinct()
-    bucket = Window.partitionBy("key")
-    cold = (
-        rows.join(F.broadcast(hot), "key", "left_anti")
-        .select("key", "id", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi"))
-        .where("lo < hi")
-        .select("key", "id")
-        .distinct()
-    )
-    return scratch.save(passed.unionByName(cold.select("key", "id")), "members")
+def lists(rows: np.ndarray, there: np.ndarray | None = None) -> pa.ListArray:
+    """The rows of a matrix of longs as lists; ``there`` (boolean, longer) tells which lists are not null."""
+    there = np.ones(len(rows), bool) if there is None else there
+    offsets = pa.array(np.append(0, np.cumsum(there * rows.shape[1])).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()), mask=pa.array(~there))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix of longs."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def numbered(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written rows (id, h1, h2, keys) of items that share a key with another item."""
+    rows = items.where("bands IS NOT NULL").select(*NAME, F.explode("bands").alias("key"))
+    # Two items of equal h1 that are alone in a bucket pass as one here: odds of 2**-64 for each such bucket.
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    shared = scratch.save(counted.where("lo < hi").select("key", "n"), "keys")
+    joined = pick_hot(rows, shared, "key", scratch)
+    # At most a key for each band, so the set is small.
+    members = joined.groupBy(*NAME).agg(F.collect_set("key").alias("keys"))
+    return scratch.save(members.select(F.monotonically_increasing_id().alias("id"), *NAME, "keys"), "ids")
 
 
 def _popcounts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -107,31 +107,35 @@ class Shape(Protocol):
 
     def linked(self, a: Any, b: Any) -> bool: ...
 
+    def length(self, a: Any) -> int: ...
+
 
 @dataclass(frozen=True)
 class BlockTest:
     """Compares the members of a block outside the largest component (side 0) with all members (side 1).
 
-    ``most_bits``: differing sketch bits of a possible link.
+    ``most_bits``: differing sketch bits of a possible link; ``words``: longs of a sketch; ``block``: members per block.
     """
 
     least_ratio: float
     most_bits: int
+    words: int
+    block: int
 
-    def near(self, rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def near(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places x, y in the block of pairs in different components that may be links, and their bits."""
-        side, comp, size = (np.array(rows[c], np.int64) for c in ("side", "comp", "size"))
+        side, comp, size = (rows.column(c).to_numpy() for c in ("side", "comp", "size"))
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(x) or not len(y):
             return x[:0], y[:0], x[:0]
         p, q = size[x][:, None], size[y][None, :]
         near = (comp[x][:, None] != comp[y][None, :]) & (np.minimum(p, q) >= self.least_ratio * np.maximum(p, q))
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(side), -1)
+        sketch = matrix(rows.column("sketch")).view(np.uint64)  # counts of signed numbers are of their absolute values
         bits = _popcounts(sketch[x], sketch[y])
         i, j = np.nonzero(near & (bits <= self.most_bits))
         return x[i], y[j], bits[i, j]
 
-    def links(self, rows: dict, shape: Shape) -> Iterator[tuple[int, int]]:
+    def links(self, rows: pa.RecordBatch, shape: Shape) -> Iterator[tuple[int, int]]:
         """Confirmed links that join the block's components, looked for from the nearest pair on.
 
         A pair is looked at in the first bucket that it shares only, and not if links of this block already join it.
@@ -139,12 +143,12 @@ class BlockTest:
         x, y, bits = self.near(rows)
         if not len(x):
             return
-        bands = np.array(rows["bands"], np.int64)
+        bands, key = matrix(rows.column("bands")), rows.column("key")[0].as_py()
         keep = np.zeros(len(x), bool)
         for lo in range(0, len(x), 10_000):
             mine = bands[x[lo : lo + 10_000]]
             first = (mine == bands[y[lo : lo + 10_000]]).argmax(1)
-            keep[lo : lo + 10_000] = mine[np.arange(len(mine)), first] == rows["key"][0]
+            keep[lo : lo + 10_000] = mine[np.arange(len(mine)), first] == key
         order = np.flatnonzero(keep)[np.argsort(bits[keep], kind="stable")]
         up: dict[int, int] = {}
 
@@ -154,54 +158,56 @@ class BlockTest:
             return v
 
         sets: dict[int, Any] = {}
-        ids, comp, texts = rows["id"], rows["comp"], rows["text"]
+        ids, comp, texts = rows.column("id").to_numpy(), rows.column("comp").to_numpy(), rows.column("text")
         for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-            p, q = root(comp[i]), root(comp[j])
+            p, q = root(int(comp[i])), root(int(comp[j]))
             if p == q:
                 continue
-            for at in (i, j):
-                if ids[at] not in sets:
-                    sets[ids[at]] = shape.of(texts[at])
-            if shape.linked(sets[ids[i]], sets[ids[j]]):
+            a, b = int(ids[i]), int(ids[j])
+            for at, name in ((i, a), (j, b)):
+                if name not in sets:
+                    sets[name] = shape.of(texts[at].as_py())
+            if shape.linked(sets[a], sets[b]):
                 up[p] = q
-                yield min(ids[i], ids[j]), max(ids[i], ids[j])
+                yield min(a, b), max(a, b)
 
 
-def hub_pairs(members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Hubs (key, hub, n) of all buckets, and the pairs (a, b) of each member with the hubs of its buckets."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    scores = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("score"))
-    scored = scratch.save(members.join(scores, "id"), "scored")
-    hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.bitwise_not("id").alias("id"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    hubs = scratch.save(hubs.select("key", F.bitwise_not("top.id").alias("hub"), "n"), "hubs")
-    pairs = members.join(hubs.drop("n"), "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    return hubs, pairs
+def hub_pairs(ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (key, id), hubs (key, hub, n) of all buckets, and the pairs (a, b) of each member with the hubs of its buckets."""
+    members = ids.select("id", F.explode("keys").alias("key"), F.size("keys").cast("long").alias("shared"))
+    # Of equal shares the place in a shuffled order decides, the same in every bucket.
+    score = F.shiftleft("shared", 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id"), 24))
+    hubs = scratch.save(members.groupBy("key").agg(F.max_by("id", score).alias("hub"), F.count(F.lit(1)).alias("n")), "hubs")
+    members = members.select("key", "id")
+    pairs = pick_hot(members, hubs, "key", scratch).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    return members, hubs, pairs
 
 
-def open_buckets(members: DataFrame, hubs: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def open_buckets(members: DataFrame, hubs: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members (key, id, comp) of buckets without their hub, and buckets that hold several components.
 
     An open bucket has its largest component (most), and how many members it has (n_all) and has outside
     that component (n_out).
     """
-    left = members.join(hubs.where("n > 2").select("key", "hub"), "key").where("id <> hub").select("key", "id")
-    left = left.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    left = pick_hot(members, hubs.where("n > 2"), "key", scratch).where("id <> hub").select("key", "id")
+    left = pick(left, comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    left = scratch.save(left, "left")
+    several = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
+    several = scratch.save(several.where("lo < hi").select("key", "n"), "several")
+    left = pick_hot(left, several, "key", scratch).drop("n")
     parts = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_keys = (
-        parts.groupBy("key")
-        .agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("n_comps"))
-        .where("n_comps > 1")
-        .select("key", F.col("top.comp").alias("most"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_out"))
-    )
-    return left, open_keys
+    open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_all"))
+    return left, open_keys.select("key", F.col("top.comp").alias("most"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_out"))
 
 
-def rest_links(left: DataFrame, open_keys: DataFrame, items: DataFrame, test: BlockTest, shape: Shape, texts: DataFrame) -> DataFrame:
+def rest_links(left: DataFrame, open_keys: DataFrame, items: DataFrame, test: BlockTest, shape: Shape, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between components of open buckets, confirmed by the ``texts`` (id, text) that members bring to their blocks."""
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    open_keys = open_keys.select("key", "most", blocks("n_all").alias("n_all"), blocks("n_out").alias("n_out"))
-    more = items.select("id", "size", "sketch", "bands").join(texts, "id")
-    sized = left.join(open_keys, "key").join(more, "id")
+    blocks = lambda n: F.ceil(F.col(n) / test.block).cast("int")
+    open_keys = open_keys.select("key", "most", blocks("n_all").alias("n_all"), blocks("n_out").alias("n_out"), F.col("n_all").alias("n"))
+    sized = pick_hot(left, scratch.save(open_keys, "open-sizes"), "key", scratch).drop("n")
+    wanted = scratch.save(sized.select("id").distinct(), "open-ids")
+    more = scratch.save(pick(items.select("id", "size", "sketch", "bands"), wanted, "id").join(texts, "id"), "open-items")
+    sized = sized.join(more, "id")
     row = ["id", "comp", "size", "sketch", "bands", "text"]
     out = sized.where("comp <> most").select(
         "key", F.pmod(F.xxhash64("id"), "n_out").cast("int").alias("ob"), F.explode(F.expr("sequence(0, n_all - 1)")).alias("ab"), F.lit(0).alias("side"), *row
@@ -211,52 +217,53 @@ def rest_links(left: DataFrame, open_keys: DataFrame, items: DataFrame, test: Bl
     )
     blocks = out.unionByName(every).repartition("key", "ob", "ab").sortWithinPartitions("key", "ob", "ab", "side")
 
-    names = ["key", "ob", "ab", "side", *row]
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block may go on in the next batch; it is held until another begins."""
-        held: dict = {c: [] for c in names}
+        held: list[pa.RecordBatch] = []
         block = None
         found: list[tuple[int, int]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if found:
                 a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.int64()), pa.array(map(max, a, b), pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 found.clear()
 
+        def close() -> None:
+            if held:
+                found.extend(test.links(held[0] if len(held) == 1 else pa.concat_batches(held), shape))
+                held.clear()
+
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in names}
-            ids = list(zip(columns["key"], columns["ob"], columns["ab"], strict=True))
-            starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
-            for lo, hi in zip(starts, [*starts[1:], len(ids)], strict=True):
-                if ids[lo] != block:
-                    found.extend(test.links(held, shape))
-                    held, block = {c: [] for c in names}, ids[lo]
-                for c in names:
-                    held[c] += columns[c][lo:hi]
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "ob", "ab")])
+            starts = np.flatnonzero(np.append(True, (ids[:, 1:] != ids[:, :-1]).any(0))).tolist()
+            for lo, hi in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                name = tuple(ids[:, lo].tolist())
+                if name != block:
+                    close()
+                    block = name
+                held.append(batch.slice(lo, hi - lo))
                 if len(found) > 50_000:
                     yield from flush()
-        found.extend(test.links(held, shape))
+        close()
         yield from flush()
 
     return blocks.mapInArrow(search, "a long, b long").distinct()
 
 
-def near_pairs(pairs: DataFrame, items: DataFrame, least_ratio: float, most_bits: int) -> DataFrame:
+def differing_bits(x: str, y: str, words: int) -> Column:
+    """Bits in which two sketches differ."""
+    return F.expr(" + ".join(f"bit_count({x}[{w}] ^ {y}[{w}])" for w in range(words)))
+
+
+def near_pairs(pairs: DataFrame, items: DataFrame, test: BlockTest) -> DataFrame:
     """``pairs`` whose sizes and sketches allow a link."""
     side = lambda c: items.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.least("size_a", "size_b") >= least_ratio * F.greatest("size_a", "size_b"))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-                near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most_bits
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], names=["a", "b"])
-
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(close, "a long, b long")
+    both = both.where(F.least("size_a", "size_b") >= test.least_ratio * F.greatest("size_a", "size_b"))
+    return both.where(differing_bits("sketch_a", "sketch_b", test.words) <= test.most_bits).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
@@ -268,15 +275,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
         held = 0
         for batch in batches:
             linked = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            texts = batch.column(2), batch.column(3)
+            for at, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if held > KEPT_ELEMENTS:
                     sets.clear()
                     held = 0
-                for i, t in ((a, x), (b, y)):
+                for i, column in zip(pair, texts, strict=True):
                     if i not in sets:
-                        sets[i] = shape.of(t)
-                        held += len(sets[i])
-                linked.append(shape.linked(sets[a], sets[b]))
+                        sets[i] = shape.of(column[at].as_py())
+                        held += shape.length(sets[i])
+                linked.append(shape.linked(sets[pair[0]], sets[pair[1]]))
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -285,26 +293,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
 
 
 def link_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], shape: Shape, scratch: Scratch, test: BlockTest) -> DataFrame:
-    """(id, component) of linked items, but for the one that names its component.
+    """Written rows (h1, h2, g) of linked items; g numbers their component.
 
-    Rows of one id in ``items`` are alike; some may lack bands. ``fetch`` returns (id, text) for a written table of ids.
+    Rows of one item in ``items`` are alike; some may lack bands and sketch. ``fetch`` returns (id, text) for a written table (id, h1, h2).
     """
-    members = key_rows(items, scratch)
+    ids = numbered(items, scratch)
     scratch.release()
-    ids = scratch.save(members.select("id").distinct(), "ids")
-    items = pick(items.where(F.col("sketch").isNotNull()), ids, "id")
-    items = scratch.save(items.groupBy("id").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "candidates")
-
-    texts = scratch.save(fetch(ids), "texts")
-    hubs, pairs = hub_pairs(members, scratch)
-    pairs = scratch.save(near_pairs(pairs, items, test.least_ratio, test.most_bits), "hub-pairs")
+    names = ids.select("id", *NAME)
+    more = pick(items.where(F.col("sketch").isNotNull()), names, NAME).select("id", "size", "sketch", "bands")
+    items = scratch.save(more.dropDuplicates(["id"]), "candidates")
+    members, hubs, pairs = hub_pairs(ids, scratch)
+    pairs = scratch.save(near_pairs(pairs, items, test), "hub-pairs")
+    # Texts of items that no sketch lets near another one are not needed.
+    texts = scratch.save(fetch(names), "texts")
     links = scratch.save(confirmed(pairs, texts, shape), "hub-links")
     comps = connected_components(links, scratch)
-    left, open_keys = open_buckets(members, hubs, comps)
+    left, open_keys = open_buckets(members, hubs, comps, scratch)
     open_keys = scratch.save(open_keys, "open")
     if not open_keys.isEmpty():
-        found = scratch.save(rest_links(left, open_keys, items, test, shape, texts), "rest-links")
+        found = scratch.save(rest_links(left, open_keys, items, test, shape, texts, scratch), "rest-links")
         if not found.isEmpty():
             # The components so far are edges too, fewer than the links they came from.
             comps = connected_components(comps.toDF("a", "b").unionByName(found), scratch)
-    return comps
+    # A component's first item names it and has no row of its own.
+    every = comps.select("id", F.col("component").alias("g")).unionByName(comps.select(F.col("component").alias("id"), F.col("component").alias("g")).distinct())
+    return scratch.save(names.join(every, "id").select(*NAME, "g"), "named")

@@ -97,7 +97,7 @@ def test_odd_sketches_estimate_high_similarities():
         n = round(1000 * share / (2 - share) * 2 / (1 + share / (2 - share)))  # shared of 1000 for this similarity
         y = np.concatenate([x[:n], rng.integers(0, 1 << 32, 1000 - n, dtype=np.uint64).astype(np.uint32)])
         low = np.stack([N.minima(x, a, b), N.minima(y, a, b)])
-        p, q = (np.frombuffer(s, np.uint64) for s in N.odd_sketches(low, N.SKETCH_BITS))
+        p, q = N.odd_sketches(low, N.SKETCH_BITS).view(np.uint64)
         bits = int(np.bitwise_count(p ^ q).sum())
         true = n / (2000 - n)
         assert abs(bits - N.sketch_bits(true, N.BANDS * N.ROWS, N.SKETCH_BITS)) < 50
@@ -108,10 +108,10 @@ def brute_lines(rows):
     places = defaultdict(list)
     for i, t in rows:
         for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= L.MIN_CHARS:
+            if line.strip():
                 places[line].append((i, p))
     keys = list(places)
-    sets = [{k[i : i + L.SHINGLE] for i in range(len(k) - L.SHINGLE + 1)} for k in keys]
+    sets = [{k[i : i + L.SHINGLE] for i in range(max(1, len(k) - L.SHINGLE + 1))} for k in keys]
     links = [(a, b) for a in range(len(keys)) for b in range(a + 1, len(keys)) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = roots(range(len(keys)), links)
     best = {}
@@ -162,5 +162,29 @@ def test_line_dedup_of_odd_rows(spark):
     assert sorted(((r.doc_id or -1), r.n_dropped) for r in L.line_dedup(df).collect()) == [(-1, 2), (5, 0), (5, 0)]
 
 
-def test_line_id_is_sparks_hash(spark):
-    assert spark.sql("SELECT xxhash64('Straße 1') AS h").first().h == L.line_id("Straße 1".encode())
+def test_line_names_are_sparks_hashes(spark):
+    lines = ["Straße 1", "a", "x" * 100]
+    got = spark.createDataFrame([(x,) for x in lines], "t string").selectExpr("xxhash64(t)", "xxhash64(1, t)").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in L.line_names(lines).tolist()]
+
+
+def test_sets_of_lines_are_exact():
+    """Lines of one byte a character as arrays, others as strings, and both against one another."""
+    rng = random.Random(2)
+    shape = L.LineShingles(80)
+    for _ in range(300):
+        a = "".join(rng.choices("aäß " if rng.random() < 0.7 else "aä€ ", k=rng.randrange(8, 60)))
+        b = a[: rng.randrange(len(a))] + rng.choice(["", "x", "€"]) + a[rng.randrange(len(a)) :]
+        if len(b) < 8:
+            continue
+        p, q = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (a, b))
+        assert shape.linked(shape.of(a), shape.of(b)) == (100 * len(p & q) >= 80 * len(p | q)), (a, b)
+
+
+def test_line_dedup_keeps_columns_of_all_names(spark):
+    """Extra columns named like its own."""
+    rows = [(1, "same line of text here\nb", 1, "x", "y", "z", "w"), (2, "same line of text here\n\n \nshort\nshort", 2, "x", "y", "z", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long, lost string, kept_lines string, cut string, `a b` string")
+    got = L.line_dedup(df).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["same line of text here\nb", "\n \nshort"] and [r.row for r in got] == [1, 2]
+    assert all((r.lost, r.kept_lines, r.cut, r["a b"]) == ("x", "y", "z", "w") for r in got)
