@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floatq.llm.line_dedup import line_dedup
-from floatq.llm.near_dedup import near_dedup, row_key
+from floatq.llm.near_dedup import near_dedup
 from floatq.llm.packing import pack, token_pieces
 from floatq.llm.quality import quality_rules
-from floatq.llm.shared import Scratch, pick
+from floatq.llm.shared import Scratch, pick, row_key, unused
 
 MAX_TOKENS = 2048
 
@@ -37,8 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by shingles of five words."""
     verdicts = near_dedup(docs, width=5)
-    dropped = Scratch(spark, "near-dropped").save(verdicts.where(~F.col("kept")).select(F.col("row").alias("_row")).distinct(), "rows")
-    return pick(docs.withColumn("_row", row_key("doc_id", "text")), dropped, "_row", "left_anti").select(docs.columns)
+    (row,) = unused(docs.columns, "row")
+    dropped = Scratch(spark, "near-dropped").save(verdicts.where(~F.col("kept")).select(F.col("row").alias(row)).distinct(), "rows")
+    return pick(docs.withColumn(row, row_key("doc_id", "text")), dropped, row, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
