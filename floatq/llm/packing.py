@@ -2,9 +2,11 @@
 
 The program has a variable for each configuration (a multiset of lengths that fits a sequence) and a
 covering row for each length. Only the histogram of lengths, at most ``capacity`` rows, goes to the
-driver; its size does not depend on the corpus. Multiplicative weights price the lengths, a knapsack
-dynamic program finds the configuration of the largest price, and the fractional solution is rounded
-down. What the rounding leaves is packed best-fit decreasing, length class by length class.
+driver; its size does not depend on the corpus. Pieces as long as a sequence are set apart. For the others multiplicative weights price
+the lengths, and a knapsack dynamic program finds configurations of the largest price, one for each of the lengths that are
+covered least. Prices over the largest configuration's price are a dual solution, which bounds every packing from below and
+tells the gap. The fractional solution is rounded to whole sequences; what the rounding leaves is packed best-fit
+decreasing, length class by length class. Plain best fit is only taken if it needs fewer sequences.
 
 Pieces then get their places without meeting one another: a piece's rank among its length, from
 counts per (length, bucket), falls into the run of one configuration, which tells sequence and offset.
@@ -13,6 +15,7 @@ counts per (length, bucket), falls into the run of one configuration, which tell
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,75 +23,129 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch
+from .shared import Scratch, quoted, unused
 from .token_counts import WordBpe, slices
 
-#: Rounds of pricing, strength of an update, share of the tokens after which pricing stops.
-ROUNDS, EPSILON, ENOUGH = 500, 0.2, 0.8
+#: Most rounds of pricing, configurations of a round, strength of an update, and the gap to the bound that is enough.
+ROUNDS, BATCH, EPSILON, GAP = 400, 256, 0.5, 0.01
+#: Share of its scarcest length's pieces that a configuration covers at a time, and a little more price for long pieces, as these are the hard ones.
+STEP, LONGER = 0.1, 0.02
+#: Least fill of a rounded configuration whose pieces have run out, in shares of its whole fill, and shares of the fractional solution
+#: that are rounded in turn: the rest of the pieces, which best fit places, is larger for each.
+LEAST_FILL, SHARES = 0.999, (1.0, 0.9, 0.8, 0.7)
 #: Rows of a length that are numbered in one bucket, about.
-BUCKET_ROWS = 2_000
-#: Rounds and strength of the covering program, and the gap to the lower bound from which a packing is taken.
-COVER_ROUNDS, COVER_EPSILON, GAP = 600, 0.1, 0.001
+BUCKET_ROWS = 500
 Configurations = list[tuple[dict[int, int], int]]
 
 
-def knapsack(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the largest total price that fits; ``price[l]`` is 0 for unused lengths."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest total price within each room up to ``capacity``, and the piece to take first there (0: leave a token empty).
+
+    Pieces may be used any number of times; ``price[l]`` is 0 for unused lengths.
+    """
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     lengths = np.flatnonzero(price > 0)
     values = price[lengths]
-    ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if ends[c]:
-            gain = values[: ends[c]] + best[c - lengths[: ends[c]]]
-            k = len(gain) - 1 - int(gain[::-1].argmax())  # of equal gains the longest piece
-            if gain[k] > best[c]:
-                best[c], took[c] = gain[k], lengths[k]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c]:
-            out[int(took[c])] = out.get(int(took[c]), 0) + 1
-            c -= int(took[c])
-        else:
-            c -= 1
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
+    for room in range(1, capacity + 1):
+        best[room], n = best[room - 1], ends[room]
+        if n:
+            gain = values[:n] + best[room - lengths[:n]]
+            k = n - 1 - int(gain[::-1].argmax())  # of equal gains the longest piece
+            if gain[k] > best[room]:
+                best[room], took[room] = gain[k], lengths[k]
+    return best, took
+
+
+def filled(took: np.ndarray, room: int, first: int) -> dict[int, int]:
+    """The multiset of ``first`` and what the knapsack puts into the room left by it."""
+    out = {first: 1}
+    while room > 0:
+        length = int(took[room])
+        if length:
+            out[length] = out.get(length, 0) + 1
+        room -= length or 1
     return out
 
 
-def solve(hist: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Configurations:
-    """Fractional covering by multiplicative weights, as (configuration, rounded count).
+class Covering(NamedTuple):
+    """A fractional solution: amounts by configuration, their sum, and the lower bound of every solution."""
+
+    amounts: dict[tuple[tuple[int, int], ...], float]
+    value: float
+    bound: float
 
-    Prices begin near the lengths themselves, which are the optimal dual where sequences can be filled
-    to the end, with a little more for long pieces, as these are the hard ones. A round adds half of what the scarcest length of the configuration still needs and
-    lowers the prices of its lengths by what it covered. A configuration that asks for more pieces of a length than are
-    left, or leaves room, is not taken; its lengths get cheaper. ``1 - ENOUGH`` of the tokens is
-    left for best fit, which needs pieces of many lengths to fill the last sequences.
+
+def cover(hist: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> Covering:
+    """Fractional covering of all pieces by multiplicative weights.
+
+    Weights fall exponentially with the share of a length that is covered. A round prices lengths by size and weight, solves
+    the knapsack once, and takes for each of the least covered lengths the best configuration with it, unless it uses a
+    length that this round has covered enough already. In the end all amounts are scaled so that every length is covered.
     """
     need = hist.astype(float)
-    lengths = np.arange(len(hist))
-    weight = 1 + lengths / (10 * capacity)
-    left = need.copy()
-    total = float(need @ lengths)
+    have = np.flatnonzero(hist)
+    if not len(have):
+        return Covering({}, 0.0, 0.0)
+    done = np.zeros(capacity + 1)
     amounts: dict[tuple, float] = {}
+    total, bound = 0.0, float(need @ np.arange(capacity + 1)) / capacity
     for _ in range(rounds):
-        usable = left >= 1
-        if float(left @ lengths) <= (1 - ENOUGH) * total:
+        price = np.zeros(capacity + 1)
+        price[have] = have * (1 + LONGER * have / capacity) * np.exp(-EPSILON * (done[have] - done[have].min()))
+        best, took = knapsack(price, capacity)
+        bound = max(bound, float(need @ price) / best[capacity])
+        before = done.copy()
+        for length in have[np.argsort(done[have], kind="stable")][:BATCH].tolist():
+            if done[length] > before[length]:
+                continue
+            chosen = filled(took, capacity - length, length)
+            at, times = np.fromiter(chosen, np.int64), np.fromiter(chosen.values(), np.int64)
+            if (done[at] - before[at]).max() >= 2 * STEP:
+                continue
+            step = STEP * float((need[at] / times).min())
+            key = tuple(sorted(chosen.items(), reverse=True))
+            amounts[key] = amounts.get(key, 0.0) + step
+            total += step
+            done[at] += step * times / need[at]
+        least = float(done[have].min())
+        if least > 0 and total / least <= (1 + gap) * bound:
             break
-        chosen = knapsack(np.where(usable, lengths * weight, 0.0), capacity)
-        at = np.fromiter(chosen, np.int64)
-        times = np.fromiter(chosen.values(), np.int64)
-        scarce = times > left[at]
-        if scarce.any() or at @ times < capacity:
-            weight[at[scarce] if scarce.any() else at] *= np.exp(-EPSILON)
-            continue
-        step = max(1.0, np.floor((left[at] / times).min() / 2))
-        key = tuple(zip(at.tolist(), times.tolist(), strict=True))
-        amounts[key] = amounts.get(key, 0.0) + step
-        left[at] -= step * times
-        weight[at] *= np.exp(-EPSILON * step * times / need[at])
-    return [(dict(key), int(x)) for key, x in amounts.items()]
+    least = float(done[have].min())
+    if least == 0:  # more lengths than the rounds reach: each of the rest alone, as often as it fits
+        for length in have[done[have] == 0].tolist():
+            per = capacity // length
+            amounts[((length, per),)] = need[length] / per
+            total += need[length] / per
+            done[length] = 1.0
+        least = min(1.0, float(done[have].min()))
+    return Covering({k: v / least for k, v in amounts.items()}, total / least, bound)
+
+
+def rounded(amounts: dict[tuple[tuple[int, int], ...], float], hist: np.ndarray, share: float = 1.0) -> Configurations:
+    """Whole numbers of sequences that use no piece twice.
+
+    Running sums of the amounts are rounded down, so their total is kept whatever their sizes. A configuration goes on without
+    lengths that have run out, as long as it is filled nearly as well.
+    """
+    left = hist.copy()
+    out: Configurations = []
+    running, taken = 0.0, 0
+    for key in sorted(amounts, reverse=True):
+        running += share * amounts[key]
+        n = int(running + 1e-9) - taken
+        taken += n
+        chosen = dict(key)
+        while n:
+            chosen = {k: min(m, int(left[k])) for k, m in chosen.items() if left[k]}
+            if sum(k * m for k, m in chosen.items()) < LEAST_FILL * sum(k * m for k, m in key):
+                break
+            take = min(n, min(int(left[k]) // m for k, m in chosen.items()))
+            out.append((dict(chosen), take))
+            for k, m in chosen.items():
+                left[k] -= m * take
+            n -= take
+    return out
 
 
 def best_fit(hist: np.ndarray, capacity: int, bins: Configurations) -> Configurations:
@@ -118,63 +175,17 @@ def best_fit(hist: np.ndarray, capacity: int, bins: Configurations) -> Configura
     return [x for group in by_room.values() for x in group if x[1]]
 
 
-def cover(hist: np.ndarray, capacity: int, rounds: int = COVER_ROUNDS) -> tuple[Configurations, float]:
-    """The covering program over all pieces, with configurations of any fill, and a lower bound of its value.
-
-    Each round takes the configuration of the largest price, as often as its scarcest length is
-    needed, and lowers the prices of what it covers. Prices over the largest configuration's price
-    are a feasible dual, whose value bounds every packing from below. The sum of the rounds is scaled to cover all
-    lengths and rounded down; a configuration goes on without the lengths that have run out.
-    """
-    need = hist.astype(float)
-    have = np.flatnonzero(hist)
-    price = np.zeros(capacity + 1)
-    price[have] = have
-    amounts: dict[tuple, float] = {}
-    covered = np.zeros(capacity + 1)
-    bound = 0.0
-    for _ in range(rounds if len(have) else 0):
-        chosen = knapsack(price, capacity)
-        at = np.fromiter(chosen, np.int64)
-        times = np.fromiter(chosen.values(), np.int64)
-        bound = max(bound, float(need @ price) / float(price[at] @ times))
-        step = float((need[at] / times).min())
-        key = tuple(zip(at.tolist(), times.tolist(), strict=True))
-        amounts[key] = amounts.get(key, 0.0) + step
-        covered[at] += step * times
-        price[at] *= np.exp(-COVER_EPSILON * step * times / need[at])
-        least = float((covered[have] / need[have]).min())
-        if least > 0 and sum(amounts.values()) / least <= (1 + GAP) * bound:
-            break
-    # Lengths that no round covered are left to best fit.
-    seen = covered > 0
-    scale = float((covered[seen] / need[seen]).min()) if seen.any() else 1.0
-    left = hist.copy()
-    out: Configurations = []
-    for key, amount in sorted(amounts.items(), key=lambda x: -x[1]):
-        n, lengths = int(amount / scale + 1e-9), dict(key)
-        while n and lengths:
-            take = min(n, min(int(left[k]) // m for k, m in lengths.items()))
-            if take:
-                out.append((dict(lengths), take))
-                for k, m in lengths.items():
-                    left[k] -= m * take
-                n -= take
-            lengths = {k: min(m, int(left[k])) for k, m in lengths.items() if left[k]}
-    return out, bound
-
-
 def configurations(hist: np.ndarray, capacity: int) -> Configurations:
-    """Configurations with counts that hold exactly the pieces of ``hist`` (index: length), the best of three ways.
+    """Configurations with counts that hold exactly the pieces of ``hist`` (index: length).
 
-    Filled configurations come first. If their packing isn't within GAP of the lower bound, the covering
-    program and plain best fit are packed too, and the fewest sequences win.
+    The program's solution is rounded for each of SHARES and completed; the fewest sequences win. Plain best fit is only taken if it needs fewer still.
     """
-    count = lambda found: sum(n for _, n in found)
-    best = packed(hist, capacity, solve(hist, capacity))
-    if count(best) <= (1 + GAP) * -(-int(hist @ np.arange(len(hist))) // capacity):
-        return best
-    return min(best, packed(hist, capacity, cover(hist, capacity)[0]), packed(hist, capacity, []), key=count)
+    rest = hist.copy()
+    rest[capacity] = 0
+    whole: Configurations = [({capacity: 1}, int(hist[capacity]))] if hist[capacity] else []
+    amounts = cover(rest, capacity).amounts
+    found = [packed(rest, capacity, rounded(amounts, rest, share)) for share in SHARES]
+    return whole + min(*found, packed(rest, capacity, []), key=lambda c: sum(n for _, n in c))
 
 
 def packed(hist: np.ndarray, capacity: int, chosen: Configurations) -> Configurations:
@@ -213,28 +224,33 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: tu
     are told apart, as each row takes a place of its own. An empty table gives an empty result. Columns named sequence_id or offset are replaced.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
-    pieces = scratch.save(pieces.select([c for c in pieces.columns if c not in ("sequence_id", "offset")]), "pieces")
-    counted = pieces.groupBy(F.col(length_col).alias("l")).count().limit(capacity + 1).collect()
+    columns = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    pieces = scratch.save(pieces.select([quoted(c) for c in columns]), "pieces")
+    size = F.col(quoted(length_col))
+    counted = pieces.groupBy(size.alias("l")).count().limit(capacity + 1).collect()
     hist = np.zeros(capacity + 1, np.int64)
     for length, n in counted:
         if length is None or not 1 <= length <= capacity:
             raise ValueError(f"a piece has length {length}; 1 to {capacity} fit")
         hist[length] = n
     table = runs(configurations(hist, capacity))
-    buckets = max(1, int(hist.max()) // BUCKET_ROWS)
-    rows = pieces.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(length_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(length_col, "_b").agg(F.count(F.lit(1)).alias("_n")).select(length_col, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    bucket, nth, ranked_as, first_rank, key = unused(columns, "bucket", "nth", "rank", "first_rank", "key")
+    # Buckets in proportion to the pieces of a length, so frequent lengths are split and rare ones are not.
+    buckets = F.array(*[F.lit(int(-(-n // BUCKET_ROWS))) for n in hist])
+    names = [quoted(c) for c in order]
+    rows = pieces.withColumn(bucket, F.pmod(F.xxhash64(*names), buckets[size.cast("int")]).cast("int"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(size.alias("length"), F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.col("length").alias(key), F.col("bucket").alias(nth), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first_rank))
     counts = scratch.save(counts, "counts")
-    within = Window.partitionBy(length_col, "_b").orderBy(*order)
-    ranked = rows.withColumn("_r", F.row_number().over(within).cast("long")).join(counts, [length_col, "_b"])
-    columns = pieces.columns
-    ranked = ranked.select(*columns, (F.col("_before") + F.col("_r") - 1).alias("_rank"))
+    within = Window.partitionBy(quoted(length_col), bucket).orderBy(*names)
+    ranked = rows.withColumn(ranked_as, F.row_number().over(within).cast("long")).join(counts, (size == F.col(key)) & (F.col(bucket) == F.col(nth)))
+    ranked = ranked.select(*[quoted(c) for c in columns], (F.col(first_rank) + F.col(ranked_as) - 1).alias(ranked_as))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(length_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column("_rank").to_numpy(zero_copy_only=False)
+            rank = batch.column(len(columns)).to_numpy(zero_copy_only=False)
             at = np.searchsorted(table["key"], length << 44 | rank, side="right") - 1
             nth = rank - table["rank"][at]
             sequence = table["base"][at] + nth // table["per"][at]
