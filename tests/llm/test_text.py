@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import functools
+import html
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from floatq.llm import licenses, quality, url_filter
-from floatq.llm.html_text import align, extract, number, parse
+from floatq.llm import html_text
+from floatq.llm.html_text import align, extract, marks, parse, rebuild, region, skeleton
 from floatq.llm.queries import BAD_HOST_WORDS, URL_RULES
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -198,7 +202,7 @@ def test_url_suffixes_count_all_rows_and_rare_blocks_are_fitted(spark):
 
 
 def text(source):
-    return "\n".join(t for n, t in parse(source)[1] if n.keep)
+    return "\n".join(b.text for b in parse(source)[1] if marks(b))
 
 
 def test_parse_blocks():
@@ -208,10 +212,76 @@ def test_parse_blocks():
     assert text("<article><h1>t</h1><p><b>one.<br><p>two</article>") == "t\none.\ntwo"
 
 
-def test_align_matches_children_in_order():
-    a, b = (parse(s)[0] for s in ("<div><h1>x</h1></div><p>1</p><p>2</p>", "<div><h1>y</h1></div><p>1</p><ul><li>z</li></ul><p>3</p>"))
-    number(b)
-    assert [(x.kind, y.kind) for x, y in align(a, b)][0] == ("", "") and len(align(a, b)) == 5
+def test_parse_takes_linear_time():
+    """Many "<" without ">", open quotes, comments and elements that never close, and deep nesting."""
+    n = 60_000
+    for source in ("<" * n, "<a " * n, "<p '" * n, "<p \"x' " * n + ">", "<!-- " * n, "<button>" * n, "</p>" * n, "<div>" * n + "</p>" * n, "<b x='>" * n):
+        began = time.perf_counter()
+        root, _ = parse(source)
+        skeleton(root)
+        assert time.perf_counter() - began < 5, source[:20]
+    assert text("<p>a < b <c</p>") == "a < b"
+    assert text('<p title="x > y">a</p><p title="never closed>b</p><p>c</p>') == "a\nb\nc"
+    deep = parse("<div>" * 3000 + "text" + "</div>" * 3000)[0]
+    assert max(n.level for n, _ in align(deep, parse("<div>" * 3000)[0])) == html_text.MAX_DEPTH
+
+
+def brute_matching(x, y):
+    """The size of the largest matching, by trying all pairs."""
+
+    @functools.cache
+    def best(i, j, a, b):
+        p, q = nodes_a[a].children, nodes_b[b].children
+        if i == len(p) or j == len(q):
+            return 0
+        most = max(best(i + 1, j, a, b), best(i, j + 1, a, b))
+        if p[i].kind == q[j].kind:
+            most = max(most, best(i + 1, j + 1, a, b) + 1 + best(0, 0, p[i].number, q[j].number))
+        return most
+
+    nodes_a, nodes_b = rebuild(skeleton(x)), rebuild(skeleton(y))
+    return 1 + best(0, 0, 0, 0)
+
+
+def test_align_is_the_largest_matching():
+    rng = random.Random(1)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randrange(4)))
+
+    for _ in range(150):
+        a, b = parse(tree(3))[0], parse(tree(3))[0]
+        pairs = align(a, b)
+        assert len(pairs) == brute_matching(a, b)
+        assert all(x.kind == y.kind for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_region_goes_down_to_the_text():
+    nodes = rebuild(skeleton(parse("<div>ad</div><main><nav>n</nav><section><h2>t</h2><div><p>a</p><p>b</p></div></section></main><div>f</div>")[0]))
+    at = {n.kind: n.number for n in nodes}
+    assert region(nodes, {at["p"]: 50.0, at["p"] - 1: 50.0, at["div"]: 3.0}) == (at["p"] - 2, at["p"])
+    assert region(nodes, {at["p"]: 50.0, at["p"] - 1: 50.0, at["h2"]: 9.0}) == (at["section"], at["p"])
+    assert region(nodes, {}) == (0, len(nodes) - 1)
+
+
+def test_extraction_of_the_pages_table(spark):
+    """The main text of these pages is what stands in their article element."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    for r in pages.collect():
+        article = re.sub(r"<!--.*?-->", "", r.html, flags=re.DOTALL).split("<article>", 1)[1].split("</article>", 1)[0].split("<footer>", 1)[0]
+        blocks = [html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))) for x in re.split(r"</?(?:p|h1)>", article)]
+        assert got[r.page_id] == "\n".join(" ".join(x.split()) for x in blocks if x.split()), r.page_id
+
+
+def test_alignment_decides(spark, monkeypatch):
+    """Without the alignment, unmarked boilerplate would count as text and marked teasers as the article."""
+    rows = [(i, f"http://a.example/{i}", f"<div>Welcome to us</div><div><p>First paragraph {i} of the story</p><p>Second one {i * 7}</p></div><div>All about {i}</div><article class='x'>See {i}</article>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"First paragraph {i} of the story\nSecond one {i * 7}" for i in range(8)}
+    assert {r.page_id: r.text for r in extract(df).collect()} == want
+    monkeypatch.setattr(html_text, "LEAST_PAGES", 1_000)
+    assert {r.page_id: r.text for r in extract(df).collect()} == {i: f"See {i}" for i in range(8)}
 
 
 def test_extraction_learns_templates(spark):
