@@ -13,49 +13,65 @@ from floatq.plans import predicate as P
 from floatq.plans.aggregation import Aggregation, compute
 from floatq.plans.expr import Binary, Col, Lit, checked
 
-V7 = [3.3, 5.6, 3.8, 6.7, 2.1, 9.9, 10.1]
-V8 = [*V7, 3.8]
-N7 = [-300.3, -5.6, -3.8, -699.7, 2.1, 9.9, 100.1]
-B35 = [1.0] * 5 + [2.0] * 15 + [10.5, 10.6, 10.7, 10.9, 10.9] + [100.0] * 5 + [10.0] * 5
 I, E, N = P.Bound.INCLUSIVE, P.Bound.EXCLUSIVE, P.Bound.NONE
+
+
+def readings(n, seed, digits=2, levels=None):
+    """Own test values: rounded normal numbers, or draws from a few levels, so that equal values occur."""
+    rng = random.Random(seed)
+    return [rng.choice(levels) if levels else round(rng.gauss(0, 250), digits) for _ in range(n)]
+
+
+NORMAL, STEPS = readings(60, 1), readings(75, 2, levels=[-40.5, -0.25, 0.0, 12.75, 13.0, 88.125])
+MIDDLE, HIGH = sorted(NORMAL)[30], sorted(NORMAL)[50]
+#: (values, rows of a chunk, predicate, the same in Python, rows of the mask, chunk)
 FILTERS = [
-    (N7, 5, P.at_least(-3.8), None, None, [2, 4, 5, 6]),
-    (N7, 5, P.between(-3.8, 9.9), None, None, [2, 4, 5]),
-    (V7, 5, P.Range(E, 3.8, I, 9.9), None, None, [1, 3, 5]),
-    (V7, 5, P.Range(I, 3.8, E, 9.9), None, None, [1, 2, 3]),
-    (V7, 5, P.Range(E, 3.8, E, 9.9), None, None, [1, 3]),
-    (V7, 5, P.below(9.9), None, None, [0, 1, 2, 3, 4]),
-    (V7, 5, P.Range(), [0, 1, 3, 4, 6], None, [0, 1, 3, 4, 6]),
-    (B35, 35, P.at_least(10.7), None, None, list(range(22, 30))),
-    (B35, 35, P.Ne(10.5), None, None, [i for i in range(35) if i != 20]),
-    ([322.3, 5204029348.6, 3.8, -6.7, 2.1, 99.9, 1000220.1, 3.8], 5, P.Eq(3.8), None, None, [2, 7]),
-    ([-7072.1] * 32 + [-7071.2], 35, P.Ne(-7071.2), None, None, list(range(32))),
-    (V8, 5, P.above(3.8), [0, 2, 3, 4, 6, 7], None, [3, 6]),
-    (V8, 3, P.Range(I, 3.8, E, 9.9), None, 2, [7]),
-    (V8, 3, P.Range(E, 3.8, I, 9.9), [0, 2, 3, 5, 7], 1, [3, 5]),
-    (V8, 3, P.Range(), None, 99, []),
+    (NORMAL, 7, P.at_least(MIDDLE), lambda v: v >= MIDDLE, None, None),
+    (NORMAL, 7, P.above(MIDDLE), lambda v: v > MIDDLE, None, None),
+    (NORMAL, 9, P.below(MIDDLE), lambda v: v < MIDDLE, range(0, 60, 2), None),
+    (NORMAL, 11, P.between(MIDDLE, HIGH), lambda v: MIDDLE <= v <= HIGH, None, None),
+    (NORMAL, 11, P.Range(E, MIDDLE, I, HIGH), lambda v: MIDDLE < v <= HIGH, None, 3),
+    (NORMAL, 11, P.Range(I, MIDDLE, E, HIGH), lambda v: MIDDLE <= v < HIGH, range(20, 45), 2),
+    (NORMAL, 60, P.Range(E, MIDDLE, E, HIGH), lambda v: MIDDLE < v < HIGH, None, 0),
+    (NORMAL, 16, P.Range(), lambda v: True, range(5, 60, 7), None),
+    (NORMAL, 16, P.Range(), lambda v: True, None, 99),
+    (STEPS, 10, P.Eq(13.0), lambda v: v == 13.0, None, None),
+    (STEPS, 10, P.Ne(13.0), lambda v: v != 13.0, range(1, 75, 3), None),
+    (STEPS, 8, P.Eq(-0.25), lambda v: v == -0.25, range(30, 70), 5),
+    (STEPS, 75, P.at_least(12.75), lambda v: v >= 12.75, None, None),
+    (STEPS, 4, P.Eq(1.0), lambda v: False, None, None),
+    ([*([17.5] * 40), 17.25], 50, P.Ne(17.25), lambda v: v != 17.25, None, None),
+    ([31_000_555.75, -4.5, 6.125, 0.5, 6.125, -9e8], 4, P.Eq(6.125), lambda v: v == 6.125, None, None),
 ]
 
 
+def chosen(values, chunk, mask, chunk_id):
+    return [i for i in range(len(values)) if (mask is None or i in mask) and (chunk_id is None or i // chunk == chunk_id)]
+
+
 def frame(spark, values, chunk=5):
     return ColumnFrame.of(spark.createDataFrame(list(enumerate(values)), "row_id long, value double"), "value", "row_id", chunk)
 
 
 @pytest.mark.parametrize("case", range(len(FILTERS)))
-def test_filter(spark, case):
-    values, chunk, predicate, mask, chunk_id, want = FILTERS[case]
-    rows = frame(spark, values, chunk).filter(predicate, None if mask is None else mask_of(spark, mask), chunk_id)
+def test_filter_matches_plain_loops(spark, case):
+    values, chunk, predicate, says, mask, chunk_id = FILTERS[case]
+    want = [i for i in chosen(values, chunk, mask, chunk_id) if says(values[i])]
+    rows = frame(spark, values, chunk).filter(predicate, None if mask is None else mask_of(spark, list(mask)), chunk_id)
     assert sorted(r.row_id for r in rows.collect()) == want
-    both = frame(spark, values, chunk).filter_materialize(predicate, None if mask is None else F.col("row_id").isin(mask), chunk_id)
+    both = frame(spark, values, chunk).filter_materialize(predicate, None if mask is None else F.col("row_id").isin(list(mask)), chunk_id)
     assert [(r.row_id, r.value) for r in both.orderBy("row_id").collect()] == [(i, values[i]) for i in want]
 
 
 def test_materialize_and_aggregate(spark):
-    c = frame(spark, [33.3, 5.6, 3.8, 67.7, -2.1, 9999.9, 10.1], 3)
-    assert [r.value for r in c.materialize(mask_of(spark, [0, 2, 3, 5]), 1).orderBy("row_id").collect()] == [67.7, 9999.9]
-    assert tuple(c.aggregate(chunk_id=2).first()) == (1, 10.1, 10.1, 10.1)
+    c = frame(spark, NORMAL, 25)
+    mask = list(range(3, 60, 4))
+    assert [r.value for r in c.materialize(mask_of(spark, mask), 1).orderBy("row_id").collect()] == [NORMAL[i] for i in chosen(NORMAL, 25, mask, 1)]
+    last = NORMAL[50:]
+    got = c.aggregate(chunk_id=2).first()
+    assert got[0] == 10 and math.isclose(got[1], sum(last)) and got[2:] == (min(last), max(last))
     assert tuple(c.aggregate(F.lit(False)).first()) == (0, 0.0, math.inf, -math.inf)
-    assert [(r.chunk_id, r.logical_offset, r.number_of_records) for r in c.chunks().orderBy("chunk_id").collect()] == [(0, 0, 3), (1, 3, 3), (2, 6, 1)]
+    assert [(r.chunk_id, r.logical_offset, r.number_of_records) for r in c.chunks().orderBy("chunk_id").collect()] == [(0, 0, 25), (1, 25, 25), (2, 50, 10)]
 
 
 def test_nan_rules(spark):
@@ -82,11 +98,14 @@ def test_predicates_as_json():
 
 
 def test_expressions(spark):
-    df = spark.createDataFrame([(0, 0.0, 1.0), (1, 2.0, 2.0), (2, -3.0, 3.0), (3, 4.0, 4.0), (4, 7.0, 5.0)], "row_id long, a double, b double")
+    rng = random.Random(9)
+    rows = [(i, float(rng.randrange(-8, 9)), float(rng.randrange(1, 9))) for i in range(17)]
+    df = spark.createDataFrame(rows, "row_id long, a double, b double")
     a, b = Col("a"), Col("b")
     got = compute(df, Aggregation("sum", a * b + b, "s"), Aggregation("max", a * b, "m"), Aggregation("min", a - b, "n"), Aggregation("none", 10 * a, "v"), Aggregation("count", a, "c"), Aggregation("avg", b, "g")).first()
-    assert tuple(got) == (61.0, 35.0, -6.0, [0.0, 20.0, -30.0, 40.0, 70.0], 5, 3.0)
-    assert compute(df, Aggregation("sum", a, "s"), mask=F.col("row_id").isin(0, 2)).first().s == -3.0
+    assert tuple(got)[:5] == (sum(x * y + y for _, x, y in rows), max(x * y for _, x, y in rows), min(x - y for _, x, y in rows), [10 * x for _, x, _ in rows], 17)
+    assert math.isclose(got.g, sum(y for *_, y in rows) / 17)
+    assert compute(df, Aggregation("sum", a, "s"), mask=F.col("row_id").isin(1, 6, 8)).first().s == sum(rows[i][1] for i in (1, 6, 8))
     assert (a * b - 2).columns() == ["a", "b"]
     for wrong in (lambda: checked(Lit(1)), lambda: Binary("+", Lit(1), Lit(2)), lambda: Aggregation("sum", Lit(1), "x")):
         with pytest.raises(ValueError):
@@ -101,15 +120,28 @@ def test_ieee_division(spark):
 
 
 def test_scalar_functions(spark):
-    digits = {"1.0": 1, "1.0e-1": 2, "3.33": 2, "100": 0, "10e-18": 18, "1.234e-3": 6, "1e3": 0, "64.2": 1, "-99": 0}
-    df = spark.createDataFrame([(k,) for k in digits], "s string")
-    assert {r.s: r.d for r in df.select("s", fp.decimal_digits(F.col("s")).alias("d")).collect()} == digits
-    x = spark.createDataFrame([(v,) for v in (8, 1, -1, 0, -(1 << 63))], "x long").select("x", fp.leading_zeros(F.col("x")).alias("l"), fp.trailing_zeros(F.col("x")).alias("t"), fp.unzigzag(fp.zigzag(F.col("x"))).alias("z"))
-    assert [(r.l, r.t) for r in x.collect()] == [(60, 3), (63, 0), (0, 0), (64, 64), (0, 63)] and all(r.x == r.z for r in x.collect())
-    z = spark.createDataFrame([(v,) for v in (0, -1, 2, -100000)], "x long").select(fp.zigzag(F.col("x")).alias("z"))
-    assert [r.z for r in z.collect()] == [0, 1, 4, 199999]
-    r = spark.createDataFrame([(1.005,), (-2.5,), (2.675,)], "v double").select(fp.round_scale(F.col("v"), 100).alias("a"), fp.round_scale(F.col("v"), 1).alias("b"))
-    assert [tuple(x) for x in r.collect()] == [(1.0, 1.0), (-2.5, -3.0), (2.68, 3.0)] or [x.b for x in r.collect()] == [1.0, -3.0, 3.0]
+    rng = random.Random(3)
+    texts = ["7", "-18", "0.0", "45.50", "1.5e2", "25e-4", "-6.25e-2", "9E0"[:1] + "e0"] + [f"{rng.randrange(-999, 999)}.{rng.randrange(10 ** k):0{k}d}{rng.choice(['', 'e-3', 'e2'])}" for k in range(1, 9)]
+
+    def digits(text):
+        """By the rule: written digits after the point, less the exponent, none below zero."""
+        mantissa, _, exponent = text.partition("e")
+        return max(0, len(mantissa.partition(".")[2]) - int(exponent or 0))
+
+    df = spark.createDataFrame([(k,) for k in texts], "s string")
+    assert {r.s: r.d for r in df.select("s", fp.decimal_digits(F.col("s")).alias("d")).collect()} == {k: digits(k) for k in texts}
+    longs = [0, -1, 1 << 62, -(1 << 63), (1 << 63) - 1, *(rng.randrange(-(1 << 63), 1 << 63) >> rng.randrange(63) for _ in range(40))]
+    x = spark.createDataFrame([(v,) for v in longs], "x long").select("x", fp.leading_zeros(F.col("x")).alias("l"), fp.trailing_zeros(F.col("x")).alias("t"), fp.zigzag(F.col("x")).alias("z"), fp.unzigzag(fp.zigzag(F.col("x"))).alias("u"))
+    for r in x.collect():
+        plain = f"{r.x & (1 << 64) - 1:064b}"
+        assert r.l == len(plain) - len(plain.lstrip("0")) and r.t == len(plain) - len(plain.rstrip("0")) and r.u == r.x
+        assert r.z & (1 << 64) - 1 == (2 * r.x if r.x >= 0 else -2 * r.x - 1)
+    scaled = [(v, s) for v in (1.005, -2.5, 2.675, 0.125, -0.001, 0.0, -0.0, 1e15 + 0.3) for s in (1.0, 10.0, 100.0)]
+    rounds = spark.createDataFrame([(v,) for v, _ in scaled[::3]], "v double").select("v", *[fp.round_scale(F.col("v"), s).alias(f"s{int(s)}") for s in (1.0, 10.0, 100.0)])
+    for r in rounds.collect():
+        for s in (1.0, 10.0, 100.0):
+            y = r.v * s
+            assert str(r[f"s{int(s)}"]) == str(math.copysign(math.floor(abs(y) + 0.5), y) / s), (r.v, s)
 
 
 def test_statistics(spark):
@@ -150,18 +182,26 @@ def test_sql_codecs(spark):
 
 
 def test_vectors(spark):
-    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 6.0]), (3, [3.0, 4.0])], "vec_id long, embedding array<double>")
-    assert tuple(vectors.knn1(df, [5.0, 6.0]).first()) == (2, 0.0) and tuple(vectors.knn1(df, [3.0, 4.0]).first()) == (3, 0.0)
-    batch = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0, 0.0, 1.0]), (1, [3.0, 2.0, -1.0, 8.0, 0.0, 1.0])], "batch int, a array<double>")
-    target = [[1, 1], [5, 4], [6, 3], [2, 1]]
-    want = [[[3, 13, 12, 4], [7, 31, 30, 10], [1, 4, 3, 1]], [[5, 23, 24, 8], [7, 27, 18, 6], [1, 4, 3, 1]]]
-    for t in (target, vectors.transpose([[1, 5, 6, 2], [1, 4, 3, 1]])):
-        got = {(r.batch, r.i, r.j): r.value for r in vectors.matmul(batch, t, 3, 2).collect()}
-        assert got == {(b, i, j): float(want[b][i][j]) for b in range(2) for i in range(3) for j in range(4)}
+    rng = random.Random(8)
+    points = [(i, [float(rng.randrange(-9, 10)) for _ in range(3)]) for i in range(12)]
+    points += [(12, points[4][1]), (13, points[7][1])]
+    df = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    for target in (points[4][1], points[7][1], [0.5, -0.5, 2.0], [40.0, 0.0, 0.0]):
+        d = {i: sum((x - y) ** 2 for x, y in zip(v, target, strict=True)) for i, v in points}
+        want = max(i for i in d if d[i] == min(d.values()))
+        assert tuple(vectors.knn1(df, target).first()) == (want, d[want])
+    rows, inner, columns = 4, 3, 5
+    batch = [(b, [float(rng.randrange(-5, 6)) for _ in range(rows * inner)]) for b in range(3)]
+    target = [[float(rng.randrange(-5, 6)) for _ in range(inner)] for _ in range(columns)]
+    by_rows = [[target[j][k] for j in range(columns)] for k in range(inner)]
+    a = spark.createDataFrame(batch, "batch int, a array<double>")
+    want = {(b, i, j): sum(m[i * inner + k] * target[j][k] for k in range(inner)) for b, m in batch for i in range(rows) for j in range(columns)}
+    for t in (target, vectors.transpose(by_rows)):
+        assert {(r.batch, r.i, r.j): r.value for r in vectors.matmul(a, t, rows, inner).collect()} == want
     with pytest.raises(ValueError, match="length"):
-        vectors.matmul(batch, target, 3, 3)
-    flat = vectors.flatten(df, length=2)
-    assert vectors.reshape(flat, 2).orderBy("vec_id").collect() == df.collect()
+        vectors.matmul(a, target, rows, inner + 1)
+    flat = vectors.flatten(df, length=3)
+    assert [(r.vec_id, r.embedding) for r in vectors.reshape(flat, 3).orderBy("vec_id").collect()] == points
 
 
 def test_classification_matches_brute_force(spark, monkeypatch):
