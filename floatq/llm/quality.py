@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, quoted
 
 # Frequent words of four languages, in natural order.
 COMMON_WORDS = {
@@ -62,9 +62,9 @@ def repeated_window_words(words: str) -> list[tuple[str, Column]]:
     ]
 
 
-def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and two histograms (``_classes``, ``_common``)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def features(docs: DataFrame) -> DataFrame:
+    """``docs`` (with ``_text`` and ``_lang``) with the base counts, ``base_failed`` and two histograms (``_classes``, ``_common``)."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
     known = sorted({w for words in COMMON_WORDS.values() for w in words})
     length = lambda c: F.char_length(c).cast("long")
     df = docs.withColumn("_t", text).withColumn("_w", F.expr(rf"filter(split(_t, r'[{SPACE}]+'), w -> w != '')"))
@@ -86,20 +86,20 @@ def features(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     quoted = ", ".join(f"'{x}'" for w in known for x in dict.fromkeys((w, w.capitalize(), w.upper())))
     df = df.withColumn("_k", F.expr(f"transform(filter(_w, w -> w IN ({quoted})), w -> lower(w))"))
     lists = F.create_map(*[F.lit(x) for lang, words in COMMON_WORDS.items() for x in (lang, words)])
-    df = df.withColumn("_list", lists[F.col(lang_col)]).withColumn("_hits", F.expr("CASE WHEN size(_k) >= 0 THEN transform(_list, r -> size(filter(_k, w -> w = r)) * 1L) END"))
+    df = df.withColumn("_list", lists[F.col("_lang")]).withColumn("_hits", F.expr("CASE WHEN size(_k) >= 0 THEN transform(_list, r -> size(filter(_k, w -> w = r)) * 1L) END"))
     df = df.withColumn("_common", F.expr("concat(_hits, array(n_words - aggregate(_hits, 0L, (a, x) -> a + x)))"))
     return df.select(*docs.columns, *FEATURES, "_classes", "_common")
 
 
-def listed(lang_col: str) -> Column:
+def listed() -> Column:
     """The language if it has a word list, else null."""
-    return F.when(F.col(lang_col).isin(list(COMMON_WORDS)), F.col(lang_col))
+    return F.when(F.col("_lang").isin(list(COMMON_WORDS)), F.col("_lang"))
 
 
-def references(table: DataFrame, scratch: Scratch, lang_col: str = "lang") -> DataFrame:
+def references(table: DataFrame, scratch: Scratch) -> DataFrame:
     """Summed histograms per language with a word list, and of null that of the classes over these, or over all if there is none."""
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]).cast("double") for i in range(n)])
-    groups = table.where(~F.col("base_failed")).groupBy(listed(lang_col).alias("_ref_lang"))
+    groups = table.where(~F.col("base_failed")).groupBy(listed().alias("_ref_lang"))
     groups = scratch.save(groups.agg(sums("_classes", len(CLASSES) + 2).alias("_ref_classes"), sums("_common", 21).alias("_ref_common")), "groups")
     sides = [groups.where(w).agg(sums("_ref_classes", len(CLASSES) + 2).alias("c")) for w in ("_ref_lang IS NOT NULL", "_ref_lang IS NULL")]
     both = sides[0].crossJoin(sides[1].withColumnRenamed("c", "d")).select(F.when(F.col("c")[0].isNotNull(), F.col("c")).otherwise(F.col("d")).alias("_ref_classes"))
@@ -126,12 +126,16 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     scratch = Scratch(docs.sparkSession, "quality")
     added = [*FEATURES, "js_classes", "js_common", "kept"]
-    docs = docs.select([c for c in docs.columns if c not in added])
-    table = features(docs, text_col, lang_col)
-    table = scratch.save(table if keep_text else table.drop(text_col), "features")
-    refs = scratch.save(references(table, scratch, lang_col), "references")
-    df = table.join(F.broadcast(refs), listed(lang_col).eqNullSafe(F.col("_ref_lang")), "left")
+    columns = [c for c in docs.columns if c.lower() not in added]
+    # The caller's other columns travel in one, so that no name meets those used here.
+    others = [F.col(quoted(c)) for c in columns if c not in (text_col, lang_col)] or [F.lit(None).alias("none")]
+    table = features(docs.select(F.struct(*others).alias("_others"), F.col(quoted(text_col)).alias("_text"), F.col(quoted(lang_col)).cast("string").alias("_lang")))
+    table = scratch.save(table if keep_text else table.drop("_text"), "features")
+    refs = scratch.save(references(table, scratch), "references")
+    df = table.join(F.broadcast(refs), listed().eqNullSafe(F.col("_ref_lang")), "left")
     df = df.withColumn("js_classes", F.when(F.col("word_chars") >= MIN_CHARS_FOR_CLASSES, js_distance("_classes", "_ref_classes")))
     df = df.withColumn("js_common", F.when(F.col("n_words") >= MIN_WORDS_FOR_COMMON, js_distance("_common", "_ref_common")))
     far = (F.coalesce("js_classes", F.lit(0.0)) > max_class) | (F.coalesce("js_common", F.lit(0.0)) > max_word)
-    return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("_classes", "_common", "_ref_lang", "_ref_classes", "_ref_common")
+    df = df.withColumn("kept", ~F.col("base_failed") & ~far)
+    back = {text_col: F.col("_text"), lang_col: F.col("_lang").cast(docs.schema[lang_col].dataType)} if keep_text else {lang_col: F.col("_lang").cast(docs.schema[lang_col].dataType)}
+    return df.select(*[back.get(c, F.col(f"_others.{quoted(c)}")).alias(c) for c in columns if keep_text or c != text_col], *added)

@@ -52,6 +52,17 @@ def test_quality_counts_match_brute_force(spark):
     assert quality.quality_rules(docs.limit(0)).collect() == []
 
 
+def test_quality_keeps_columns_of_all_names(spark):
+    """Extra columns named like those used inside, and repeated rows."""
+    names = ["_list", "_s", "_t", "_common", "_ref_lang", "_others", "_text", "_lang", "_w", "a b", "l"]
+    rows = [(i % 2, "some words of a text " * 9, "en", *[f"{n}{i}" for n in names]) for i in (1, 2, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    got = quality.quality_rules(df)
+    assert got.columns[: len(df.columns)] == df.columns
+    assert sorted(tuple(r)[: len(df.columns)] for r in got.collect()) == sorted(rows)
+    assert "text" not in quality.quality_rules(df, keep_text=False).columns
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
