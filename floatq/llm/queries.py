@@ -15,7 +15,7 @@ from .near_dedup import near_dedup
 from .packing import pack, token_pieces
 from .quality import quality_rules
 from .token_counts import token_counts
-from .url_filter import url_filter
+from .url_filter import parts, url_filter
 
 #: Longest sequence of the model that the corpus is for.
 MAX_TOKENS = 2048
@@ -67,10 +67,10 @@ BAD_HOST_WORDS = ["ads", "bets", "casino", "pills", "porn", "spam", "track", "vi
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table labels URLs, so a host's words do: bad if one is listed, unlabelled if there is no host."""
-    bad = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, BAD_HOST_WORDS)))
-    label = F.when(F.col("host") != "", bad.cast("int"))
-    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, label)
+    """No table labels URLs, so words of the host make the labels that the trees learn from: bad if one is listed."""
+    pages = _table(spark, sf_dir, "pages")
+    bad = F.arrays_overlap(F.split(parts("url")[0], "[.-]"), F.array(*map(F.lit, BAD_HOST_WORDS)))
+    return url_filter(pages, URL_RULES, pages.select("url", bad.cast("int").alias("label")))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, ascii_lower, pick
+from .shared import Scratch, ascii_lower, pick, quoted
 
 #: Most labelled URLs that the trees are fitted on, and most host suffixes that are broadcast; more are joined by shuffle.
 SAMPLE_ROWS, MAX_SUFFIXES = 20_000, 200_000
 TREES, DEPTH, STEP, SEED = 20, 3, 0.2, 11
 #: Weight of the overall rate in the rate of a host suffix.
 PRIOR = 20
-FEATURES = ["url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "params", "suffix_rate", "suffix_rows"]
+#: Labels of the host suffixes that are counted, and folds of hosts, of which a training URL's own is left out of its rates.
+SUFFIXES, FOLDS = (2, 3), 5
+FEATURES = ["url_length", "host_length", "path_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "params", *(f"{c}_{k}" for k in SUFFIXES for c in ("rate", "rows"))]
 Rules = list[tuple[str, str]]
 
 
@@ -41,7 +43,7 @@ def rule_columns(rules: Rules) -> tuple[Column, Column]:
 
 
 def lexical(df: DataFrame, url: str) -> DataFrame:
-    """Adds the features but for the suffix statistics, and ``suffix``, the last two labels of the host."""
+    """Adds the features but for the suffix statistics; reads ``host`` and ``path``."""
     count = lambda text, what: F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))
     address = F.coalesce(F.col(url), F.lit(""))
     query = F.regexp_extract(address, r"\?([^#]*)", 1)
@@ -57,15 +59,28 @@ def lexical(df: DataFrame, url: str) -> DataFrame:
         .withColumn("hyphens", count(F.col("host"), "-"))
         .withColumn("entropy", entropy)
         .withColumn("params", F.when(query == "", F.lit(0)).otherwise(count(query, "&") + 1))
-        .withColumn("suffix", F.substring_index("host", ".", -2))
     )
 
 
-def with_suffixes(df: DataFrame, suffixes: DataFrame, base_rate: float) -> DataFrame:
-    """Adds the share of blocked URLs and the log of the rows of a host suffix among the labelled."""
-    joined = pick(df, suffixes, "suffix", "left", MAX_SUFFIXES)
-    rate = (F.coalesce("blocked", F.lit(0)) + F.lit(PRIOR * base_rate)) / (F.coalesce("rows", F.lit(0)) + PRIOR)
-    return joined.withColumn("suffix_rate", rate).withColumn("suffix_rows", F.log1p(F.coalesce("rows", F.lit(0))))
+def suffix(k: int) -> Column:
+    """The last k labels of the host, with k, as a short host is its own suffix for several."""
+    return F.concat(F.lit(f"{k} "), F.substring_index("host", ".", -k))
+
+
+def fold() -> Column:
+    return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+
+
+def with_suffixes(df: DataFrame, counts: DataFrame, base_rate: float, own: DataFrame | None = None) -> DataFrame:
+    """Adds for each suffix the share of blocked URLs and the log of its rows among the labelled; ``own`` (by suffix and fold) is taken off."""
+    for k in SUFFIXES:
+        df = pick(df.withColumn("suffix", suffix(k)), counts, "suffix", "left", MAX_SUFFIXES)
+        rows, blocked = F.coalesce("rows", F.lit(0)), F.coalesce("blocked", F.lit(0))
+        if own is not None:
+            df = df.withColumn("fold", fold()).join(own, ["suffix", "fold"], "left")
+            rows, blocked = rows - F.coalesce("own_rows", F.lit(0)), blocked - F.coalesce("own_blocked", F.lit(0))
+        df = df.withColumns({f"rate_{k}": (blocked + F.lit(PRIOR * base_rate)) / (rows + PRIOR), f"rows_{k}": F.log1p(rows)}).drop("suffix", "rows", "blocked", "fold", "own_rows", "own_blocked")
+    return df
 
 
 def tree_sql(node) -> str:
@@ -79,21 +94,22 @@ def tree_sql(node) -> str:
 class UrlModel:
     """Trees as a column, and what the suffix features need. ``margin`` over 0 means block."""
 
-    def __init__(self, labelled: DataFrame, url: str, scratch: Scratch, sample_rows: int = SAMPLE_ROWS) -> None:
-        """``labelled`` has ``host``, ``path``, the URL and ``label`` (1: block). The fit takes ``sample_rows`` of least hash, by class; suffixes are counted over all."""
+    def __init__(self, labelled: DataFrame, scratch: Scratch, sample_rows: int = SAMPLE_ROWS) -> None:
+        """``labelled`` has ``url``, ``host``, ``path`` and ``label`` (1: block). The fit takes ``sample_rows`` of least hash, by class; suffixes are counted over all."""
         labelled = labelled.where(F.col("label").isNotNull())
-        counted = labelled.groupBy(F.substring_index("host", ".", -2).alias("suffix"))
-        self.suffixes = scratch.save(counted.agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("blocked")), "suffixes")
-        rows, blocked = self.suffixes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+        each = labelled.select("label", fold().alias("fold"), F.explode(F.array(*map(suffix, SUFFIXES))).alias("suffix"))
+        own = scratch.save(each.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("own_rows"), F.sum("label").alias("own_blocked")), "folds")
+        self.suffixes = scratch.save(own.groupBy("suffix").agg(F.sum("own_rows").alias("rows"), F.sum("own_blocked").alias("blocked")), "suffixes")
+        rows, blocked = self.suffixes.where(F.startswith("suffix", F.lit(f"{SUFFIXES[0]} "))).agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
         self.base_rate = blocked / rows if rows else 0.0
         # Half of the sample for each class, and what one leaves for the other; weights restore their shares.
         there = {0: rows - blocked, 1: blocked}
         take = {c: min(there[c], max(sample_rows // 2, sample_rows - there[1 - c])) for c in there}
         weight = {c: there[c] / take[c] if take[c] else 1.0 for c in there}
-        least = lambda c: labelled.where(F.col("label") == c).orderBy(F.xxhash64(url), url).limit(take[c]).withColumn("weight", F.lit(float(weight[c])))
-        sample = scratch.save(lexical(least(0).unionByName(least(1)), url), "sample")
+        least = lambda c: labelled.where(F.col("label") == c).orderBy(F.xxhash64("url"), "url").limit(take[c]).withColumn("weight", F.lit(float(weight[c])))
+        sample = scratch.save(lexical(least(0).unionByName(least(1)), "url"), "sample")
         if 0 < blocked < rows:
-            ready = with_suffixes(sample, self.suffixes, self.base_rate).select(*[F.col(c).cast("double") for c in FEATURES], F.col("label").cast("double"), "weight")
+            ready = with_suffixes(sample, self.suffixes, self.base_rate, own).select(*[F.col(c).cast("double") for c in FEATURES], F.col("label").cast("double"), "weight")
             ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ready).select("features", "label", "weight").coalesce(1)
             model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=SEED, weightCol="weight").fit(ready)
             trees = [f"{w!r}D * ({tree_sql(t._call_java('rootNode'))})" for w, t in zip(model.treeWeights, model.trees, strict=True)]
@@ -101,25 +117,25 @@ class UrlModel:
         else:  # one class only: nothing to tell apart
             self.margin = F.lit(1.0 if blocked else -1.0)
 
-    def score(self, df: DataFrame, url: str) -> DataFrame:
-        """``df`` (with host and path) and ``block_score``, the odds of block from 0 to 1."""
-        columns = [c for c in df.columns if c != "block_score"]
-        ready = with_suffixes(lexical(df.select(columns), url), self.suffixes, self.base_rate)
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` (id, url, host, path) and ``block_score``, the odds of block from 0 to 1."""
+        columns = df.columns
+        ready = with_suffixes(lexical(df, "url"), self.suffixes, self.base_rate)
         return ready.withColumn("block_score", 1 / (1 + F.exp(-2 * self.margin))).select(*columns, "block_score")
 
 
-def url_filter(pages: DataFrame, rules: Rules, label: Column, id_col: str = "page_id", url_col: str = "url", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def url_filter(pages: DataFrame, rules: Rules, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per page: id, host, path, rule (null if none fits), verdict (allow or block), block_score.
 
-    ``label`` is 1 (block), 0 (allow) or null (unlabelled) for a URL and may read ``host`` and ``path``. A null URL, or
-    one without ``://``, has an empty host and path and is judged by the trees alone. Pages are judged one by one: repeated rows
+    ``labelled`` (url, label) are the URLs to learn from: 1 is block, 0 allow, and null, like a URL without a host, is no label. A null URL, or
+    one without ``://``, has an empty host and path and is judged by the trees alone; without labels, or with one class
+    only, all others get that class (allow without any). Pages are judged one by one: repeated rows
     repeat, a null id stays null. Other columns are ignored, an empty table gives an empty result.
     """
     scratch = Scratch(pages.sparkSession, "url")
-    host, path = parts("url")
-    df = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
-    model = UrlModel(df.select("url", "host", "path", label.alias("label")), "url", scratch, sample_rows)
+    cut = lambda df: df.withColumns(dict(zip(("host", "path"), parts("url"), strict=True)))
+    model = UrlModel(cut(labelled.select("url", F.col("label").cast("int").alias("label"))).where("host <> ''"), scratch, sample_rows)
     rule, verdict = rule_columns(rules)
-    scored = model.score(df, "url")
+    scored = model.score(cut(pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).alias("url"))))
     judged = F.when(F.col("block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, judged).alias("verdict"), "block_score")
