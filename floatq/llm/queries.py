@@ -82,7 +82,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, keep_text=False).drop("lang")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the license scan that SQL can state."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the quality rules that SQL can state."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule, and the verdict where a rule fits."""
+    judged = op8_url_filter(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 QUERIES = {
+    "license_base": license_base,
+    "quality_base": quality_base,
+    "url_rules": url_rules,
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
@@ -102,5 +121,38 @@ WITH d AS (
   FROM documents
 ), g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
+""",
+    "license_base": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), p AS (
+  SELECT doc_id, len(w) AS n_words,
+    list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+    list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+    list_filter(range(0, len(w) - 2), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl
+  FROM w
+)
+SELECT doc_id, n_words, len(mit) + len(apache) + len(gpl) AS n_base, list_min(mit || apache || gpl) AS first_word, list_max(mit || apache || gpl) AS last_word,
+  concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM p
+""",
+    "quality_base": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+windows AS (SELECT r, unnest(range(0, len(w) - 7)) AS i, unnest(list_transform(range(0, len(w) - 7), lambda i: w[i + 1:i + 8])) AS x FROM w WHERE len(w) > 7),
+twice AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, sum(CASE WHEN step < 8 THEN step ELSE 8 END)::BIGINT AS n FROM twice GROUP BY r),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
+FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN repeated USING (r)
+""",
+    "url_rules": r"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(rule, of_host, of_path, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block'))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+FROM (SELECT row_number() OVER () AS r, * FROM p) p LEFT JOIN rules ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, of_path) GROUP BY r, page_id, host, path
 """,
 }
