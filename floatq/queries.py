@@ -14,7 +14,9 @@ from floatq.plans import predicate as P
 from floatq.plans.aggregation import Aggregation, compute
 from floatq.plans.expr import Col, Lit
 from floatq.sources import container, text
+from floatq.sources.chunkstore import ChunkStore
 from floatq.sources.codecs import CODECS
+from floatq.sources.folders import temporary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -93,6 +95,13 @@ for name, args, where in (("all", (False, None), "true"), ("mask", (True, None),
     add(f"materialize_{name}", lambda s, d, m=args[0], c=args[1]: events(s, d).materialize(mask() if m else None, c), f"SELECT row_id, value FROM {EV} WHERE {where}")
 
 LO, HI = 50.25, 200.5
+
+
+def steps_frame(spark: SparkSession, d: str) -> ColumnFrame:
+    """The events' values in steps of 250, so that many are equal."""
+    return ColumnFrame(events(spark, d).df.withColumn("value", F.floor(F.col("value") / 250).cast("double")))
+
+
 SIDES = {"i": P.Bound.INCLUSIVE, "e": P.Bound.EXCLUSIVE, "n": P.Bound.NONE}
 
 
@@ -101,6 +110,9 @@ def rng(a: str, b: str) -> P.Range:
 
 
 add("filter_eq", lambda s, d: events(s, d).filter(P.Eq(99.5)), f"SELECT row_id FROM {EV} WHERE value = 99.5")
+# Values that the tables hold at every size.
+add("filter_eq_found", lambda s, d: events(s, d).filter(P.Eq(5.0)), f"SELECT row_id FROM {EV} WHERE value = 5.0")
+add("filter_materialize_eq_found", lambda s, d: steps_frame(s, d).filter_materialize(P.Eq(1.0), mask()), f"SELECT row_id, value FROM (SELECT row_id, floor(value / 250) AS value FROM {EV}) WHERE value = 1 AND {MASK}")
 add("filter_ne", lambda s, d: events(s, d).filter(P.Ne(99.5)), f"SELECT row_id FROM {EV} WHERE value <> 99.5")
 for a in SIDES:
     for b in SIDES:
@@ -317,6 +329,41 @@ def ratios(spark: SparkSession, d: str) -> DataFrame:
 
 add("compression_ratio_by_codec", ratios)
 
+# Chunk store -------------------------------------------------------------------------------------
+
+
+def stored(spark: SparkSession, d: str, codec: str = "gorilla", upto: int | None = None) -> ChunkStore:
+    """The events' values, written chunk by chunk and read back."""
+    store = ChunkStore(spark, temporary(spark, "store"))
+    df = events(spark, d).materialize()
+    store.write(df if upto is None else df.where(F.col("row_id") < upto), codec, CHUNK)
+    return store
+
+
+def store_append(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the rows, then the others with another codec."""
+    store = stored(spark, d, "zstd", 5 * CHUNK)
+    store.append(events(spark, d).materialize(F.col("row_id") >= 5 * CHUNK), "gorilla", CHUNK)
+    return store.scan()
+
+
+def store_rewind(spark: SparkSession, d: str) -> DataFrame:
+    """All rows, taken back to two chunks, then a third added."""
+    store = stored(spark, d)
+    store.rewind(2 * CHUNK)
+    store.append(events(spark, d).materialize((F.col("row_id") >= 2 * CHUNK) & (F.col("row_id") < 3 * CHUNK)), "zstd", CHUNK)
+    return store.scan()
+
+
+add("container_scan", lambda s, d: stored(s, d).scan(), f"SELECT row_id, chunk_id, value FROM {EV}")
+add("container_filter_pushdown", lambda s, d: stored(s, d).scan(rng("i", "e")).select("row_id", "value"), f"SELECT row_id, value FROM {EV} WHERE value >= {LO} AND value < {HI}")
+add("container_filter_none", lambda s, d: stored(s, d).scan(P.above(1e6)).select("row_id", "value"), f"SELECT row_id, value FROM {EV} WHERE value > 1000000")
+add("container_mask", lambda s, d: stored(s, d, "chimp").scan(P.below(HI), mask(), 3).select("row_id", "value"), f"SELECT row_id, value FROM {EV} WHERE value < {HI} AND {MASK} AND chunk_id = 3")
+add("container_aggregate", lambda s, d: rnd(stored(s, d, "alp").aggregate(), 2), f"SELECT count(*) AS n, round(sum(value), 2) AS sum, round(min(value), 2) AS min, round(max(value), 2) AS max FROM {EV}")
+add("container_append", store_append, f"SELECT row_id, chunk_id, value FROM {EV}")
+add("container_rewind", store_rewind, f"SELECT row_id, chunk_id, value FROM {EV} WHERE row_id < {3 * CHUNK}")
+add("container_chunks", lambda s, d: stored(s, d).chunks().select("chunk_id", "logical_offset", "rows", "least", "most", "nan"), f"SELECT chunk_id, min(row_id) AS logical_offset, count(*) AS rows, min(value) AS least, max(value) AS most, false AS nan FROM {EV} GROUP BY 1")
+
 # Sources -----------------------------------------------------------------------------------------
 
 

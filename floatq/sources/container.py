@@ -64,6 +64,14 @@ def _manifest(path: str) -> dict:
     return spec
 
 
+def _swap(path: str, spec: dict) -> None:
+    """Replace the manifest by a rename, so there is always a whole one."""
+    temporary = os.path.join(path, f".{MANIFEST}.{uuid.uuid4().hex}")
+    with open(temporary, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    os.replace(temporary, os.path.join(path, MANIFEST))
+
+
 @dataclass
 class Chunk(InputPartition):
     file: str
@@ -171,13 +179,11 @@ class ContainerWriter(DataSourceArrowWriter):
         if len({c["chunk_id"] for c in chunks}) < len(chunks):
             raise ValueError("two tasks wrote rows of one chunk; write through write_column")
         spec = {"magic": MAGIC, "version": VERSION, "codec": self.codec, "options": self.options, "number_of_records": sum(c["rows"] for c in chunks), "number_of_chunks": len(chunks), "chunks": chunks}
-        temporary = os.path.join(self.path, f".{MANIFEST}.{uuid.uuid4().hex}")
-        with open(temporary, "w", encoding="utf-8") as f:
-            json.dump(spec, f)
-        os.replace(temporary, os.path.join(self.path, MANIFEST))
-        used = {c["file"] for c in chunks}
-        for name in os.listdir(self.path):
-            if name.startswith("data-") and name not in used:
+        before = {c["file"] for c in _manifest(self.path)["chunks"]} if os.path.exists(os.path.join(self.path, MANIFEST)) else set()
+        _swap(self.path, spec)
+        # Only files that the manifest named before, so another writer keeps its own.
+        for name in before - {c["file"] for c in chunks}:
+            if os.path.exists(os.path.join(self.path, name)):
                 os.remove(os.path.join(self.path, name))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -244,8 +250,7 @@ def rewind(path: str, n: int) -> None:
     if any(c["logical_offset"] + c["rows"] > n for c in keep):
         raise ValueError("rows are taken back by whole chunks")
     spec |= {"chunks": keep, "number_of_chunks": len(keep), "number_of_records": sum(c["rows"] for c in keep)}
-    with open(os.path.join(path, MANIFEST), "w", encoding="utf-8") as f:
-        json.dump(spec, f)
+    _swap(path, spec)
 
 
 def delete(path: str) -> None:

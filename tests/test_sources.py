@@ -1,16 +1,20 @@
 from __future__ import annotations
 
 import json
+import math
 import struct
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from floatq import cli
+from floatq.plans import predicate as P
 from floatq.sources import container, text
 from floatq.sources.bits import Reader, leading, pack, trailing, unpack
-from floatq.sources.codecs import CODECS, ByteSliced, make, raw_bits
+from floatq.sources.chunkstore import ChunkStore, may_hold
+from floatq.sources.codecs import CODECS, ByteSliced, make, raw_bits, register
 from floatq.streaming.ingest import ingest
 
 RNG = np.random.default_rng(3)
@@ -124,3 +128,69 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["compress", "-i", source, "-t", target, "--codec", "sprintz"])["compression_ratio"] < 1
     assert cli.main(["filter", "-i", target, "-c", str(tmp_path / "f.json"), "-n", "1"])["rows"] == 49
     assert cli.main(["max", "-i", target, "-n", "1"])["result"] == 24.75
+
+
+def stored_values(store, **how):
+    return [(r.row_id, r.chunk_id, r.value) for r in store.scan(**how).orderBy("row_id").collect()]
+
+
+@pytest.mark.parametrize("codec", ["gorilla", "rle", "zstd"])
+def test_chunk_store(spark, tmp_path, codec):
+    values = [*np.round(RNG.normal(0, 50, 400), 2).tolist(), math.nan, math.inf, -0.0, *np.linspace(500, 600, 97).tolist()]
+    df = spark.createDataFrame(list(enumerate(values)), "row_id long, value double").repartition(7)
+    store = ChunkStore(spark, f"{tmp_path}/column")
+    assert store.count() == 0 and store.chunks().collect() == [] and stored_values(store) == []
+    store.write(df.where("row_id < 300"), codec, 64)
+    # The last chunk has 44 rows; what follows begins a chunk of its own.
+    store.append(df.where("row_id >= 300"), "zstd", 50)
+    chunk = lambda i: i // 64 if i < 300 else 5 + (i - 300) // 50
+    every = [(i, chunk(i), v) for i, v in enumerate(values)]
+    assert str(stored_values(store)) == str(every) and store.count() == 500
+    for predicate, says in ((P.above(499.5), lambda v: v > 499.5), (P.between(-10, 10), lambda v: -10 <= v <= 10), (P.Eq(values[7]), lambda v: v == values[7]), (P.Ne(values[7]), lambda v: v != values[7]), (P.Range(), lambda v: True)):
+        assert str(stored_values(store, predicate=predicate)) == str([r for r in every if says(r[2])])
+        assert str(stored_values(store, predicate=predicate, mask=F.col("row_id") % 2 == 0, chunk_id=2)) == str([r for r in every if says(r[2]) and r[0] % 2 == 0 and r[1] == 2])
+    got = store.aggregate().first()
+    assert (got["n"], got["min"], got["max"]) == (500, min(v for v in values if v == v), math.inf) and math.isnan(got["sum"])
+    with pytest.raises(ValueError, match="whole chunks"):
+        store.rewind(70)
+    store.rewind(128)
+    assert str(stored_values(store)) == str(every[:128])
+    store.append(df.where("row_id >= 128"), codec, 500)
+    assert [r[0] for r in stored_values(store)] == list(range(500)) and store.chunks().count() == 3
+    (tmp_path / "column" / "generation=4").mkdir()  # of a job that failed
+    assert store.count() == 500
+    store.write(df.where("row_id < 10"), codec, 4)
+    assert str(stored_values(store)) == str([(i, i // 4, values[i]) for i in range(10)])
+
+
+def test_chunk_store_prunes_by_statistics(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id AS row_id", "CAST(id AS double) AS value")
+    store = ChunkStore(spark, f"{tmp_path}/column")
+    store.write(df, "gorilla", 100)
+    plan = store.scan(P.between(250, 260))._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(most,250.0)" in plan and "LessThanOrEqual(least,260.0)" in plan
+    assert store.chunks().where(may_hold(P.between(250, 260))).count() == 1
+    empty = ChunkStore(spark, f"{tmp_path}/empty")
+    empty.write(df.limit(0), "gorilla", 100)
+    assert tuple(empty.aggregate().first()) == (0, 0.0, math.inf, -math.inf)
+
+
+def test_a_codec_can_be_added():
+    class Halves(CODECS["uncompressed"]):
+        """Values as 32-bit floats where that loses nothing."""
+
+        name = "halves"
+
+        def encode(self, values):
+            small = values.astype("<f4")
+            return b"s" + small.tobytes() if (raw_bits(small.astype(float)) == raw_bits(values)).all() else b"l" + super().encode(values)
+
+        def decode(self, data, n):
+            return np.frombuffer(data[1:], "<f4", n).astype(float) if data[:1] == b"s" else super().decode(data[1:], n)
+
+    register(Halves)
+    try:
+        for values in (np.array([0.5, -2.25]), np.array([0.1])):
+            assert make("halves").decode(make("halves").encode(values), len(values)).tolist() == values.tolist()
+    finally:
+        CODECS.pop("halves")
