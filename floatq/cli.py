@@ -7,7 +7,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from floatq.functions import fp
@@ -114,8 +114,10 @@ def all_patch(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def ucr(spark: SparkSession, a: argparse.Namespace) -> dict:
     def series(path: str) -> DataFrame:
-        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"))
-        numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("line long, value string")
+        # Each file's first line is skipped; a file's place among the paths comes before the line.
+        lines = text.numbered_lines(spark, path).where("line > 0")
+        files = lines.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")))
+        numbered = lines.join(F.broadcast(files), "path").select((F.shiftleft(F.col("file").cast("long"), 40) + F.col("line")).alias("line"), "value")
         return text.labelled_series(numbered).select(F.col("line").alias("vec_id"), "label", F.col("pixels").alias("embedding"))
 
     classified = vectors.classify(series(a.input), series(a.target))

@@ -73,6 +73,67 @@ def over_maximum(results: DataFrame, metric: str) -> DataFrame:
     return results.join(F.broadcast(top)).withColumn(metric, F.col(metric) / F.col("_max")).drop("_max")
 
 
+def run_means(runs: DataFrame, keys: list[str], total: str, segments: list[str], size: str) -> DataFrame:
+    """Means over repeated runs: the total time, segments with what they leave as ``others``, each segment's share, and bytes per unit of time."""
+    spent = runs.groupBy(*keys).agg(F.avg(total).alias(total), *[F.avg(c).alias(c) for c in segments], F.max(size).alias(size))
+    spent = spent.withColumn("others", F.col(total) - sum((F.col(c) for c in segments), F.lit(0)))
+    shares = {f"{c}_share": F.col(c) / F.col(total) for c in [*segments, "others"]}
+    return spent.withColumn("throughput", F.col(size) / F.col(total)).withColumns(shares)
+
+
+def per_size(results: DataFrame, columns: list[str], size: str) -> DataFrame:
+    """Times over the uncompressed size, such as seconds a gigabyte."""
+    return results.withColumns({c: F.col(c) / F.col(size) for c in columns})
+
+
+def flattened(results: DataFrame, keys: list[str], nested: str) -> DataFrame:
+    """A row per operation of ``nested`` (map of operation to a struct of metrics): keys, operation, metrics."""
+    return results.select(*keys, F.explode(nested).alias("operation", "of")).select(*keys, "operation", "of.*")
+
+
+def fact_table(flat: DataFrame, keys: list[str], operations: list[str], metric: str) -> DataFrame:
+    """One row per key with a column for each operation's metric, null where it was not run."""
+    return flat.groupBy(*keys).pivot("operation", operations).agg(F.max(metric))
+
+
+def dimension(stats: DataFrame, key: str, names: dict[str, str], whole: list[str], lookups: dict[str, dict[str, str]]) -> DataFrame:
+    """Statistics (key, statistic, value) as one row per key: rounded to two places, renamed, counts as whole numbers, and looked-up labels of the key."""
+    wide = stats.groupBy(key).pivot("statistic", list(names)).agg(F.round(F.max("value"), 2))
+    columns = [F.col(old).cast("long" if new in whole else "double").alias(new) for old, new in names.items()]
+    label = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])[F.col(key)]
+    return wide.select(key, *columns, *[label(pairs).alias(name) for name, pairs in lookups.items()])
+
+
+def class_means(results: DataFrame, method: str, metric: str, classes: dict[str, Column]) -> DataFrame:
+    """Each method's mean over each class of rows, null where a class has none of it."""
+    return results.groupBy(method).agg(*[F.avg(F.when(of, F.col(metric))).alias(name) for name, of in classes.items()])
+
+
+def with_averages(results: DataFrame, dataset: str, method: str, methods: list, metric: str, classes: dict[str, Column]) -> DataFrame:
+    """The pivot of datasets by methods, and a row of averages over each class of datasets."""
+    rows = results.select(dataset, method, metric)
+    for name, of in classes.items():
+        rows = rows.unionByName(results.where(of).groupBy(method).agg(F.avg(metric).alias(metric)).select(F.lit(name).alias(dataset), method, metric))
+    return pivot(rows, dataset, method, methods, metric)
+
+
+def from_name(df: DataFrame, name: str, pattern: str, groups: list[str]) -> DataFrame:
+    """Whole numbers that a file's name states, by the groups of a pattern; null where it doesn't match."""
+    return df.withColumns({g: F.when(F.col(name).rlike(pattern), F.regexp_extract(name, pattern, i + 1).cast("long")) for i, g in enumerate(groups)})
+
+
+def rank_matrix(results: DataFrame, dataset: str, method: str, metrics: dict[str, bool]) -> DataFrame:
+    """Ranks of methods on each dataset, averaged over metrics; True ranks the largest value first."""
+    ranks = [average_rank(F.col(m), [dataset], descending) for m, descending in metrics.items()]
+    return results.select(dataset, method, (sum(ranks, F.lit(0.0)) / len(ranks)).alias("rank"))
+
+
+def in_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Rows in the order of a list, others after them by name."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    return df.orderBy(F.when(place > 0, place).otherwise(F.lit(len(order) + 1)), column)
+
+
 def chi_square_tail(x: float, df: int) -> float:
     """P(X > x), by the series or the continued fraction of the incomplete gamma function."""
     a, z = df / 2, x / 2

@@ -26,15 +26,32 @@ def in_chunks(order: str = "row_id") -> Window:
     return Window.partitionBy("chunk_id").orderBy(order)
 
 
+#: Chunks whose last values one task passes on.
+SPAN = 4096
+
+
+def _previous(lasts: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) with the value of the next smaller key instead of its own, null for the first.
+
+    Neighbours are looked up in spans of keys; a span's first key gets the last value of the span before, from a table of a row per span.
+    """
+    span = F.floor(F.col(key) / SPAN)
+    spans = lasts.groupBy(span.alias("span")).agg(F.max(F.struct(key, value))[value].alias("carried"))
+    carried = spans.select("span", F.lag("carried").over(Window.orderBy("span")).alias("carried"))
+    within = Window.partitionBy("span").orderBy(key)
+    told = lasts.withColumn("span", span).withColumn("n", F.row_number().over(within)).withColumn("before", F.lag(value).over(within))
+    return told.join(carried, "span").select(key, F.when(F.col("n") == 1, F.col("carried")).otherwise(F.col("before")).alias(value))
+
+
 def with_previous(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the value of the row before by position, over chunk borders too.
 
     Rows are sorted within their chunk; a chunk's first row gets the last value of the nearest chunk
-    before, from a table of one row per chunk. So no task sorts the whole column.
+    before, which is passed on in spans of chunks. So no task sorts the whole column, or a row of every chunk.
     """
     w = in_chunks()
     lasts = df.groupBy("chunk_id").agg(F.max(F.struct("row_id", column))[column].alias("_last"))
-    before = lasts.select("chunk_id", F.lag("_last").over(Window.orderBy("chunk_id")).alias("_last"))
+    before = _previous(lasts, "chunk_id", "_last")
     return df.join(before, "chunk_id").withColumn(name, F.when(F.row_number().over(w) == 1, F.col("_last")).otherwise(F.lag(column).over(w))).drop("_last")
 
 
@@ -62,6 +79,14 @@ def detect_precision(df: DataFrame, text: str, least_share: float = 0.01, exact:
     return reach.where(fits).agg(F.coalesce(F.max("digits"), F.lit(0)).alias("digits"))
 
 
+def digits_percentile(df: DataFrame, share: float = 0.9, places: int = 15) -> DataFrame:
+    """The percentile (interpolated) of the digits that values need when written with ``places`` places."""
+    written = F.rtrim(F.format_string(f"%.{places}f", F.col("value")), F.lit("0"))
+    digits = F.length(F.split_part(written, F.lit("."), F.lit(2)))
+    # Values need few different numbers of digits, so the counts are small.
+    return df.where(F.col("value").isNotNull()).select(digits.alias("d")).groupBy("d").count().agg(F.percentile("d", F.lit(share), F.col("count")).alias("digits"))
+
+
 def percentile(df: DataFrame, percents: list[int]) -> DataFrame:
     """The value at index n * p div 100 of the sorted values, for each p: (p, value).
 

@@ -223,6 +223,9 @@ add("dataset_stats", lambda s, d: rnd(stats.describe(events(s, d).df)), f"SELECT
 add("non_unique_ratio", lambda s, d: rnd(stats.describe(events(s, d).df).select("non_unique_ratio"), 6), f"SELECT round((count(*) - count(DISTINCT value)) / count(*), 6) AS non_unique_ratio FROM {EV}")
 add("xor_zero_stats", lambda s, d: rnd(stats.xor_zeros(events(s, d).df)))
 add("exponent_stats", lambda s, d: rnd(stats.exponents(events(s, d).df)), f"SELECT min(e) AS min, max(e) AS max, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS std FROM (SELECT floor(log2(value))::BIGINT AS e FROM {EV})")
+powers = lambda s, d: events(s, d).df.withColumn("value", F.pow(F.lit(2.0), F.pmod(F.col("row_id") * F.col("row_id"), F.lit(11)).cast("double")))
+add("xor_zero_stats_of_powers", lambda s, d: rnd(stats.xor_zeros(powers(s, d)), 6), f"WITH e AS (SELECT row_id, 1023 + row_id * row_id % 11 AS e FROM {EV}), x AS (SELECT xor(e, lag(e) OVER (ORDER BY row_id)) AS x FROM e), y AS (SELECT x FROM x WHERE x IS NOT NULL) SELECT round(avg(CASE WHEN x = 0 THEN 64 ELSE 11 - floor(log2(x)) END), 6) AS leading, round(avg(CASE WHEN x = 0 THEN 64 ELSE 52 + log2(x & -x) END), 6) AS trailing FROM y")
+add("embedding_precision", lambda s, d: stats.digits_percentile(vectors.flatten(table(s, d, "embeddings"))), "SELECT quantile_cont(length(split_part(rtrim(printf('%.15f', v), '0'), '.', 2)), 0.9) AS digits FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)")
 add("exponent_counts", lambda s, d: events(s, d).df.select(fp.exponent(fp.bits(F.col("value"))).alias("exponent")).groupBy("exponent").count(), f"SELECT CASE WHEN value = 0 THEN -1023 ELSE floor(log2(abs(value)))::BIGINT END AS exponent, count(*) AS count FROM {EV} GROUP BY 1")
 DIGITS = "CASE WHEN s LIKE '%.%' THEN length(s) - strpos(s, '.') ELSE 0 END"
 CENTS = "(SELECT regexp_replace(regexp_replace(printf('%d.%02d', round(value * 100)::BIGINT // 100, round(value * 100)::BIGINT % 100), '0+$', ''), '[.]$', '.0') AS s FROM events)"
@@ -246,6 +249,8 @@ add("buff_encode", lambda s, d: stats.byte_sliced(customers(s, d), 2).select("ro
 add("buff_decode", lambda s, d: stats.byte_sliced_decode(stats.byte_sliced(customers(s, d), 2), 2), f"{FIXED} SELECT row_id, chunk_id, (base + delta) / 256.0::DOUBLE AS value FROM e")
 add("buff_size", lambda s, d: stats.byte_sliced_size(stats.byte_sliced(customers(s, d), 2)), f"{FIXED} SELECT chunk_id, (20 + ceil({SUBTRACT} * count(*) / 8))::BIGINT AS bytes FROM e GROUP BY 1")
 add("buff_precision_1", lambda s, d: stats.byte_sliced_decode(stats.byte_sliced(customers(s, d), 2), 2, 1).agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("value")), 0).alias("largest")))
+KEPT = "(CASE WHEN width >= 8 AND (width - 8) % 8 <= 3 THEN (width - 8) % 8 ELSE 0 END)"
+add("buff_precision_rows", lambda s, d: stats.byte_sliced_decode(stats.byte_sliced(customers(s, d), 2), 2, 1), f"{FIXED}, w AS (SELECT *, (CASE WHEN max(delta) OVER (PARTITION BY chunk_id) = 0 THEN 0 ELSE floor(log2(max(delta) OVER (PARTITION BY chunk_id))) + 1 END)::BIGINT AS width FROM e) SELECT row_id, chunk_id, (base + delta // (1 << {KEPT}) * (1 << {KEPT})) / 256.0::DOUBLE AS value FROM w")
 DELTA = f"WITH q AS (SELECT row_id, chunk_id, round(value * 100)::BIGINT AS q FROM {EV}), d AS (SELECT *, coalesce(q - lag(q) OVER (PARTITION BY chunk_id ORDER BY row_id), 0) AS dl FROM q), z AS (SELECT *, CASE WHEN dl >= 0 THEN 2 * dl ELSE -2 * dl - 1 END AS z FROM d)"
 add("sprintz_encode", lambda s, d: stats.delta_coded(events(s, d).df, 100).select("row_id", "chunk_id", "q", "z"), f"{DELTA} SELECT row_id, chunk_id, q, z FROM z")
 add("sprintz_roundtrip", lambda s, d: stats.delta_decode(stats.delta_coded(events(s, d).df, 100), 100), f"{DELTA} SELECT row_id, chunk_id, q / 100.0::DOUBLE AS value FROM z")
@@ -309,6 +314,32 @@ def friedman(spark: SparkSession, d: str) -> DataFrame:
 add("friedman_test", friedman)
 
 
+add("friedman_statistic", lambda s, d: friedman(s, d).select("statistic"), f"SELECT round(12.0 * n / (k * (k + 1)) * (s - k * (k + 1) * (k + 1) / 4.0), 6) AS statistic FROM (SELECT count(*) AS k, max(n) AS n, sum(m * m) AS s FROM (SELECT method, avg(r) AS m, count(*) AS n FROM {RANKED} GROUP BY 1))")
+
+# Runs: a line is a run of a method (its line number) on a dataset (its return flag); quantity and tax are segments of its time.
+runs_of = lambda s, d: table(s, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.concat(F.lit("m"), "l_linenumber").alias("method"), F.col("l_extendedprice").alias("total"), F.col("l_quantity").alias("seek"), F.col("l_tax").alias("read"), F.lit(4096.0).alias("size"))
+mean_runs = lambda s, d: report.run_means(runs_of(s, d), ["dataset", "method"], "total", ["seek", "read"], "size")
+RUNS_OF = "(SELECT l_returnflag AS dataset, 'm' || l_linenumber AS method, avg(l_extendedprice) AS total, avg(l_quantity) AS seek, avg(l_tax) AS read, 4096.0::DOUBLE AS size FROM lineitem GROUP BY 1, 2)"
+add("report_run_means", lambda s, d: rnd(mean_runs(s, d), 6), f"SELECT dataset, method, round(total, 6) AS total, round(seek, 6) AS seek, round(read, 6) AS read, size, round(total - seek - read, 6) AS others, round(size / total, 6) AS throughput, round(seek / total, 6) AS seek_share, round(read / total, 6) AS read_share, round((total - seek - read) / total, 6) AS others_share FROM {RUNS_OF}")
+add("report_per_size", lambda s, d: rnd(report.per_size(mean_runs(s, d), ["total", "seek"], "size").select("dataset", "method", "total", "seek"), 6), f"SELECT dataset, method, round(total / size, 6) AS total, round(seek / size, 6) AS seek FROM {RUNS_OF}")
+nested = lambda s, d: mean_runs(s, d).select("dataset", "method", F.create_map(F.lit("compress"), F.struct(F.col("seek").alias("time"), F.col("seek_share").alias("share")), F.lit("sum"), F.struct(F.col("read").alias("time"), F.col("read_share").alias("share"))).alias("of"))
+flat = lambda s, d: report.flattened(nested(s, d), ["dataset", "method"], "of")
+add("report_flatten", lambda s, d: rnd(flat(s, d), 6), f"SELECT dataset, method, unnest(['compress', 'sum']) AS operation, round(unnest([seek, read]), 6) AS time, round(unnest([seek / total, read / total]), 6) AS share FROM {RUNS_OF}")
+add("report_fact_table", lambda s, d: rnd(report.fact_table(flat(s, d), ["dataset", "method"], ["compress", "sum", "max"], "time"), 6), f"SELECT dataset, method, round(seek, 6) AS compress, round(read, 6) AS sum, NULL::DOUBLE AS max FROM {RUNS_OF}")
+FLAGS = {"A": "series", "N": "table", "R": "series"}
+statistics = lambda s, d: report.unpivot(table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("dataset")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("l_quantity").alias("mean")), "dataset", ["n", "mean"], "statistic", "value")
+add("report_dimension", lambda s, d: report.dimension(statistics(s, d), "dataset", {"n": "num_values", "mean": "average"}, ["num_values"], {"kind": FLAGS}), "SELECT l_returnflag AS dataset, count(*) AS num_values, round(avg(l_quantity), 2) AS average, CASE l_returnflag WHEN 'N' THEN 'table' ELSE 'series' END AS kind FROM lineitem GROUP BY 1")
+SERIES = "dataset <> 'N'"
+classes = lambda **names: {name: F.expr(of) for name, of in names.items()}
+add("report_class_means", lambda s, d: rnd(report.class_means(results(s, d), "method", "ratio", classes(series=SERIES, tables="dataset = 'N'", all="true")), 4), f"SELECT method, round(avg(ratio) FILTER (dataset <> 'N'), 4) AS series, round(avg(ratio) FILTER (dataset = 'N'), 4) AS tables, round(avg(ratio), 4) AS all FROM {RES} GROUP BY 1")
+add("report_average_rows", lambda s, d: named(report.with_averages(results(s, d), "dataset", "method", METHODS, "ratio", {"Series AVG": F.expr(SERIES), "Overall AVG": F.lit(True)})), f"WITH e AS (SELECT dataset, method, ratio FROM {RES}), u AS (FROM e UNION ALL SELECT 'Series AVG', method, avg(ratio) FROM e WHERE dataset <> 'N' GROUP BY method UNION ALL SELECT 'Overall AVG', method, avg(ratio) FROM e GROUP BY method) SELECT dataset, " + ", ".join(f"round(max(ratio) FILTER (method = {m}), 4) AS m{m}" for m in METHODS) + " FROM u GROUP BY 1")
+sized = lambda s, d: report.from_name(table(s, d, "part").select("p_partkey", F.concat(F.lit("matrix_"), F.col("p_partkey") % 4 * 128, F.lit("_p"), F.col("p_size") % 3, F.lit(".json")).alias("file"), F.col("p_retailprice").alias("time")), "file", r"matrix_(\d+)_p(\d+)\.json$", ["side", "digits"])
+add("report_by_file_name", lambda s, d: rnd(report.means(sized(s, d), ["side", "digits"], ["time"])), "SELECT p_partkey % 4 * 128 AS side, (p_size % 3)::BIGINT AS digits, round(avg(p_retailprice), 4) AS time FROM part GROUP BY 1, 2")
+RANKS2 = f"(SELECT dataset, method, (rank() OVER (PARTITION BY dataset ORDER BY ratio) + (count(*) OVER (PARTITION BY dataset, ratio) - 1) / 2 + rank() OVER (PARTITION BY dataset ORDER BY runs DESC) + (count(*) OVER (PARTITION BY dataset, runs) - 1) / 2) / 2 AS rank FROM {RES})"
+add("report_rank_matrix", lambda s, d: rnd(report.rank_matrix(results(s, d), "dataset", "method", {"ratio": False, "runs": True}), 6), f"SELECT dataset, method, round(rank, 6) AS rank FROM {RANKS2}")
+add("report_rank_of_ranks", lambda s, d: rnd(report.means(report.rank_matrix(results(s, d), "dataset", "method", {"ratio": False, "runs": True}), ["method"], ["rank"]), 6), f"SELECT method, round(avg(rank), 6) AS rank FROM {RANKS2} GROUP BY 1")
+add("report_in_order", lambda s, d: rnd(report.in_order(report.means(results(s, d), ["dataset"], ["ratio"]), "dataset", ["R", "A"])), f"SELECT dataset, round(avg(ratio), 4) AS ratio FROM {RES} GROUP BY 1")
+
 # Codecs by chunk ---------------------------------------------------------------------------------
 
 for codec, options in (("uncompressed", {}), ("rle", {}), ("gorilla", {}), ("chimp", {}), ("chimp128", {}), ("elf", {}), ("elf_on_chimp", {}), ("zstd", {}), ("gzip", {}), ("snappy", {}), ("alp", {})):
@@ -328,6 +359,7 @@ def ratios(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("compression_ratio_by_codec", ratios)
+add("size_uncompressed", lambda s, d: container.encoded_sizes(events(s, d).df, "uncompressed"), f"SELECT chunk_id, count(*) AS rows, 8 * count(*) AS bytes FROM {EV} GROUP BY 1")
 
 # Chunk store -------------------------------------------------------------------------------------
 

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, NumericType, StringType
 
@@ -29,6 +29,37 @@ def binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, row_id long, value double")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): lines of text files (a file, folder or glob), numbered from 0 in each file.
+
+    A line's number is its place in its split and the lines of the splits before, of which there is a row each; no line is shuffled.
+    """
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(F.broadcast(splits), ["path", "start"]).select("path", (F.col("id") + F.col("shift")).alias("line"), "value")
+
+
+def csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row_id, value): the numbers of comma-separated files without a header, in the order of lines and fields.
+
+    Blank fields are skipped; a field that is no number fails the query, and with it what it writes.
+    """
+    lines = numbered_lines(spark, path)
+    counted = lines.select("path", "line", F.size(F.filter(F.split("value", ","), lambda x: F.trim(x) != "")).cast("long").alias("n"))
+    # A line's first position: fields of the lines before in its block of lines, and of the blocks before.
+    block = F.floor(F.col("line") / 65_536)
+    blocks = counted.groupBy("path", block.alias("block")).agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("path", "block", F.coalesce(upto, F.lit(0)).alias("skipped"))
+    within = F.sum("n").over(Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    split = lines.withColumn("fields", F.filter(F.split("value", ","), lambda x: F.trim(x) != "")).withColumns({"n": F.size("fields").cast("long"), "block": block})
+    placed = split.join(F.broadcast(blocks), ["path", "block"]).withColumn("at", F.col("skipped") + F.coalesce(within, F.lit(0)))
+    return placed.select("path", "at", F.posexplode("fields").alias("k", "field")).select("path", (F.col("at") + F.col("k")).alias("row_id"), F.trim("field").cast("double").alias("value"))
+
+
 def csv_values(lines: DataFrame, text: str = "value", order: str = "line") -> DataFrame:
     """(line, pos, value): fields of comma-separated lines without a header; blanks are skipped, a field that is no number fails."""
     fields = lines.select(F.col(order).alias("line"), F.posexplode(F.split(text, ",")).alias("pos", "field")).withColumn("field", F.trim("field"))

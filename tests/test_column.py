@@ -238,3 +238,27 @@ def test_reports(spark):
     assert abs(report.chi_square_tail(3.841459, 1) - 0.05) < 1e-6 and abs(report.chi_square_tail(18.307, 10) - 0.05) < 1e-5 and report.chi_square_tail(0, 3) == 1
     assert report.cliques({"a": 1.0, "b": 1.5, "c": 2.2, "d": 4.0}, 1.0) == [["a", "b"], ["b", "c"]]
     assert 0 < report.friedman(report.mean_ranks(df, "dataset", "method", "metric"))["p_value"] <= 1
+
+
+def test_reports_of_several_metrics(spark):
+    rng = random.Random(10)
+    rows = [(d, m, float(rng.randrange(5)), float(rng.randrange(5))) for d in "pqr" for m in "wxyz"]
+    df = spark.createDataFrame(rows, "dataset string, method string, small double, large double")
+
+    def place(values, v, descending):
+        better = sum(o > v if descending else o < v for o in values)
+        return better + (sum(o == v for o in values) + 1) / 2
+
+    want = {(d, m): (place([r[2] for r in rows if r[0] == d], a, False) + place([r[3] for r in rows if r[0] == d], b, True)) / 2 for d, m, a, b in rows}
+    assert {(r.dataset, r.method): r["rank"] for r in report.rank_matrix(df, "dataset", "method", {"small": False, "large": True}).collect()} == want
+    assert [r.method for r in report.in_order(df.select("method").distinct(), "method", ["y", "w"]).collect()] == ["y", "w", "x", "z"]
+    names = spark.createDataFrame([("a/matrix_128_p3.json",), ("notes.txt",)], "file string")
+    assert [tuple(r)[1:] for r in report.from_name(names, "file", r"matrix_(\d+)_p(\d+)", ["side", "digits"]).orderBy("file").collect()] == [(128, 3), (None, None)]
+
+
+def test_previous_values_over_spans_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SPAN", 3)
+    rows = [(i, i // 4, float(i * i % 17)) for i in range(100) if i // 4 not in (2, 3, 4, 5, 6, 11)]
+    df = spark.createDataFrame(rows, "row_id long, chunk_id long, value double").repartition(5)
+    got = {r.row_id: r.before for r in stats.with_previous(df, "value", "before").collect()}
+    assert got == {r[0]: p for r, p in zip(rows, [None, *(v for *_, v in rows)], strict=False)}

@@ -194,3 +194,28 @@ def test_a_codec_can_be_added():
             assert make("halves").decode(make("halves").encode(values), len(values)).tolist() == values.tolist()
     finally:
         CODECS.pop("halves")
+
+
+def test_files_of_text_in_order(spark, tmp_path):
+    """Lines and fields keep their order over splits and files."""
+    rng = np.random.default_rng(5)
+    want = {}
+    for name in ("b", "a"):
+        rows = [[round(float(x), 3) for x in rng.normal(0, 9, rng.integers(0, 7))] for _ in range(700)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(", ".join(map(str, r)) if k % 5 else ",".join(f" {x} ," for x in r) for k, r in enumerate(rows)) + "\n")
+        want[name] = [x for r in rows for x in r]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        lines = text.numbered_lines(spark, str(tmp_path)).collect()
+        got = text.csv_files(spark, f"{tmp_path}/*.csv").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name in want:
+        mine = sorted((r.line, r.value) for r in lines if r.path.endswith(f"{name}.csv"))
+        assert [v for _, v in mine] == (tmp_path / f"{name}.csv").read_text().splitlines() and [k for k, _ in mine] == list(range(len(mine)))
+        values = sorted((r.row_id, r.value) for r in got if r.path.endswith(f"{name}.csv"))
+        assert [k for k, _ in values] == list(range(len(values))) and [v for _, v in values] == want[name]
+    (tmp_path / "bad.txt").write_text("1.5,x\n")
+    with pytest.raises(Exception, match="CAST"):
+        text.csv_files(spark, f"{tmp_path}/bad.txt").collect()
