@@ -4,11 +4,13 @@ Texts are cut at white space, which no token of a word-end BPE crosses, and each
 counted once while it stays in a bounded memo. The pre-tokens of unknown pieces lie one after
 another in one array of symbol ids. A round looks up the rank of every adjacent pair, takes the
 lowest rank of each sequence and merges all its occurrences, in all sequences at once; sequences
-without a mergeable pair leave the array, and their surviving symbols are their count.
+without a mergeable pair leave the array, and their surviving symbols are their count. A pre-token of thousands of bytes
+without a break would take a round for each pair; such ones get the same symbols from a heap.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 
 #: Texts are handled in slices of about this many characters; memos are emptied beyond this many pieces.
 SLICE_CHARS, MEMO = 2_000_000, 400_000
+#: Bytes of a pre-token from which it is merged by a heap.
+LONG_BYTES = 4096
 # The Unicode White_Space characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Characters at which str.split() parts text though they are not White_Space.
@@ -110,7 +114,8 @@ class WordBpe:
         self.last = np.array([vocab[c + end] for c in symbols], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right, both = (np.array(x, np.int64) for x in zip(*((vocab[a], vocab[b], vocab[a + b]) for a, b in pairs), strict=True))
-        self.pairs = PairTable(left << 17 | right, np.arange(len(left)), both)
+        self.merges = left << 17 | right, np.arange(len(left)), both
+        self.pairs, self.ranked = PairTable(*self.merges), None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -122,7 +127,48 @@ class WordBpe:
         self.piece_ids, self.word_ids = Ragged(), Ragged()
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Surviving symbols of non-empty pre-tokens, one pre-token after another, and their numbers."""
+        """Surviving symbols of non-empty pre-tokens, one pre-token after another, and their numbers.
+
+        A round merges one pair of each pre-token, so very long ones, which would take very many rounds, are merged one by one.
+        """
+        alone = {i: self.merge_long(w) for i, w in enumerate(words) if len(w) > LONG_BYTES}
+        if not alone:
+            return self.merge_rounds(words)
+        ids, size = self.merge_rounds([w for i, w in enumerate(words) if i not in alone])
+        rest = iter(np.split(ids, np.cumsum(size)[:-1]) if len(size) else [])
+        rows = [alone[i] if i in alone else next(rest) for i in range(len(words))]
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Surviving symbols of one pre-token, by a heap of its pairs: of the lowest rank the leftmost first."""
+        if self.ranked is None:
+            self.ranked = {int(k): (int(r), int(i)) for k, r, i in zip(*self.merges, strict=True)}
+        ranked = self.ranked
+        raw = np.frombuffer(word, np.uint8)
+        ids = self.inner[raw].tolist()
+        ids[-1] = int(self.last[raw[-1]])
+        n = len(ids)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(ranked[k][0], i, k) for i in range(n - 1) if (k := ids[i] << 17 | ids[i + 1]) in ranked]
+        heapq.heapify(heap)
+        while heap:
+            _, i, k = heapq.heappop(heap)
+            j = right[i]
+            if ids[i] < 0 or j >= n or ids[i] << 17 | ids[j] != k:  # one of the two has been merged since
+                continue
+            ids[i], ids[j] = ranked[k][1], -1
+            right[i] = after = right[j]
+            if after < n:
+                left[after] = i
+            for a, b in ((left[i], i), (i, after)):
+                if a >= 0 and b < n and (k := ids[a] << 17 | ids[b]) in ranked:
+                    heapq.heappush(heap, (ranked[k][0], a, k))
+        return np.array([x for x in ids if x >= 0], np.uint32)
+
+    def merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by rounds, in which each sequence's pairs of lowest rank are merged at once."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         ids, seq = self.inner[raw], np.repeat(np.arange(len(words)), size)

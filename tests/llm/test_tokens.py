@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 import zlib
 
 import numpy as np
@@ -150,3 +151,17 @@ def test_packing_of_odd_rows(spark):
     for p in places.values():
         p.sort()
         assert [o for o, _ in p] == [sum(n for _, n in p[:k]) for k in range(len(p))] and p[-1][0] + p[-1][1] <= 64
+
+
+def test_unbroken_pre_tokens_of_any_length():
+    """By rounds, by a heap, and by the library; very long ones in time."""
+    tokenizer, words, rng = Tokenizer.from_file(WORDS), WordBpe(WORDS), random.Random(7)
+    texts = ["".join(rng.choices(letters, k=n)) for n in (3, 200, 3000, 9000) for letters in ("a", "ab", "etaoin", "acgt", "äßé")]
+    for t, ids in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    for t in texts:
+        rounds, size = words.merge_rounds([t.encode()])
+        assert rounds.tolist() == words.merge_long(t.encode()).tolist() and size.tolist() == [len(rounds)]
+    began = time.perf_counter()
+    assert words.counts(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000)) + " b", None, "c"])[1:].tolist() == [0, 1]
+    assert time.perf_counter() - began < 20
