@@ -1,8 +1,8 @@
 """Distributed union-find: connected components by alternating large and small stars.
 
-Every round is two aggregations with map-side combining and two joins that adaptive execution can
-split, so a vertex with very many neighbours needs no single task. Rounds are written to the shared
-folder and the previous one is removed.
+Every round is two aggregations with map-side combining, and two joins with their results. A vertex's edges meet its result
+map-side where it has very many (or all of them, where there are few vertices), so no vertex brings its edges to one
+task. Rounds are written to the shared folder and the previous one is removed.
 """
 
 from __future__ import annotations
@@ -10,22 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, pick_hot
 
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Link every larger neighbour of a vertex to the least of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    return pick_hot(both, least, "a", scratch).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Link a vertex and its smaller neighbours to the least of these. Edges run from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = scratch.save(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    moved = pick_hot(edges, least, "a", scratch).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -38,7 +38,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.save(edges, "edges")
     for _ in range(MAX_ROUNDS):
-        after = scratch.save(_small_star(_large_star(now)), "stars")
+        large = scratch.save(_large_star(now, scratch), "large")
+        after = scratch.save(_small_star(large, scratch), "stars")
+        scratch.drop(large)
         scratch.drop(now)
         now = after
         # Settled: every vertex points to one other, which points nowhere.

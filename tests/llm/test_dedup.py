@@ -8,6 +8,7 @@ import numpy as np
 
 from floatq.llm import line_dedup as L
 from floatq.llm import near_dedup as N
+from floatq.llm import shared
 from floatq.llm.components import connected_components
 from floatq.llm.exact_dedup import exact_dedup
 from floatq.llm.shared import Scratch
@@ -51,6 +52,53 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).collect() == []
 
 
+def test_components_of_hubs_with_few_broadcasts(spark, monkeypatch):
+    """Vertices with many edges, where only those may be broadcast, and where not even these may."""
+    rng = random.Random(4)
+    links = [(rng.choice([1, 900]), rng.randrange(1000)) for _ in range(700)] + [(2000 + rng.randrange(300), 2000 + rng.randrange(300)) for _ in range(200)]
+    want = {v: c for v, c in roots({v for e in links for v in e}, links).items() if v != c}
+    for most, hot in ((5, 50), (0, 1)):
+        monkeypatch.setattr(shared.pick_hot, "__defaults__", (most,))
+        monkeypatch.setattr(shared, "MIN_HOT", hot)
+        got = connected_components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test")).collect()
+        assert {r.id: r.component for r in got} == want
+
+
+def measured_recall(texts, per_text, rng):
+    """By similarity, the share of linked pairs that share a key and are let through by their sketches."""
+    odd = L.multipliers(L.BANDS * L.ROWS, L.SEED)
+    bound = N.sketch_bound(L.THRESHOLD / 100, L.BANDS * L.ROWS, L.SKETCH_BITS, L.DEVIATIONS)
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    pairs = []
+    for t in texts:
+        for _ in range(per_text):
+            w = t.split(" ")
+            for at in rng.sample(range(len(w)), max(1, len(w) * rng.randrange(1, 12) // 100)):
+                w[at] = rng.choice(vocabulary)
+            pairs.append((t, " ".join(w)))
+    pairs = [(a, b) for a, b in pairs if len(b) >= L.SHINGLE]
+    low = [L.line_minima([p[k] for p in pairs], odd) for k in (0, 1)]
+    keys, sketches = [L.band_keys(x, L.ROWS) for x in low], [N.odd_sketches(x, L.SKETCH_BITS).view(np.uint64) for x in low]
+    found = (keys[0] == keys[1]).any(1) & (np.bitwise_count(sketches[0] ^ sketches[1]).sum(1, dtype=np.int64) <= bound)
+    out = defaultdict(list)
+    for (a, b), hit in zip(pairs, found.tolist(), strict=True):
+        p, q = ({t[i : i + L.SHINGLE] for i in range(len(t) - L.SHINGLE + 1)} for t in (a, b))
+        similarity = len(p & q) / len(p | q)
+        if 0.8 <= similarity < 1:
+            out[min(int(similarity * 20) / 20, 0.95)].append(hit)
+    return {k: (sum(v) / len(v), len(v)) for k, v in sorted(out.items())}
+
+
+def test_recall_of_lines(spark):
+    """Lines of the documents against copies with changed words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    rng = random.Random(11)
+    lines = sorted({x for r in docs for x in (r.text or "").split("\n") if 100 <= len(x) <= 700})
+    got = measured_recall(rng.sample(lines, 600), 12, rng)
+    print(got)
+    assert all(n >= 100 for _, n in got.values()) and got[0.8][0] >= 0.995 and all(got[k][0] >= 0.999 for k in got if k > 0.8)
+
+
 def words(text, width):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
