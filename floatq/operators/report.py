@@ -161,9 +161,15 @@ def chi_square_tail(x: float, df: int) -> float:
     return front * h
 
 
+#: Most methods that a test compares; their ranks go to the driver.
+MAX_METHODS = 10_000
+
+
 def friedman(ranks: DataFrame, method: str = "method") -> dict:
     """Statistic and p-value of mean ranks of k methods over n datasets (columns ``mean_rank``, ``n``)."""
-    rows = ranks.select(method, "mean_rank", "n").limit(10_000).collect()
+    rows = ranks.select(method, "mean_rank", "n").limit(MAX_METHODS + 1).collect()
+    if len(rows) > MAX_METHODS:
+        raise ValueError(f"more than {MAX_METHODS} methods")
     k, n = len(rows), rows[0]["n"] if rows else 0
     if k < 2 or any(r["n"] != n for r in rows):
         raise ValueError("every method needs a rank on every dataset")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floatq.functions import fp
+from floatq.sources.folders import temporary
 
 
 def describe(df: DataFrame) -> DataFrame:
@@ -94,8 +95,11 @@ def percentile(df: DataFrame, percents: list[int]) -> DataFrame:
     NaN is not allowed.
     """
     checked = df.select(F.when(F.isnan("value"), F.raise_error(F.lit("percentiles of NaN"))).otherwise(F.col("value")).alias("value"))
-    # Equal values are counted first, which bounds what one value brings to a partition.
+    # Equal values are counted first, which bounds what one value brings to a partition. Written, so that all that follows sees the same partitions.
     counts = checked.groupBy("value").count().repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    path = temporary(df.sparkSession, "percentile")
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
     totals = counts.groupBy("part").agg(F.sum("count").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     upto = F.sum("count").over(Window.partitionBy("part").orderBy("value"))

@@ -262,3 +262,10 @@ def test_previous_values_over_spans_of_chunks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "row_id long, chunk_id long, value double").repartition(5)
     got = {r.row_id: r.before for r in stats.with_previous(df, "value", "before").collect()}
     assert got == {r[0]: p for r, p in zip(rows, [None, *(v for *_, v in rows)], strict=False)}
+
+
+def test_positions_in_several_files(spark, tmp_path):
+    spark.range(1000).selectExpr("id * 2.0 AS x").repartition(4).write.parquet(f"{tmp_path}/t")
+    rows = ColumnFrame.parquet(spark, f"{tmp_path}/t", "x", 100).df.orderBy("row_id").collect()
+    in_order = [x for f in sorted((tmp_path / "t").glob("*.parquet")) for x in spark.read.parquet(str(f)).toPandas().x.tolist()]
+    assert [r.row_id for r in rows] == list(range(1000)) and [r.value for r in rows] == in_order
