@@ -350,15 +350,12 @@ add("roundtrip_sprintz", lambda s, d: container.round_trip(events(s, d).df, "spr
 
 def ratios(spark: SparkSession, d: str) -> DataFrame:
     """Compressed over uncompressed size of each codec; lower is better."""
-    df = events(spark, d).df
-    sizes = [container.encoded_sizes(df, c).agg(F.lit(c).alias("codec"), F.round(F.sum("bytes") / (8 * F.sum("rows")), 6).alias("ratio")) for c in sorted(CODECS)]
-    out = sizes[0]
-    for x in sizes[1:]:
-        out = out.unionByName(x)
-    return out
+    sizes = container.sizes_by_codec(events(spark, d).df, {c: {} for c in sorted(CODECS)})
+    return sizes.groupBy("codec").agg(F.round(F.sum("bytes") / (8 * F.sum("rows")), 6).alias("ratio"))
 
 
 add("compression_ratio_by_codec", ratios)
+add("sizes_by_codec", lambda s, d: container.sizes_by_codec(steps_frame(s, d).df, {"uncompressed": {}, "rle": {}}), f"{RUNS}, b AS (SELECT chunk_id, (8 + 9 * sum(ceil(length / 255)))::BIGINT AS rle, sum(length)::BIGINT AS rows FROM g GROUP BY 1) SELECT chunk_id, 'rle' AS codec, rows, rle AS bytes FROM b UNION ALL SELECT chunk_id, 'uncompressed', rows, 8 * rows FROM b")
 add("size_uncompressed", lambda s, d: container.encoded_sizes(events(s, d).df, "uncompressed"), f"SELECT chunk_id, count(*) AS rows, 8 * count(*) AS bytes FROM {EV} GROUP BY 1")
 
 # Chunk store -------------------------------------------------------------------------------------

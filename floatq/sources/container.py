@@ -277,6 +277,18 @@ def encoded_sizes(df: DataFrame, codec: str, **options: int) -> DataFrame:
     return _coded(df, codec, options, "chunk_id long, rows long, bytes long", row)
 
 
+def sizes_by_codec(df: DataFrame, codecs: dict[str, dict]) -> DataFrame:
+    """(chunk_id, codec, rows, bytes) for several codecs, given with their options: each chunk is shuffled and held once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values = table.sort_by("row_id").column("value").to_numpy()
+        sizes = [len(make(c, **options).encode(values)) for c, options in codecs.items()]
+        n = len(codecs)
+        return pa.table({"chunk_id": pa.array([table.column("chunk_id")[0].as_py()] * n, pa.int64()), "codec": list(codecs), "rows": [len(values)] * n, "bytes": sizes})
+
+    return df.groupBy("chunk_id").applyInArrow(run, "chunk_id long, codec string, rows long, bytes long")
+
+
 def round_trip(df: DataFrame, codec: str, **options: int) -> DataFrame:
     """The rows after encoding and decoding each chunk."""
 
