@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +67,16 @@ def bits(v: Column) -> Column:
     return F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), v).cast("long")
 
 
+def from_bits(b: Column) -> Column:
+    """The double of 64 bits, viewed without a copy in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def view(x: pd.Series) -> pd.Series:
+        return pd.Series(x.to_numpy("int64").view("float64"))
+
+    return view(b)
+
+
 def exponent(b: Column) -> Column:
     """Unbiased IEEE exponent of the bits of a double."""
     return F.shiftright(b, 52).bitwiseAND(F.lit(2047)) - 1023

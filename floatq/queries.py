@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from floatq.functions import fp
 from floatq.operators import report, stats, vectors
-from floatq.operators.column import ColumnFrame, mask_and, mask_minus, mask_of, mask_or
+from floatq.operators.column import ColumnFrame, mask_and, mask_minus, mask_of, mask_or, mask_range
 from floatq.plans import predicate as P
 from floatq.plans.aggregation import Aggregation, compute
 from floatq.plans.expr import Col, Lit
@@ -17,6 +17,7 @@ from floatq.sources import container, text
 from floatq.sources.chunkstore import ChunkStore
 from floatq.sources.codecs import CODECS
 from floatq.sources.folders import temporary
+from floatq.streaming.ingest import ingest_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -157,6 +158,9 @@ add("mask_and", lambda s, d: mask_and(events(s, d).filter(below), events(s, d).f
 add("mask_or", lambda s, d: mask_or(events(s, d).filter(below), events(s, d).filter(above)), f"{A} UNION {B}")
 add("mask_minus", lambda s, d: mask_minus(events(s, d).filter(below), events(s, d).filter(above)), f"{A} EXCEPT {B}")
 add("mask_in_list", lambda s, d: events(s, d).materialize(mask_of(s, [0, 2, 3, 5, 77, 10**9])), f"SELECT row_id, value FROM {EV} WHERE row_id IN (0, 2, 3, 5, 77, 1000000000)")
+add("mask_range", lambda s, d: events(s, d).materialize(mask_range(s, 100, 777)), f"SELECT row_id, value FROM {EV} WHERE row_id >= 100 AND row_id < 777")
+add("filter_from_json", lambda s, d: events(s, d).filter(P.from_json(P.to_json(rng("e", "i")))), f"SELECT row_id FROM {EV} WHERE value > {LO} AND value <= {HI}")
+add("filter_mapped_swapped", lambda s, d: events(s, d).filter(rng("i", "e").map(lambda x: -x).swap().map(lambda x: -2 * x).swap()), f"SELECT row_id FROM {EV} WHERE value >= {2 * LO} AND value < {2 * HI}")
 add("mask_chained", lambda s, d: events(s, d).filter(below, P.above(100).to_column(F.col("value")) & mask()), f"SELECT row_id FROM {EV} WHERE value < 300 AND value > 100 AND {MASK}")
 
 # Aggregates --------------------------------------------------------------------------------------
@@ -302,6 +306,9 @@ add("report_rank_avg", lambda s, d: rnd(report.mean_ranks(results(s, d), "datase
 add("friedman_ranks", lambda s, d: rnd(results(s, d).withColumn("rank", report.average_rank(F.col("ratio"), ["dataset"])).select("dataset", "method", "rank")), f"SELECT dataset, method, round(r, 4) AS rank FROM {RANKED}")
 add("report_join_stats", lambda s, d: results(s, d).join(F.broadcast(results(s, d).groupBy("dataset").agg(F.sum("runs").alias("total"))), "dataset").select("dataset", "method", "runs", "total"), f"SELECT r.dataset, method, runs, total FROM {RES} r JOIN (SELECT dataset, sum(runs)::BIGINT AS total FROM {RES} GROUP BY 1) t USING (dataset)")
 add("report_best_per_row", lambda s, d: report.best_per_row(results(s, d), "dataset", "method", "ratio"), f"SELECT dataset, method, ratio FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ratio, method) AS k FROM {RES}) WHERE k = 1")
+add("report_best_per_row_desc", lambda s, d: report.best_per_row(results(s, d), "dataset", "method", "ratio", True), f"SELECT dataset, method, ratio FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY ratio DESC, method) AS k FROM {RES}) WHERE k = 1")
+add("report_rank_desc", lambda s, d: rnd(report.mean_ranks(results(s, d), "dataset", "method", "ratio", True)), f"SELECT method, round(avg(r), 4) AS mean_rank, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY ratio DESC) + (count(*) OVER (PARTITION BY dataset, ratio) - 1) / 2 AS r FROM {RES}) GROUP BY 1")
+add("report_without_gaps", lambda s, d: report.without_gaps(results(s, d).where("method < 7 OR dataset <> 'N'"), "dataset", "method").select("dataset", "method"), f"SELECT dataset, method FROM {RES} WHERE dataset <> 'N'")
 add("report_relative_to_base", lambda s, d: rnd(report.relative_to(results(s, d), "dataset", "method", 1, "ratio"), 6), f"SELECT r.dataset, r.method, round(r.ratio / b.ratio, 6) AS relative FROM {RES} r JOIN {RES} b ON r.dataset = b.dataset AND b.method = 1")
 add("report_normalise_max", lambda s, d: rnd(report.over_maximum(results(s, d), "ratio").select("dataset", "method", "ratio"), 6), f"SELECT dataset, method, round(ratio / max(ratio) OVER (), 6) AS ratio FROM {RES}")
 
@@ -393,6 +400,24 @@ add("container_append", store_append, f"SELECT row_id, chunk_id, value FROM {EV}
 add("container_rewind", store_rewind, f"SELECT row_id, chunk_id, value FROM {EV} WHERE row_id < {3 * CHUNK}")
 add("container_chunks", lambda s, d: stored(s, d).chunks().select("chunk_id", "logical_offset", "rows", "least", "most", "nan"), f"SELECT chunk_id, min(row_id) AS logical_offset, count(*) AS rows, min(value) AS least, max(value) AS most, false AS nan FROM {EV} GROUP BY 1")
 
+def streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of files, stored batch by batch."""
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{d}/events.parquet*")
+    path = temporary(spark, "stream")
+    ingest_store(stream.select(F.col("event_id").alias("row_id"), "value"), f"{path}/store", f"{path}/progress", "gorilla", CHUNK).awaitTermination()
+    return ChunkStore(spark, f"{path}/store").scan().select("row_id", "value")
+
+
+add("stream_ingest", streamed, f"SELECT row_id, value FROM {EV}")
+
+# Bits --------------------------------------------------------------------------------------------
+
+add("bits_round_trip", lambda s, d: events(s, d).df.select("row_id", fp.from_bits(fp.bits(F.col("value"))).alias("value")), f"SELECT row_id, value FROM {EV}")
+add("bit_zeros", lambda s, d: events(s, d).df.select("row_id", *[of(F.col("row_id")).cast("long").alias(n) for n, of in (("leading", fp.leading_zeros), ("trailing", fp.trailing_zeros), ("bits", fp.bit_length))]), f"SELECT row_id, CASE WHEN row_id = 0 THEN 64 ELSE 64 - length(bin(row_id)) END AS leading, CASE WHEN row_id = 0 THEN 64 ELSE length(bin(row_id)) - length(rtrim(bin(row_id), '0')) END AS trailing, CASE WHEN row_id = 0 THEN 0 ELSE length(bin(row_id)) END AS bits FROM {EV}")
+signed = lambda s, d: events(s, d).df.select("row_id", (F.col("row_id") - 5000).alias("x"))
+add("zigzag_round_trip", lambda s, d: signed(s, d).select("row_id", fp.zigzag(F.col("x")).alias("z"), fp.unzigzag(fp.zigzag(F.col("x"))).alias("x")), f"SELECT row_id, CASE WHEN row_id >= 5000 THEN 2 * (row_id - 5000) ELSE 9999 - 2 * row_id END AS z, row_id - 5000 AS x FROM {EV}")
+
 # Sources -----------------------------------------------------------------------------------------
 
 

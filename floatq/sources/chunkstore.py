@@ -63,8 +63,8 @@ class ChunkStore:
         done = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("generation=") and files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
         return max(done, default=-1) + 1
 
-    def _write(self, chunks: DataFrame, generation: int) -> None:
-        # What a failed job left under this name is replaced.
+    def put(self, chunks: DataFrame, generation: int) -> None:
+        """Write a generation; what is there under its number is replaced."""
         chunks.write.mode("overwrite").parquet(f"{self.path}/generation={generation}")
 
     def chunks(self) -> DataFrame:
@@ -87,19 +87,19 @@ class ChunkStore:
         """Make (row_id, value) the content; a store that is there is replaced by a cut at row 0 and a new generation."""
         if self._generations():
             self.rewind(0)
-        self._write(encoded(df, codec, rows, **options), self._generations())
+        self.put(encoded(df, codec, rows, **options), self._generations())
 
     def append(self, df: DataFrame, codec: str = "zstd", rows: int = CHUNK_ROWS, **options: int) -> None:
         """Add rows, whose ids go on from the last one; the codec may be another one."""
         last = self.chunks().agg(F.coalesce(F.max(F.col("logical_offset") + F.col("rows")), F.lit(0)), F.coalesce(F.max("chunk_id") + 1, F.lit(0))).first()
-        self._write(encoded(df, codec, rows, last[0], last[1], **options), self._generations())
+        self.put(encoded(df, codec, rows, last[0], last[1], **options), self._generations())
 
     def rewind(self, n: int) -> None:
         """Take back the rows from n on, a border of chunks."""
         if self.chunks().where((F.col("logical_offset") < n) & (F.col("logical_offset") + F.col("rows") > n)).limit(1).count():
             raise ValueError("rows are taken back by whole chunks")
         cut = self.spark.range(1).select(*[(F.lit(n) if c == "cut" else F.lit(None)).cast(t).alias(c) for c, t in (x.split(" ") for x in SCHEMA.split(", "))])
-        self._write(cut, self._generations())
+        self.put(cut, self._generations())
 
     def scan(self, predicate: Predicate | None = None, mask: Column | None = None, chunk_id: int | None = None, digits: int | None = None) -> DataFrame:
         """(row_id, chunk_id, value) of rows that satisfy predicate and mask; ``digits`` reads no more decimal digits of a byte-sliced chunk."""
