@@ -72,6 +72,12 @@ def precision_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(fp.decimal_digits(F.col(text)).alias("digits")).groupBy("digits").count()
 
 
+def precision_stats(df: DataFrame, text: str) -> DataFrame:
+    """min, max, mean and population deviation of the decimal digits; 0 of no values."""
+    d = F.col("digits")
+    return df.select(fp.decimal_digits(F.col(text)).alias("digits")).agg(*[F.coalesce(of(d), F.lit(0)).alias(name) for name, of in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))])
+
+
 def detect_precision(df: DataFrame, text: str, least_share: float = 0.01, exact: bool = False) -> DataFrame:
     """The largest number of digits that at least ``least_share`` of the values reach (exact: any value)."""
     counts = precision_counts(df, text)  # a few dozen rows at most

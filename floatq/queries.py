@@ -234,6 +234,7 @@ add("exponent_counts", lambda s, d: events(s, d).df.select(fp.exponent(fp.bits(F
 DIGITS = "CASE WHEN s LIKE '%.%' THEN length(s) - strpos(s, '.') ELSE 0 END"
 CENTS = "(SELECT regexp_replace(regexp_replace(printf('%d.%02d', round(value * 100)::BIGINT // 100, round(value * 100)::BIGINT % 100), '0+$', ''), '[.]$', '.0') AS s FROM events)"
 add("decimal_precision_strings", lambda s, d: stats.precision_counts(events(s, d).df.withColumn("s", F.col("value").cast("string")), "s").select(F.col("digits").cast("long").alias("digits"), "count"), f"SELECT ({DIGITS})::BIGINT AS digits, count(*) AS count FROM {CENTS} GROUP BY 1")
+add("precision_stats", lambda s, d: rnd(stats.precision_stats(events(s, d).df.withColumn("s", F.col("value").cast("string")), "s").withColumns({c: F.col(c).cast("long") for c in ("min", "max")})), f"SELECT min(g) AS min, max(g) AS max, round(avg(g), 4) AS mean, round(stddev_pop(g), 4) AS std FROM (SELECT {DIGITS} AS g FROM {CENTS})")
 for exact in (False, True):
     name = "detect_precision_exact" if exact else "detect_precision"
     least = "count(*) FILTER (g >= p) > 0" if exact else "count(*) FILTER (g >= p) >= 0.01 * count(*)"

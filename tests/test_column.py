@@ -269,3 +269,9 @@ def test_positions_in_several_files(spark, tmp_path):
     rows = ColumnFrame.parquet(spark, f"{tmp_path}/t", "x", 100).df.orderBy("row_id").collect()
     in_order = [x for f in sorted((tmp_path / "t").glob("*.parquet")) for x in spark.read.parquet(str(f)).toPandas().x.tolist()]
     assert [r.row_id for r in rows] == list(range(1000)) and [r.value for r in rows] == in_order
+
+
+def test_iterate_in_order(spark):
+    c = frame(spark, NORMAL, 7)
+    c.df = c.df.repartition(5)
+    assert list(c.iterate()) == list(enumerate(NORMAL)) and list(c.iterate(F.col("row_id") > 3, 1)) == list(enumerate(NORMAL))[7:14]

@@ -219,3 +219,35 @@ def test_files_of_text_in_order(spark, tmp_path):
     (tmp_path / "bad.txt").write_text("1.5,x\n")
     with pytest.raises(Exception, match="CAST"):
         text.csv_files(spark, f"{tmp_path}/bad.txt").collect()
+
+
+def test_all_commands(spark, tmp_path, capsys):
+    """Every command once, on small inputs."""
+    values = np.round(RNG.normal(20, 5, 300), 1)
+    (tmp_path / "x.bin").write_bytes(values.tobytes())
+    source, target = str(tmp_path / "x.bin"), str(tmp_path / "c")
+    (tmp_path / "f.json").write_text(json.dumps(cli.main(["create-filter-config", "-i", source])["ne_50"]))
+    made = cli.main(["create-default-compressor-config", "-i", source, "--chunk-rows", "64"])
+    assert made["buff"] == {"chunk_rows": 64, "codec": "buff", "options": {"digits": 1}} and set(made) == set(CODECS)
+    cli.main(["compress", "-i", source, "-t", target, "--codec", "gorilla", "--chunk-rows", "64"])
+    middle = sorted(values)[150]
+    assert cli.main(["filter-materialize", "-i", target, "-c", str(tmp_path / "f.json"), "-n", "1"])["rows"] == int((values != middle).sum())
+    assert cli.main(["materialize", "-i", target, "-n", "1"])["runs"] == 1
+    assert cli.main(["min", "-i", target, "-n", "1"])["result"] == values.min()
+    assert math.isclose(cli.main(["sum", "-i", target, "-n", "1"])["result"], values.sum())
+    assert cli.main(["embedding", "-i", source, "-n", "1", "--chunk-rows", "100"]).keys() == {c for c in CODECS if CODECS[c].exact}
+    for name, shift in (("train", 0.0), ("test", 0.1)):
+        (tmp_path / f"{name}.tsv").write_text("header\t0\n" + "\n".join(f"{k % 3}\t{k % 3 + shift}\t{k % 3 * 2}\tNaN" for k in range(12)))
+    assert cli.main(["ucr2018", "-i", f"{tmp_path}/train.tsv", "-t", f"{tmp_path}/test.tsv", "-n", "1"])["accuracy"] == 1.0
+    assert cli.main(["matrix", "--size", "4", "-n", "1"])["elapsed_time_nanos"] > 0
+    assert len(cli.main(["tpch", "-i", "/root/testdata/sf0.001", "-n", "1"])) == 3
+    spark.createDataFrame([(d, m, float((d + m) % 4)) for d in range(6) for m in range(3)], "dataset long, method long, metric double").write.parquet(f"{tmp_path}/ranks")
+    got = cli.main(["friedman", "-i", f"{tmp_path}/ranks"])
+    assert got["methods"] == 3 and got["datasets"] == 6 and 0 < got["p_value"] <= 1
+    out = str(tmp_path / "all.json")
+    every = cli.main(["all", "-i", source, "-t", str(tmp_path / "all"), "-n", "1", "-o", out])
+    assert set(every) == set(CODECS) and every["rle"]["compress"]["uncompressed_size"] == 2400
+    kept = dict(list(every.items())[2:])
+    (tmp_path / "some.json").write_text(json.dumps(kept))
+    again = cli.main(["all-patch", "-i", source, "-t", str(tmp_path / "all2"), "-n", "1", "-c", str(tmp_path / "some.json")])
+    assert set(again) == set(CODECS) and all(again[c] == kept[c] for c in kept)
