@@ -10,6 +10,8 @@ import gzip
 import math
 import struct
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,46 +142,77 @@ class DeltaPacked(Codec):
         return (first + np.cumsum(delta)) / scale
 
 
-class Gorilla(Codec):
-    """XOR with the value before: 0, or 10 and the bits of the last window, or 11, a window and its bits."""
+class XorCodec(Codec):
+    """The first value, then the XOR of each value with the one before. A coder is a subclass that says how XORs become bit fields and back."""
 
-    name = "gorilla"
+    @abstractmethod
+    def fields(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and widths (n x k, unsigned) of the bit fields of XORs, in order; a width of 0 is no field."""
+
+    @abstractmethod
+    def xors(self, r: Reader, n: int) -> Iterator[int]:
+        """The next n XORs."""
+
+    def encode_bits(self, b: np.ndarray) -> bytes:
+        if not len(b):
+            return b""
+        values, widths = self.fields(b[1:] ^ b[:-1])
+        return pack(np.append(b[:1], values.ravel().astype(np.uint64)), np.append(64, widths.ravel()))
+
+    def decode_bits(self, data: bytes, n: int) -> np.ndarray:
+        if not n:
+            return np.zeros(0, np.uint64)
+        r = Reader(data)
+        first = r.read(64)
+        return np.bitwise_xor.accumulate(np.fromiter(chain([first], self.xors(r, n - 1)), np.uint64, n))
 
     def encode(self, values: np.ndarray) -> bytes:
-        b = raw_bits(values)
-        out = Writer()
-        if len(b):
-            out.put(int(b[0]), 64)
-        x = b[1:] ^ b[:-1]
-        lead, trail = np.minimum(leading(x), 31), trailing(x)
-        window = None
-        for v, p, q in zip(x.tolist(), lead.tolist(), trail.tolist(), strict=True):
-            if not v:
-                out.put(0, 1)
-            elif window and p >= window[0] and q >= window[1]:
-                out.put(2, 2)
-                out.put(v >> window[1], 64 - window[0] - window[1])
-            else:
-                window = (p, q)
-                out.put(3, 2)
-                out.put(p, 5)
-                out.put(63 - p - q, 6)
-                out.put(v >> q, 64 - p - q)
-        return out.done()
+        return self.encode_bits(raw_bits(values))
 
     def decode(self, data: bytes, n: int) -> np.ndarray:
-        r = Reader(data)
-        out = [r.read(64)] if n else []
+        return self.decode_bits(data, n).view("<f8")
+
+
+def _fields(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.zeros((n, k), np.uint64), np.zeros((n, k), np.int64)
+
+
+class Gorilla(XorCodec):
+    """XOR with the value before: 0, or 10 and the bits of the last window, or 11, a window and its bits."""
+
+    name = "gorilla"
+
+    def fields(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lead, trail = np.minimum(leading(x), 31), trailing(x)
+        there = np.flatnonzero(x)
+        # Only the windows follow from one another; the fields are made at once.
+        p, q, opens = 65, 65, []
+        for i, (a, b) in enumerate(zip(lead[there].tolist(), trail[there].tolist(), strict=True)):
+            if a < p or b < q:
+                p, q = a, b
+                opens.append(i)
+        fresh = np.zeros(len(there), bool)
+        fresh[opens] = True
+        window = there[np.array(opens, np.int64)[np.cumsum(fresh) - 1]] if len(there) else there
+        p, q = lead[window], trail[window]
+        values, widths = _fields(len(x), 4)
+        widths[:, 0] = 1
+        values[there, 0], widths[there, 0] = 2 + fresh, 2
+        values[there, 1], widths[there, 1] = p, 5 * fresh
+        values[there, 2], widths[there, 2] = 63 - p - q, 6 * fresh
+        values[there, 3], widths[there, 3] = x[there] >> q.astype(np.uint64), 64 - p - q
+        return values, widths
+
+    def xors(self, r: Reader, n: int) -> Iterator[int]:
         p = q = 0
-        for _ in range(n - 1):
-            x = 0
+        for _ in range(n):
+            if not r.read(1):
+                yield 0
+                continue
             if r.read(1):
-                if r.read(1):
-                    p = r.read(5)
-                    q = 63 - p - r.read(6)
-                x = r.read(64 - p - q) << q
-            out.append(out[-1] ^ x)
-        return np.array(out, np.uint64).view("<f8")
+                p = r.read(5)
+                q = 63 - p - r.read(6)
+            yield r.read(64 - p - q) << q
 
 
 #: The leading-zero counts that three bits name.
@@ -187,66 +220,40 @@ LEAD_CLASSES = [0, 8, 12, 16, 18, 20, 22, 24]
 LEAD_CLASS_OF = [max(i for i, c in enumerate(LEAD_CLASSES) if c <= n) for n in range(65)]
 
 
-class Chimp(Codec):
+class Chimp(XorCodec):
     """XOR with the value before under four two-bit flags; more than 6 trailing zeros earn a centre field."""
 
     name = "chimp"
     threshold = 6
 
-    def body(self, out: Writer, x: np.ndarray) -> None:
-        stored = -1
-        lead, trail = leading(x), trailing(x)
-        for v, p, q in zip(x.tolist(), lead.tolist(), trail.tolist(), strict=True):
-            c = LEAD_CLASS_OF[p]
-            p = LEAD_CLASSES[c]
-            if not v:
-                out.put(0, 2)
-                stored = -1
-            elif q > self.threshold:
-                out.put(1, 2)
-                out.put(c, 3)
-                out.put(64 - p - q, 6)
-                out.put(v >> q, 64 - p - q)
-                stored = -1
-            elif p == stored:
-                out.put(2, 2)
-                out.put(v, 64 - p)
-            else:
-                out.put(3, 2)
-                out.put(c, 3)
-                out.put(v, 64 - p)
-                stored = p
-
-    def encode_bits(self, b: np.ndarray) -> bytes:
-        out = Writer()
-        if len(b):
-            out.put(int(b[0]), 64)
-        self.body(out, b[1:] ^ b[:-1])
-        return out.done()
-
-    def decode_bits(self, data: bytes, n: int) -> np.ndarray:
-        r = Reader(data)
-        out = [r.read(64)] if n else []
+    def fields(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        trail = trailing(x)
+        c = np.array(LEAD_CLASS_OF)[leading(x)]
+        p = np.array(LEAD_CLASSES)[c]
+        centre = (x != 0) & (trail > self.threshold)
+        whole = (x != 0) & ~centre
+        # The class stored last is that of the value before, if that was written whole too.
+        again = whole & np.append(False, whole[:-1] & (p[1:] == p[:-1])) if len(x) else whole
+        values, widths = _fields(len(x), 4)
+        values[:, 0], widths[:, 0] = np.where(centre, 1, np.where(again, 2, np.where(whole, 3, 0))), 2
+        values[:, 1], widths[:, 1] = c, 3 * (centre | (whole & ~again))
+        values[:, 2], widths[:, 2] = np.where(centre, 64 - p - trail, 0), 6 * centre
+        values[:, 3], widths[:, 3] = x >> np.where(centre, trail, 0).astype(np.uint64), np.where(centre, 64 - p - trail, np.where(whole, 64 - p, 0))
+        return values, widths
+
+    def xors(self, r: Reader, n: int) -> Iterator[int]:
         stored = 0
-        for _ in range(n - 1):
+        for _ in range(n):
             flag = r.read(2)
             if flag == 0:
-                x = 0
+                yield 0
             elif flag == 1:
                 p, size = LEAD_CLASSES[r.read(3)], r.read(6)
-                x = r.read(size) << 64 - p - size
+                yield r.read(size) << 64 - p - size
             else:
                 if flag == 3:
                     stored = LEAD_CLASSES[r.read(3)]
-                x = r.read(64 - stored)
-            out.append(out[-1] ^ x)
-        return np.array(out, np.uint64)
-
-    def encode(self, values: np.ndarray) -> bytes:
-        return self.encode_bits(raw_bits(values))
-
-    def decode(self, data: bytes, n: int) -> np.ndarray:
-        return self.decode_bits(data, n).view("<f8")
+                yield r.read(64 - stored)
 
 
 class Chimp128(Codec):

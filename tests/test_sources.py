@@ -14,7 +14,7 @@ from floatq.plans import predicate as P
 from floatq.sources import container, text
 from floatq.sources.bits import Reader, leading, pack, trailing, unpack
 from floatq.sources.chunkstore import ChunkStore, may_hold
-from floatq.sources.codecs import CODECS, ByteSliced, make, raw_bits, register
+from floatq.sources.codecs import CODECS, ByteSliced, XorCodec, make, raw_bits, register
 from floatq.streaming.ingest import ingest
 
 RNG = np.random.default_rng(3)
@@ -251,3 +251,26 @@ def test_all_commands(spark, tmp_path, capsys):
     (tmp_path / "some.json").write_text(json.dumps(kept))
     again = cli.main(["all-patch", "-i", source, "-t", str(tmp_path / "all2"), "-n", "1", "-c", str(tmp_path / "some.json")])
     assert set(again) == set(CODECS) and all(again[c] == kept[c] for c in kept)
+
+
+def test_a_xor_coder_can_be_added():
+    class Bytes(XorCodec):
+        """Four bits for the number of low bytes, then these."""
+
+        name = "xor_bytes"
+
+        def fields(self, x):
+            size = (71 - leading(x)) // 8
+            return np.stack([size.astype(np.uint64), x], axis=1), np.stack([np.full(len(x), 4), 8 * size], axis=1)
+
+        def xors(self, r, n):
+            for _ in range(n):
+                yield r.read(8 * r.read(4))
+
+    register(Bytes)
+    try:
+        for values in COLUMNS.values():
+            coded = make("xor_bytes").encode(values)
+            assert (raw_bits(make("xor_bytes").decode(coded, len(values))) == raw_bits(values)).all()
+    finally:
+        CODECS.pop("xor_bytes")
