@@ -30,6 +30,8 @@ from .token_counts import WordBpe, slices
 ROUNDS, BATCH, EPSILON, GAP = 400, 256, 0.5, 0.01
 #: Share of its scarcest length's pieces that a configuration covers at a time, and a little more price for long pieces, as these are the hard ones.
 STEP, LONGER = 0.1, 0.02
+#: Rounds after which the gap is looked at.
+LOOK = 20
 #: Least fill of a rounded configuration whose pieces have run out, in shares of its whole fill, and shares of the fractional solution
 #: that are rounded in turn: the rest of the pieces, which best fit places, is larger for each.
 LEAST_FILL, SHARES = 0.999, (1.0, 0.9, 0.8, 0.7)
@@ -76,12 +78,29 @@ class Covering(NamedTuple):
     bound: float
 
 
+def pruned(amounts: dict[tuple[tuple[int, int], ...], float], need: np.ndarray) -> dict[tuple[tuple[int, int], ...], float]:
+    """Amounts without what covers lengths more often than needed, least filled configurations first."""
+    slack = -need.astype(float)
+    for key, amount in amounts.items():
+        for length, times in key:
+            slack[length] += amount * times
+    out = {}
+    for key in sorted(amounts, key=lambda key: sum(length * times for length, times in key)):
+        spare = min(amounts[key], max(0.0, min(slack[length] / times for length, times in key)))
+        for length, times in key:
+            slack[length] -= spare * times
+        if amounts[key] > spare:
+            out[key] = amounts[key] - spare
+    return out
+
+
 def cover(hist: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> Covering:
     """Fractional covering of all pieces by multiplicative weights.
 
     Weights fall exponentially with the share of a length that is covered. A round prices lengths by size and weight, solves
     the knapsack once, and takes for each of the least covered lengths the best configuration with it, unless it uses a
-    length that this round has covered enough already. In the end all amounts are scaled so that every length is covered.
+    length that this round has covered enough already. All amounts are scaled so that every length is covered, and pruned;
+    the rounds end when their sum is within ``gap`` of the bound.
     """
     need = hist.astype(float)
     have = np.flatnonzero(hist)
@@ -89,8 +108,9 @@ def cover(hist: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GA
         return Covering({}, 0.0, 0.0)
     done = np.zeros(capacity + 1)
     amounts: dict[tuple, float] = {}
-    total, bound = 0.0, float(need @ np.arange(capacity + 1)) / capacity
-    for _ in range(rounds):
+    bound = float(need @ np.arange(capacity + 1)) / capacity
+    found: dict[tuple, float] = {}
+    for k in range(1, rounds + 1):
         price = np.zeros(capacity + 1)
         price[have] = have * (1 + LONGER * have / capacity) * np.exp(-EPSILON * (done[have] - done[have].min()))
         best, took = knapsack(price, capacity)
@@ -106,20 +126,17 @@ def cover(hist: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GA
             step = STEP * float((need[at] / times).min())
             key = tuple(sorted(chosen.items(), reverse=True))
             amounts[key] = amounts.get(key, 0.0) + step
-            total += step
             done[at] += step * times / need[at]
         least = float(done[have].min())
-        if least > 0 and total / least <= (1 + gap) * bound:
-            break
-    least = float(done[have].min())
-    if least == 0:  # more lengths than the rounds reach: each of the rest alone, as often as it fits
-        for length in have[done[have] == 0].tolist():
-            per = capacity // length
-            amounts[((length, per),)] = need[length] / per
-            total += need[length] / per
-            done[length] = 1.0
-        least = min(1.0, float(done[have].min()))
-    return Covering({k: v / least for k, v in amounts.items()}, total / least, bound)
+        if least > 0 and (k % LOOK == 0 or k == rounds):
+            found = pruned({key: v / least for key, v in amounts.items()}, need)
+            if sum(found.values()) <= (1 + gap) * bound:
+                break
+    if not found:  # more lengths than the rounds reach: these alone, as often as they fit
+        missed = {((length, capacity // length),): need[length] / (capacity // length) for length in have[done[have] == 0].tolist()}
+        least = min(1.0, float(done[done > 0].min()))
+        found = pruned({key: v / least for key, v in amounts.items()} | missed, need)
+    return Covering(found, sum(found.values()), bound)
 
 
 def rounded(amounts: dict[tuple[tuple[int, int], ...], float], hist: np.ndarray, share: float = 1.0) -> Configurations:
