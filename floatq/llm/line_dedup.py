@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .near_dedup import odd_sketches, shared, sketch_bound
-from .shared import Scratch, pick, quoted, row_key, unused
+from .shared import Scratch, gathered, pick, quoted, row_key, unused
 from .similar import GROUP, NAME, BlockTest, band_keys, group_columns, link_components, lists, permutations
 from .token_counts import slices
 
@@ -155,7 +155,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["row", "doc", "pos", *NAME, "size", "bands", "sketch"],
                 )
 
-    df = docs.select(row_key(id_col, text_col).alias("row"), F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
+    df = gathered(docs.select(row_key(id_col, text_col).alias("row"), F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text")))
     longs = T.ArrayType(T.LongType())
     fields = [df.schema["row"], df.schema["doc"], *(T.StructField(c, t) for c, t in (("pos", T.IntegerType()), ("h1", T.LongType()), ("h2", T.LongType()), ("size", T.IntegerType()), ("bands", longs), ("sketch", longs)))]
     return df.mapInArrow(sign, T.StructType(fields))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, pick, quoted, row_key
+from .shared import Scratch, gathered, pick, quoted, row_key
 from .similar import GROUP, NAME, BlockTest, band_keys, group_columns, link_components, lists, mix, permutations
 from .token_counts import slices
 
@@ -124,7 +124,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
                 )
 
     key = row_key(id_col, text_col)
-    df = docs.select(key.alias("row"), F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text"))
+    df = gathered(docs.select(key.alias("row"), F.col(quoted(id_col)).alias("doc"), F.col(quoted(text_col)).alias("text")))
     fields = [df.schema["row"], df.schema["doc"], *(T.StructField(c, T.LongType()) for c in ("n_shingles", "h1", "h2")), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "sketch"))]
     return df.mapInArrow(sign, T.StructType(fields))
 

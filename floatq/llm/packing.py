@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Scratch, quoted, unused
+from .shared import Scratch, gathered, quoted, unused
 from .token_counts import WordBpe, slices
 
 #: Most rounds of pricing, configurations of a round, strength of an update, and the gap to the bound that is enough.
@@ -259,7 +259,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", order: tu
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(size.alias("length"), F.col(bucket).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.col("length").alias(key), F.col("bucket").alias(nth), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first_rank))
-    counts = scratch.save(counts, "counts")
+    # A row for each bucket: their number is known.
+    counts = scratch.save(counts.coalesce(max(2 * pieces.sparkSession.sparkContext.defaultParallelism, int(hist.sum()) // BUCKET_ROWS // 100_000)), "counts")
     within = Window.partitionBy(quoted(length_col), bucket).orderBy(*names)
     ranked = rows.withColumn(ranked_as, F.row_number().over(within).cast("long")).join(counts, (size == F.col(key)) & (F.col(bucket) == F.col(nth)))
     ranked = ranked.select(*[quoted(c) for c in columns], (F.col(first_rank) + F.col(ranked_as) - 1).alias(ranked_as))
@@ -310,4 +311,4 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
                 )
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    return gathered(docs.select(quoted(id_col), quoted(text_col))).mapInArrow(cut, schema)

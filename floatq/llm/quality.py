@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, quoted
+from .shared import Scratch, gathered, quoted
 
 # Frequent words of four languages, in natural order.
 COMMON_WORDS = {
@@ -129,7 +129,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     columns = [c for c in docs.columns if c.lower() not in added]
     # The caller's other columns travel in one, so that no name meets those used here.
     others = [F.col(quoted(c)) for c in columns if c not in (text_col, lang_col)] or [F.lit(None).alias("none")]
-    table = features(docs.select(F.struct(*others).alias("_others"), F.col(quoted(text_col)).alias("_text"), F.col(quoted(lang_col)).cast("string").alias("_lang")))
+    table = features(gathered(docs).select(F.struct(*others).alias("_others"), F.col(quoted(text_col)).alias("_text"), F.col(quoted(lang_col)).cast("string").alias("_lang")))
     table = scratch.save(table if keep_text else table.drop("_text"), "features")
     refs = scratch.save(references(table, scratch), "references")
     df = table.join(F.broadcast(refs), listed().eqNullSafe(F.col("_ref_lang")), "left")

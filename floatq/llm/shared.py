@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Most ids that are broadcast to pick rows: about 24 MB as a hashed relation of 64-bit keys.
 MAX_BROADCAST_IDS = 1_000_000
+#: Bytes of files for which a task is worth its while.
+PARTITION_BYTES, MOST_TASKS = 4 << 20, 1 << 30
 #: Rows of a key from which it is kept out of a shuffle.
 MIN_HOT = 4096
 #: Only used on a local master when the session names no folder.
@@ -88,6 +90,17 @@ def pick_hot(rows: DataFrame, wanted: DataFrame, key: str, scratch: Scratch, mos
     return passed.unionByName(cold)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A scan of very many small files in fewer tasks: each reads PARTITION_BYTES at least, or a half of what a core gets.
+
+    What a task costs beside its rows (a Python worker, a file in the shared folder) is so paid once for many files; a table of larger files
+    is left as it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
+    return df.coalesce(tasks) if tasks < MOST_TASKS else df  # an unknown size is taken as huge
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores added until none is among the columns, whatever the case."""
     taken = {c.lower() for c in columns}
