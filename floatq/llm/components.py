@@ -15,16 +15,16 @@ from .shared import Scratch, pick_hot
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch, n: int) -> DataFrame:
     """Link every larger neighbour of a vertex to the least of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    least = scratch.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), "least", 2 * n)
     return pick_hot(both, least, "a", scratch).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _small_star(edges: DataFrame, scratch: Scratch, n: int) -> DataFrame:
     """Link a vertex and its smaller neighbours to the least of these. Edges run from larger to smaller."""
-    least = scratch.save(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+    least = scratch.save(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least", n)
     moved = pick_hot(edges, least, "a", scratch).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -38,8 +38,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.save(edges, "edges")
     for _ in range(MAX_ROUNDS):
-        large = scratch.save(_large_star(now, scratch), "large")
-        after = scratch.save(_small_star(large, scratch), "stars")
+        # No star has more edges than it began with.
+        n = now.count()
+        large = scratch.save(_large_star(now, scratch, n), "large", 2 * n)
+        after = scratch.save(_small_star(large, scratch, n), "stars", 2 * n)
         scratch.drop(large)
         scratch.drop(now)
         now = after

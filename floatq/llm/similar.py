@@ -35,6 +35,8 @@ from .shared import Scratch, pick, pick_hot
 
 #: Elements of sets that are kept while pairs are confirmed, as hubs come again.
 KEPT_ELEMENTS = 400_000
+#: Rows with texts or bands, or pairs to confirm, for which a task is worth its while.
+WIDE_ROWS = 20_000
 NAME, GROUP = ["h1", "h2"], ["linked", "ga", "gb"]
 
 
@@ -172,18 +174,18 @@ class BlockTest:
                 yield min(a, b), max(a, b)
 
 
-def hub_pairs(ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def hub_pairs(ids: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (key, id), hubs (key, hub, n) of all buckets, and the pairs (a, b) of each member with the hubs of its buckets."""
     members = ids.select("id", F.explode("keys").alias("key"), F.size("keys").cast("long").alias("shared"))
     # Of equal shares the place in a shuffled order decides, the same in every bucket.
     score = F.shiftleft("shared", 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id"), 24))
-    hubs = scratch.save(members.groupBy("key").agg(F.max_by("id", score).alias("hub"), F.count(F.lit(1)).alias("n")), "hubs")
+    hubs = scratch.save(members.groupBy("key").agg(F.max_by("id", score).alias("hub"), F.count(F.lit(1)).alias("n")), "hubs", most)
     members = members.select("key", "id")
     pairs = pick_hot(members, hubs, "key", scratch).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     return members, hubs, pairs
 
 
-def open_buckets(members: DataFrame, hubs: DataFrame, comps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def open_buckets(members: DataFrame, hubs: DataFrame, comps: DataFrame, scratch: Scratch, most: int) -> tuple[DataFrame, DataFrame]:
     """Members (key, id, comp) of buckets without their hub, and buckets that hold several components.
 
     An open bucket has its largest component (most), and how many members it has (n_all) and has outside
@@ -191,22 +193,22 @@ def open_buckets(members: DataFrame, hubs: DataFrame, comps: DataFrame, scratch:
     """
     left = pick_hot(members, hubs.where("n > 2"), "key", scratch).where("id <> hub").select("key", "id")
     left = pick(left, comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    left = scratch.save(left, "left")
+    left = scratch.save(left, "left", most)
     several = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    several = scratch.save(several.where("lo < hi").select("key", "n"), "several")
+    several = scratch.save(several.where("lo < hi").select("key", "n"), "several", most)
     left = pick_hot(left, several, "key", scratch).drop("n")
     parts = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_keys = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_all"))
     return left, open_keys.select("key", F.col("top.comp").alias("most"), "n_all", (F.col("n_all") - F.col("top.n")).alias("n_out"))
 
 
-def rest_links(left: DataFrame, open_keys: DataFrame, items: DataFrame, test: BlockTest, shape: Shape, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def rest_links(left: DataFrame, open_keys: DataFrame, items: DataFrame, test: BlockTest, shape: Shape, texts: DataFrame, scratch: Scratch, most: int) -> DataFrame:
     """Links (a, b) between components of open buckets, confirmed by the ``texts`` (id, text) that members bring to their blocks."""
     blocks = lambda n: F.ceil(F.col(n) / test.block).cast("int")
     open_keys = open_keys.select("key", "most", blocks("n_all").alias("n_all"), blocks("n_out").alias("n_out"), F.col("n_all").alias("n"))
-    sized = pick_hot(left, scratch.save(open_keys, "open-sizes"), "key", scratch).drop("n")
-    wanted = scratch.save(sized.select("id").distinct(), "open-ids")
-    more = scratch.save(pick(items.select("id", "size", "sketch", "bands"), wanted, "id").join(texts, "id"), "open-items")
+    sized = pick_hot(left, scratch.save(open_keys, "open-sizes", most), "key", scratch).drop("n")
+    wanted = scratch.save(sized.select("id").distinct(), "open-ids", most)
+    more = scratch.save(pick(items.select("id", "size", "sketch", "bands"), wanted, "id").join(texts, "id"), "open-items", most, WIDE_ROWS)
     sized = sized.join(more, "id")
     row = ["id", "comp", "size", "sketch", "bands", "text"]
     out = sized.where("comp <> most").select(
@@ -300,21 +302,24 @@ def link_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], s
     ids = numbered(items, scratch)
     scratch.release()
     names = ids.select("id", *NAME)
+    # Bounds of the rows of what follows: the items, and their places in buckets.
+    n = ids.count()
+    most = ids.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     more = pick(items.where(F.col("sketch").isNotNull()), names, NAME).select("id", "size", "sketch", "bands")
-    items = scratch.save(more.dropDuplicates(["id"]), "candidates")
-    members, hubs, pairs = hub_pairs(ids, scratch)
-    pairs = scratch.save(near_pairs(pairs, items, test), "hub-pairs")
+    items = scratch.save(more.dropDuplicates(["id"]), "candidates", n, WIDE_ROWS)
+    members, hubs, pairs = hub_pairs(ids, scratch, most)
+    pairs = scratch.save(near_pairs(pairs, items, test), "hub-pairs", most)
     # Texts of items that no sketch lets near another one are not needed.
-    texts = scratch.save(fetch(names), "texts")
-    links = scratch.save(confirmed(pairs, texts, shape), "hub-links")
+    texts = scratch.save(fetch(names), "texts", n, WIDE_ROWS)
+    links = scratch.save(confirmed(pairs, texts, shape), "hub-links", most, WIDE_ROWS)
     comps = connected_components(links, scratch)
-    left, open_keys = open_buckets(members, hubs, comps, scratch)
-    open_keys = scratch.save(open_keys, "open")
+    left, open_keys = open_buckets(members, hubs, comps, scratch, most)
+    open_keys = scratch.save(open_keys, "open", most)
     if not open_keys.isEmpty():
-        found = scratch.save(rest_links(left, open_keys, items, test, shape, texts, scratch), "rest-links")
+        found = scratch.save(rest_links(left, open_keys, items, test, shape, texts, scratch, most), "rest-links")
         if not found.isEmpty():
             # The components so far are edges too, fewer than the links they came from.
             comps = connected_components(comps.toDF("a", "b").unionByName(found), scratch)
     # A component's first item names it and has no row of its own.
     every = comps.select("id", F.col("component").alias("g")).unionByName(comps.select(F.col("component").alias("id"), F.col("component").alias("g")).distinct())
-    return scratch.save(names.join(every, "id").select(*NAME, "g"), "named")
+    return scratch.save(names.join(every, "id").select(*NAME, "g"), "named", n)
