@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .near_dedup import odd_sketches, shared, sketch_bound
 from .shared import Scratch, gathered, pick, quoted, row_key, unused
-from .similar import GROUP, NAME, BlockTest, band_keys, group_columns, link_components, lists, permutations
+from .similar import GROUP, NAME, BlockTest, band_keys, group_columns, link_components, lists, permutations, rows_of
 from .token_counts import slices
 
 BANDS, ROWS, SKETCH_BITS, SEED = 12, 4, 256, 7
@@ -35,6 +35,8 @@ LANES, BLOCK = 8, 1024
 CHUNK, MAX_BROADCAST_LINES = 1 << 16, 2_000_000
 #: Standard deviations of the samples that a link may lie below the threshold by its sketches: lost odds of 3e-5.
 DEVIATIONS = 4
+#: Lines that a task names or counts.
+LINE_ROWS = 250_000
 #: Characters of the texts that are handled at a time.
 SLICE_CHARS = 500_000
 #: Seeds of Spark's xxhash64 of a line, and of 1 and a line, so that both sides name a line alike.
@@ -208,15 +210,16 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD,
         return pick(lines, ids, NAME).select("id", "text").dropDuplicates(["id"])
 
     # Sizes count repeated shingles too, so they bound nothing; the exact sets decide.
-    test = BlockTest(0.0, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS), SKETCH_BITS // 64, BLOCK)
+    test = BlockTest(0.0, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS), SKETCH_BITS // 64, BANDS, BLOCK)
     linked = link_components(items, fetch, LineShingles(threshold), scratch, test)
     tagged = pick(signed.select("row", "doc", "pos", *NAME), linked, NAME, "left").select("row", "doc", "pos", *group_columns())
-    tagged = scratch.save(tagged, "tagged")
-    many = scratch.save(tagged.groupBy(*GROUP).count().where("count > 1").select(*GROUP), "many")
-    repeated = scratch.save(pick(tagged, many, GROUP), "repeated")
+    n = rows_of(signed)
+    tagged = scratch.save(tagged, "tagged", n, LINE_ROWS)
+    many = scratch.save(tagged.groupBy(*GROUP).count().where("count > 1").select(*GROUP), "many", n, LINE_ROWS)
+    repeated = scratch.save(pick(tagged, many, GROUP), "repeated", n, LINE_ROWS)
     place = F.struct(F.col("doc").isNull().alias("last"), "doc", "row", "pos")
     # Written first, so that a common line's rows can be split if they are shuffled.
-    stays = scratch.save(repeated.groupBy(*GROUP).agg(F.min(place).alias("first")), "stays")
+    stays = scratch.save(repeated.groupBy(*GROUP).agg(F.min(place).alias("first")), "stays", rows_of(repeated))
     return pick(repeated, stays, GROUP).where(~F.col("first").eqNullSafe(place)).groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("drop"))
 
 

@@ -183,7 +183,7 @@ def near_dedup(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD, id_c
         # A row may be there more than once.
         return pick(docs, wanted, "row").select("id", "text").dropDuplicates(["id"])
 
-    test = BlockTest(threshold / 100, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS), SKETCH_BITS // 64, BLOCK)
+    test = BlockTest(threshold / 100, sketch_bound(threshold / 100, BANDS * ROWS, SKETCH_BITS, DEVIATIONS), SKETCH_BITS // 64, BANDS, BLOCK)
     linked = link_components(items, fetch, WordShingles(width, threshold), scratch, test)
     tagged = pick(signed.select("row", "doc", "n_shingles", *NAME), linked, NAME, "left")
     # Documents of one set that is linked with no other one are a group too.

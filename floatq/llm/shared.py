@@ -48,10 +48,10 @@ class Scratch:
         self._fs.deleteOnExit(self._path(self.root))
         self._n = 0
 
-    def save(self, df: DataFrame, name: str, rows: int | None = None, per_task: int = 1_000_000) -> DataFrame:
-        """Write ``df`` once and read it back. Where a bound of its ``rows`` is known, by no more tasks than that many rows need, or two a core."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None, per_task: int = 100_000) -> DataFrame:
+        """Write ``df`` once and read it back. Where a bound of the ``rows`` that its last stage reads is known, no more tasks write than these need."""
         if rows is not None:
-            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, -(-rows // per_task)))
+            df = df.coalesce(max(1, -(-rows // per_task)))
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.parquet(path)

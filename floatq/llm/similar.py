@@ -37,6 +37,8 @@ from .shared import Scratch, pick, pick_hot
 KEPT_ELEMENTS = 400_000
 #: Rows with texts or bands, or pairs to confirm, for which a task is worth its while.
 WIDE_ROWS = 20_000
+#: Keys that a task counts.
+KEY_ROWS = 1_000_000
 NAME, GROUP = ["h1", "h2"], ["linked", "ga", "gb"]
 
 
@@ -82,16 +84,21 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def numbered(items: DataFrame, scratch: Scratch) -> DataFrame:
+def rows_of(written: DataFrame) -> int:
+    """Rows of a written table, from its files' footers."""
+    return written.select().count()
+
+
+def numbered(items: DataFrame, scratch: Scratch, bands: int) -> DataFrame:
     """Written rows (id, h1, h2, keys) of items that share a key with another item."""
     rows = items.where("bands IS NOT NULL").select(*NAME, F.explode("bands").alias("key"))
     # Two items of equal h1 that are alone in a bucket pass as one here: odds of 2**-64 for each such bucket.
     counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
-    shared = scratch.save(counted.where("lo < hi").select("key", "n"), "keys")
+    shared = scratch.save(counted.where("lo < hi").select("key", "n"), "keys", rows_of(items) * bands, KEY_ROWS)
     joined = pick_hot(rows, shared, "key", scratch)
     # At most a key for each band, so the set is small.
     members = joined.groupBy(*NAME).agg(F.collect_set("key").alias("keys"))
-    return scratch.save(members.select(F.monotonically_increasing_id().alias("id"), *NAME, "keys"), "ids")
+    return scratch.save(members.select(F.monotonically_increasing_id().alias("id"), *NAME, "keys"), "ids", rows_of(items), 2 * KEY_ROWS // bands)
 
 
 def _popcounts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -116,12 +123,13 @@ class Shape(Protocol):
 class BlockTest:
     """Compares the members of a block outside the largest component (side 0) with all members (side 1).
 
-    ``most_bits``: differing sketch bits of a possible link; ``words``: longs of a sketch; ``block``: members per block.
+    ``most_bits``: differing sketch bits of a possible link; ``words``: longs of a sketch; ``bands``: keys of an item; ``block``: members per block.
     """
 
     least_ratio: float
     most_bits: int
     words: int
+    bands: int
     block: int
 
     def near(self, rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +307,7 @@ def link_components(items: DataFrame, fetch: Callable[[DataFrame], DataFrame], s
 
     Rows of one item in ``items`` are alike; some may lack bands and sketch. ``fetch`` returns (id, text) for a written table (id, h1, h2).
     """
-    ids = numbered(items, scratch)
+    ids = numbered(items, scratch, test.bands)
     scratch.release()
     names = ids.select("id", *NAME)
     # Bounds of the rows of what follows: the items, and their places in buckets.
