@@ -51,9 +51,8 @@ def negative(v: Column) -> Column:
 
 
 def div(a: Column, b: Column) -> Column:
-    """IEEE division: x/0 is an infinity with the product of the signs, 0/0 and NaN/0 are NaN."""
-    infinite = F.when(negative(a) == negative(b), F.lit(INF)).otherwise(F.lit(-INF))
-    return F.when(b != 0, a / b).when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a.isNotNull() & b.isNotNull(), infinite)
+    """IEEE division: x/0 is x times an infinity of the zero's sign, so 0/0 is the NaN that the machine makes and NaN/0 is NaN."""
+    return F.when(b != 0, a / b).when(b == 0, a * F.when(negative(b), F.lit(-INF)).otherwise(F.lit(INF)))
 
 
 def round_scale(v: Column, scale: float) -> Column:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,18 @@ def test_ieee_division(spark):
     assert [str(x) for x in got] == [str(x) for x in want]
 
 
+def test_ieee_division_to_the_bit(spark):
+    """As the machine divides, the bits of 0/0 included, also after rounding as in expr_div_ieee."""
+    values = [0.0, -0.0, 3.0, -3.0, math.inf, -math.inf, math.nan]
+    pairs = pd.DataFrame([(a, b) for a in values for b in values], columns=["a", "b"])
+    got = spark.createDataFrame(pairs).select("a", "b", fp.div(F.col("a"), F.col("b")).alias("q"), fp.round_scale(fp.div(F.col("a"), F.col("b")), 10_000).alias("r")).toPandas()
+    with np.errstate(all="ignore"):
+        want = got.a.to_numpy() / got.b.to_numpy()
+    assert len(got) == len(pairs)
+    for column in ("q", "r"):
+        assert (got[column].to_numpy().view("int64") == want.view("int64")).all(), column
+
+
 def test_scalar_functions(spark):
     rng = random.Random(3)
     texts = ["7", "-18", "0.0", "45.50", "1.5e2", "25e-4", "-6.25e-2", "9E0"[:1] + "e0"] + [f"{rng.randrange(-999, 999)}.{rng.randrange(10 ** k):0{k}d}{rng.choice(['', 'e-3', 'e2'])}" for k in range(1, 9)]
