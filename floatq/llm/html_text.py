@@ -15,10 +15,12 @@ takes all of a page's content.
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,8 +50,10 @@ LEAST_PAGES, CONSTANT_SHARE = 3, 0.9
 LAYOUT_DEPTH, MOST_OF_TEXT, BAD_WEIGHT, ARTICLE_WEIGHT = 3, 0.6, 0.1, 2.0
 #: Nesting beyond counts as of this level.
 MAX_DEPTH = 150
-#: Pairs of siblings that are matched in full; longer lists are matched in a band around the diagonal, of so many places.
-FULL_PAIRS, BAND = 250_000, 100
+#: Pairs of nodes up to which trees are matched cell by cell; larger ones are matched a row at a time, with the same result.
+CELL_BY_CELL = 50_000
+#: Cells of a table whose bits are kept at once, a quarter of a byte each.
+CELLS_KEPT = 1 << 27
 #: Most layouts, and most characters of their outlines, that are broadcast.
 MAX_LAYOUTS, MAX_OUTLINES = 10_000, 32_000_000
 
@@ -247,46 +251,145 @@ def rebuild(text: str) -> list[Node]:
     return nodes
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of matched nodes by simple tree matching; the roots are taken as matched."""
-
-    def match(x: Node, y: Node) -> tuple[int, list]:
-        p, q = x.children, y.children
-        if not p or not q:
-            return 1, []
-        full = len(p) * len(q) <= FULL_PAIRS
-        best = [[0] * (len(q) + 1)]
-        inner: dict[tuple[int, int], tuple[int, list]] = {}
-        for i, c in enumerate(p):
-            above = best[i]
-            row = above[:]
-            middle = i * len(q) // len(p)
-            places = range(len(q)) if full else range(max(0, middle - BAND), min(len(q), middle + BAND))
-            for j in places:
-                d = q[j]
-                most = row[j] if row[j] > above[j + 1] else above[j + 1]
-                if c.kind == d.kind:
-                    found = match(c, d) if c.children and d.children else (1, [])
-                    if above[j] + found[0] > most:
-                        most = above[j] + found[0]
-                        inner[i, j] = found
-                row[j + 1] = most
-            for j in range(places.stop, len(q)):
-                row[j + 1] = max(row[j + 1], row[j])
-            best.append(row)
-        pairs, i, j = [], len(p), len(q)
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
+def sizes(root: Node) -> dict[Node, int]:
+    """Nodes of each subtree."""
+    order = [root]
+    for node in order:
+        order += node.children
+    out = dict.fromkeys(order, 1)
+    for node in reversed(order):
+        for c in node.children:
+            out[node] += out[c]
+    return out
+
+
+def match(x: Node, y: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size of a largest matching of two nodes of a kind, and its pairs below them; cell by cell."""
+    p, q = x.children, y.children
+    if not p or not q:
+        return 1, []
+    best = [[0] * (len(q) + 1)]
+    inner: dict[tuple[int, int], tuple[int, list]] = {}
+    for i, c in enumerate(p):
+        above = best[i]
+        row = above[:]
+        for j, d in enumerate(q):
+            most = row[j] if row[j] > above[j + 1] else above[j + 1]
+            if c.kind == d.kind:
+                found = match(c, d) if c.children and d.children else (1, [])
+                if above[j] + found[0] > most:
+                    most = above[j] + found[0]
+                    inner[i, j] = found
+            row[j + 1] = most
+        best.append(row)
+    pairs, i, j = [], len(p), len(q)
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((p[i], q[j]))
+            pairs += inner[i, j][1]
+    return best[-1][-1] + 1, pairs
+
+
+class Levels:
+    """The nodes below one by levels, to match a node with all nodes of a level at once.
+
+    A level's lists of siblings lie one behind the other in a row of the table; each has a base over all that comes before,
+    so that one running maximum serves them all.
+    """
+
+    def __init__(self, top: Node, most: int) -> None:
+        self.codes: dict[str, int] = {}
+        #: By level: kinds; places of nodes with children; the last child of each and the base of each child, on the next level.
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        level = top.children
+        while level:
+            inner = [i for i, n in enumerate(level) if n.children]
+            counts = np.array([len(level[i].children) for i in inner], np.int64)
+            kinds = np.array([self.codes.setdefault(n.kind, len(self.codes)) for n in level])
+            self.levels.append((kinds, np.array(inner, np.int64), counts.cumsum() - 1, np.repeat(np.arange(len(inner)) * most, counts)))
+            level = [c for n in level for c in n.children]
+
+    def sizes(self, node: Node, k: int = 0) -> np.ndarray:
+        """Sizes of the largest matchings of a node with those of level k, 0 for another kind."""
+        kinds, inner, last, base = self.levels[k]
+        out = (kinds == self.codes.get(node.kind, -1)).astype(np.int64)
+        if node.children and len(inner) and out[inner].any():
+            row = base
+            for c in node.children:
+                row = step(row, self.sizes(c, k + 1), base)
+            out[inner] *= 1 + row[last] - base[last]
+        return out
+
+
+def step(above: np.ndarray, gain: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The next row of the table."""
+    row = np.empty_like(above)
+    row[0], row[1:] = base[0], np.maximum(above[:-1], base[1:])
+    row += gain
+    return np.maximum.accumulate(np.maximum(row, above, out=row), out=row)
+
+
+def match_children(x: Node, y: Node, first: bool, most: int) -> list[tuple[Node, Node]]:
+    """The pairs of children that ``match`` takes, row by row; of equal ways back that along x comes ``first``, else that along y.
+
+    The last rows are kept with two bits for a cell, of a longer table others at intervals, between which they are made again on the way back.
+    """
+    p, q = x.children, y.children
+    kinds, at = {c.kind for c in p}, {d.kind: j for j, d in enumerate(q)}
+    if len(kinds) == len(p) and len(at) == len(q):
+        met = [(c, at[c.kind]) for c in p if c.kind in at]
+        if all(j < k for (_, j), (_, k) in zip(met, met[1:], strict=False)):  # all of a kind meet, in order
+            return [(c, q[j]) for c, j in met]
+    levels, base = Levels(y, most), np.zeros(len(q), np.int64)
+
+    def fill(row: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, list]:
+        bits, n = [], len(row)
+        for c in p[lo:hi]:
+            above, row = row, step(row, levels.sizes(c)[:n], base[:n])
+            bits.append((np.packbits(row == above), np.packbits(row == np.concatenate((base[:1], row[:-1])))))
+        return row, bits
+
+    block, kept, row, bits = max(4 * math.isqrt(len(p)) + 1, CELLS_KEPT // len(q)), [], base, None
+    for lo in range(0, len(p), block):
+        kept.append(row)
+        row, bits = fill(row, lo, lo + block)
+    pairs, i, j = [], len(p), len(q)
+    while kept and j:
+        row, lo = kept.pop(), len(kept) * block
+        bits = bits or fill(row[:j], lo, i)[1]
+        while i > lo and j:
+            up, left = (b[j - 1 >> 3] >> (7 - (j - 1 & 7)) & 1 for b in bits[i - 1 - lo])
+            if up and (first or not left):
                 i -= 1
-            elif best[i][j] == best[i][j - 1]:
+            elif left:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
                 pairs.append((p[i], q[j]))
-                pairs += inner[i, j][1]
-        return best[-1][-1] + 1, pairs
+        bits = None
+    return pairs
 
-    return [(a, b), *match(a, b)[1]]
+
+def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Pairs of matched nodes by simple tree matching; the roots are taken as matched. How it is computed depends on the size, the pairs don't."""
+    size = sizes(a) | sizes(b)
+    pairs, todo = [(a, b)], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if size[x] * size[y] <= CELL_BY_CELL:
+            pairs += match(x, y)[1]
+        elif x.children and y.children:
+            most = min(size[x], size[y]) + 1
+            # Rows belong to the smaller tree.
+            met = match_children(x, y, True, most) if size[x] <= size[y] else [(c, d) for d, c in match_children(y, x, False, most)]
+            pairs += met
+            todo += met
+    return pairs
 
 
 def weight(block: Block) -> float:

@@ -284,6 +284,33 @@ def test_align_is_the_largest_matching():
         assert all(x.kind == y.kind for x, y in pairs) and len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
 
 
+def test_align_of_long_lists_is_the_largest():
+    """Lists of a thousand elements, in which what matches lies far from the diagonal; some have children."""
+    rng = random.Random(2)
+    items = [f"<li>{rng.choice(['', '<p></p>', '<ul><li></li></ul>', '<p></p><h2></h2>'])}</li>" if rng.random() < 0.5 else "<p></p>" for _ in range(600)]
+    long, short = parse("<section></section>" * 700 + "".join(items))[0], parse("".join(items))[0]
+    for a, b in ((long, short), (short, long)):
+        pairs = align(a, b)
+        assert len(pairs) == len(rebuild(skeleton(short)))
+        assert all(x.kind == y.kind for x, y in pairs)
+
+
+def test_align_takes_the_same_pairs_at_any_size(monkeypatch):
+    rng = random.Random(3)
+
+    def tree(depth, width):
+        return "".join(f"<{t}>{tree(depth - 1, width) if depth else ''}</{t}>" for t in rng.choices(["div", "section", "ul"], k=rng.randrange(width)))
+
+    for depth, width in [(3, 4), (2, 9), (1, 25), (0, 200)] * 25:
+        a, b = parse(tree(depth, width))[0], parse(tree(depth, width))[0]
+        found = []
+        for cells, kept in ((10**9, 1 << 27), (0, 1 << 27), (0, 1), (40, 1)):
+            monkeypatch.setattr(html_text, "CELL_BY_CELL", cells)
+            monkeypatch.setattr(html_text, "CELLS_KEPT", kept)
+            found.append({(id(x), id(y)) for x, y in align(a, b)})
+        assert all(f == found[0] for f in found)
+
+
 def test_region_goes_down_to_the_text():
     nodes = rebuild(skeleton(parse("<div>ad</div><main><nav>n</nav><section><h2>t</h2><div><p>a</p><p>b</p></div></section></main><div>f</div>")[0]))
     at = {n.kind: n.number for n in nodes}
